@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unionlog.llm import quality_rules
+from unionlog.llm import arc_to_warc, quality_rules, simhash_dedup, token_counts
 
-_MODULES = (quality_rules,)
+_MODULES = (token_counts, arc_to_warc, quality_rules, simhash_dedup)
 
 
 def queries() -> dict:
