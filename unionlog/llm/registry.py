@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unionlog.llm import arc_to_warc, quality_rules, simhash_dedup, token_counts
+from unionlog.llm import arc_to_warc, quality_rules, simhash_dedup, suffix_dedup, token_counts
 
-_MODULES = (token_counts, arc_to_warc, quality_rules, simhash_dedup)
+_MODULES = (token_counts, arc_to_warc, quality_rules, simhash_dedup, suffix_dedup)
 
 
 def queries() -> dict:
