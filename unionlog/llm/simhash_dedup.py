@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, table
+from unionlog.llm.common import byte_texts, cut, table, text_or_empty
 from unionlog.llm.components import components
 
 BITS = 64
 SEED = 42
 RADIUS = 2
 SHINGLE = 3
+#: Words of a shingle in the pipeline's stage.
+STAGE_SHINGLE = 5
 #: Entries of a bucket up to which its pairs are made one by one.
 BUCKET = 64
 #: Hashes turned into bit counts at a time.
@@ -68,16 +70,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """(key, fp) of docs (key, text): the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in byte_texts(batch)], np.uint64).view(np.int64)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(values)], [key, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 def correlations(fps: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -228,6 +229,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, shingle: int, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each group of near copies: the one of least doc_id (nulls last, then by text hash).
+
+    All columns are kept. Groups are settled on (doc_id, text hash, fingerprint) alone; texts cross one exchange.
+    """
+    key = F.xxhash64(text_or_empty())
+    marked = cut(fingerprints(docs.select("text", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("th")).alias("key")), shingle, "key"))
+    fps = cut(marked.select("fp").distinct())
+    roots = components(links(fps, radius))
+    rooted = cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    order = F.struct(F.col("key.doc_id").isNull().alias("none"), F.col("key.doc_id").alias("doc_id"), F.col("key.th").alias("th"))
+    first = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = cut(first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("k_doc_id"), F.col("first.th").alias("k_th")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("th"))
+    out = rows.join(kept, rows.doc_id.eqNullSafe(kept.k_doc_id) & (rows.th == kept.k_th))
+    # Rows that repeat as a whole: settled on the keys alone, as they are rare.
+    if marked.count() > marked.select("key").distinct().count():
+        out = out.dropDuplicates(["doc_id", "th"])
+    return out.select("row.*")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, on shingles of five words."""
+    return one_of_each(docs, STAGE_SHINGLE)
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
