@@ -98,7 +98,7 @@ def test_nearest_rank(spark):
 
 
 def test_names(spark):
-    assert [valid_app_id_value(x) for x in ("io-mon", "io.mon", "", "a~b", "a/b", None)] == [True, True, False, False, False, False]
+    assert [valid_app_id_value(x) for x in ("my-app", "my.app", "", "a~b", "a/b", None)] == [True, True, False, False, False, False]
     big = f"a~r.{2**64 - 1}.5.shard0"
     assert int(spark.createDataFrame([(big,)], "n string").select(parse_segment_name(F.col("n")).boot).first()[0]) == 2**64 - 1
 

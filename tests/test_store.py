@@ -16,7 +16,7 @@ def content(run):
 
 
 def test_insert_is_idempotent_and_relocatable(spark, tmp_path):
-    run = create(spark, str(tmp_path), "io.mon", "v1.2~x", pid=10, boot=7)
+    run = create(spark, str(tmp_path), "my.app", "v1.2~x", pid=10, boot=7)
     assert run.available and content(run) == set() and run.shard_count() == 0
     assert run.insert(df(spark, b"alpha", b"beta", b"alpha", b"", None)) == {"inserted": 3, "exists": 0}
     assert run.insert(df(spark, b"alpha", b"gamma"), gen=run.grow()) == {"inserted": 1, "exists": 1}
@@ -96,21 +96,21 @@ def test_transport(spark, tmp_path):
 
 def test_reaper(spark, tmp_path):
     root = str(tmp_path)
-    for app, boot, pid in (("io.mon", 77, 123), ("io.mon", 77, 10), ("io.mon", 76, 10), ("other", 76, 1)):
+    for app, boot, pid in (("my.app", 77, 123), ("my.app", 77, 10), ("my.app", 76, 10), ("other", 76, 1)):
         create(spark, root, app, "v1.2~x", pid, boot).insert(df(spark, b"a"))
-    held = segment_path(root, "io.mon", "v1.2~x", 76, 10) + ".run"
+    held = segment_path(root, "my.app", "v1.2~x", 76, 10) + ".run"
     assert hold_lease(spark, held, "me", 3600)
     alive = lambda pid: pid == 10
-    assert reap(spark, root, "io.mon", 77, alive) == 1
+    assert reap(spark, root, "my.app", 77, alive) == 1
     names = {p.name for p in tmp_path.iterdir() if p.is_dir()}
-    assert names == {"io.mon~v1.2~x.77.10.run", "io.mon~v1.2~x.76.10.run", "other~v1.2~x.76.1.run"}
-    lease = tmp_path / "io.mon~v1.2~x.76.10.run/_control/lease.json"
+    assert names == {"my.app~v1.2~x.77.10.run", "my.app~v1.2~x.76.10.run", "other~v1.2~x.76.1.run"}
+    lease = tmp_path / "my.app~v1.2~x.76.10.run/_control/lease.json"
     lease.write_text("torn")
-    assert reap(spark, root, "io.mon", 77, alive) == 0
+    assert reap(spark, root, "my.app", 77, alive) == 0
     lease.unlink()
     (lease.parent / ".lease.json.crc").unlink()
     assert hold_lease(spark, held, "me", -1)
-    assert reap(spark, root, "io.mon", 77, alive) == 1
+    assert reap(spark, root, "my.app", 77, alive) == 1
     assert pid_alive(1) and not pid_alive(0)
 
 

@@ -294,14 +294,14 @@ def shard_count(spark, d):
 
 
 ANCHORS = [
-    "io.mon~v1.2~x.77.123.shard0",
-    "io.mon~r.77.10.shard0",
-    "io.mon~r.76.10.shard0",
+    "my.app~v1.2~x.77.123.shard0",
+    "my.app~r.77.10.shard0",
+    "my.app~r.76.10.shard0",
     "other~r.76.1.shard0",
     "untagged.77.1.shard0",
-    "io.mon~r.77.1.shard1",
-    "io.mon~77.1.shard0",
-    "io.mon~r.x.1.shard0",
+    "my.app~r.77.1.shard1",
+    "my.app~77.1.shard0",
+    "my.app~r.x.1.shard0",
 ]
 _P = N.ANCHOR.replace("'", "''")
 
@@ -311,13 +311,13 @@ _P = N.ANCHOR.replace("'", "''")
     f"""WITH n AS (SELECT name FROM (VALUES {', '.join(f"('{a}')" for a in ANCHORS)}) v(name)),
     p AS (SELECT name, CASE WHEN regexp_matches(name, '{_P}') THEN regexp_extract(name, '{_P}', 1) END AS app_id, CASE WHEN regexp_matches(name, '{_P}') THEN regexp_extract(name, '{_P}', 2) END AS run_id,
     CASE WHEN regexp_matches(name, '{_P}') THEN regexp_extract(name, '{_P}', 3) END AS boot, CASE WHEN regexp_matches(name, '{_P}') THEN CAST(regexp_extract(name, '{_P}', 4) AS BIGINT) END AS pid FROM n)
-    SELECT name, app_id, run_id, boot, pid, coalesce(app_id = 'io.mon' AND (boot <> '77' OR pid <> 10), false) AS reap FROM p""",
+    SELECT name, app_id, run_id, boot, pid, coalesce(app_id = 'my.app' AND (boot <> '77' OR pid <> 10), false) AS reap FROM p""",
 )
 def reap_candidates(spark, d):
     from unionlog.sources.reaper import plan_reap
 
     names = spark.createDataFrame([(a,) for a in ANCHORS], "name string")
-    plan = plan_reap(names, "io.mon", "77", spark.createDataFrame([(10,)], "pid bigint"))
+    plan = plan_reap(names, "my.app", "77", spark.createDataFrame([(10,)], "pid bigint"))
     return plan.withColumn("boot", F.col("boot").cast("string"))
 
 
@@ -332,7 +332,7 @@ def shard_discovery(spark, d):
     return spark.createDataFrame([(a,) for a in SHARD_FILES], "name string").agg(F.max(N.shard_suffix(F.col("name"))).alias("max_shard"))
 
 
-APP_IDS = ["io-mon", "io.mon", "", "a~b", "a/b"]
+APP_IDS = ["my-app", "my.app", "", "a~b", "a/b"]
 
 
 @query(

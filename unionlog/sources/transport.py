@@ -12,7 +12,7 @@ from unionlog.functions.elements import oversize
 from unionlog.operators.sets import CONSUMER_GONE, OVERSIZE, UNAVAILABLE
 from unionlog.sources import store
 
-DEFAULT_APP_ID = "io-mon"
+DEFAULT_APP_ID = "default"
 
 
 @dataclass
