@@ -1,6 +1,5 @@
 import public_tokenizers
 from test_retrieval_packing import sound
-from test_simhash_dedup import brute_components
 from test_suffix_dedup import brute
 from tokenizers import Tokenizer
 
@@ -21,9 +20,14 @@ def test_stages_by_brute_force(spark):
     text = [{r.doc_id: r.text for r in k.collect()} for k in kept[:-1]]
     verdict = {r.doc_id: r.kept for r in quality_rules.op7_quality_rules(spark, sf).collect()}
     assert set(text[1]) == {d for d, k in verdict.items() if k}
-    fps = {d: simhash_dedup.fingerprint(t.encode(), 5) for d, t in text[1].items()}
-    groups = brute_components(set(fps.values()))
-    assert set(text[2]) == {min(d for d, f in fps.items() if f in g) for g in groups}
+    prints = {d: [simhash_dedup.fingerprint(t.encode(), n) for n in (5, 0)] for d, t in text[1].items()}
+    group = {d: d for d in prints}
+    for d, p in prints.items():
+        for e, q in prints.items():
+            if e < d and min((x ^ y).bit_count() for x, y in zip(p, q)) <= 2 and group[d] != group[e]:
+                old, new = max(group[d], group[e]), min(group[d], group[e])
+                group = {k: new if g == old else g for k, g in group.items()}
+    assert set(text[2]) == set(group.values())
     lost = brute(sorted((d, t.encode()) for d, t in text[2].items()))
     assert {d for d in text[2] if lost[d][1] == 0 or lost[d][1] < lost[d][0] - 20} <= set(text[3])
     for d, t in text[3].items():
@@ -42,6 +46,6 @@ def test_stages_by_brute_force(spark):
 def test_repeated_rows_and_nulls(spark):
     t = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(3, t, "a"), (3, t, "b"), (None, t, "c"), (2, "else " + t[::-1], "d"), (4, None, "e")], "doc_id long, text string, fp string")
-    out = simhash_dedup.one_of_each(df, 5)
+    out = simhash_dedup.one_of_each(df, (5, 0))
     assert out.columns == df.columns and sorted((r.doc_id, r.text is None) for r in out.collect()) == [(2, False), (3, False), (4, True)]
-    assert simhash_dedup.one_of_each(df.limit(0), 5).count() == 0
+    assert simhash_dedup.one_of_each(df.limit(0), (5, 0)).count() == 0

@@ -39,8 +39,9 @@ BITS = 64
 SEED = 42
 RADIUS = 2
 SHINGLE = 3
-#: Words of a shingle in the pipeline's stage.
-STAGE_SHINGLE = 5
+#: The pipeline's stage links texts by shingles of five words, or by their sets of words: an edit breaks five
+#: shingles but changes one word. Two of 64 bits stand for a similarity far over 0.8 either way.
+STAGE_SHINGLES = (5, 0)
 #: Entries of a bucket up to which its pairs are made one by one.
 BUCKET = 64
 #: Hashes turned into bit counts at a time.
@@ -58,27 +59,35 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint of UTF-8 text. bytes.split() and .lower() act on ASCII only, as wanted."""
+    """Unsigned 64-bit fingerprint of UTF-8 text. bytes.split() and .lower() act on ASCII only, as wanted.
+
+    A shingle of 0 words stands for the set of the text's words, whatever their order and number.
+    """
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
         return 0
-    pieces = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else (b" ".join(words),)
+    if not shingle:
+        pieces = set(words)
+    else:
+        pieces = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else (b" ".join(words),)
     hashes = np.fromiter((xxh64_intdigest(p, SEED) for p in pieces), np.uint64)
     set_bits = 2 * bit_counts(hashes) > len(hashes)
     return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
-    """(key, fp) of docs (key, text): the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (SHINGLE,), key: str = "doc_id") -> DataFrame:
+    """(key, fp, fp1, ...) of docs (key, text): the bits of a fingerprint for each size of shingle, as longs."""
+    names = ["fp", *(f"fp{i}" for i in range(1, len(shingles)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in byte_texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(values)], [key, "fp"])
+            texts = byte_texts(batch)
+            values = [pa.array(np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)) for n in shingles]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), *values], [key, *names])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def correlations(fps: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -220,7 +229,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text)."""
-    marked = cut(fingerprints(docs, shingle))
+    marked = cut(fingerprints(docs, (shingle,)))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(fps.select("fp"), radius))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -229,16 +238,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(named, "fp")
 
 
-def one_of_each(docs: DataFrame, shingle: int, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingles: tuple[int, ...], radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group of near copies: the one of least doc_id (nulls last, then by text hash).
 
-    All columns are kept. Groups are settled on (doc_id, text hash, fingerprint) alone; texts cross one exchange.
+    Texts are linked by any of the fingerprints. All columns are kept. Groups are settled on (doc_id, text hash,
+    fingerprints) alone; texts cross one exchange.
     """
     key = F.xxhash64(text_or_empty())
-    marked = cut(fingerprints(docs.select("text", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("th")).alias("key")), shingle, "key"))
-    fps = cut(marked.select("fp").distinct())
-    roots = components(links(fps, radius))
-    rooted = cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    keyed = docs.select("text", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("th")).alias("key"))
+    marked = cut(fingerprints(keyed, shingles, "key"))
+    # A node for each value of each fingerprint: linked values, and values that one text has, are neighbours.
+    node = lambda i, c: F.xxhash64(F.lit(i), c)
+    edges = marked.where(F.lit(False)).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    for i in range(len(shingles)):
+        column = f"fp{i}" if i else "fp"
+        found = links(cut(marked.select(F.col(column).alias("fp")).distinct()), radius)
+        edges = edges.unionByName(found.select(node(i, F.col("a")).alias("a"), node(i, F.col("b")).alias("b")))
+        if i:
+            edges = edges.unionByName(marked.select(node(0, F.col("fp")).alias("a"), node(i, F.col(column)).alias("b")).distinct())
+    roots = components(edges)
+    fps = marked.select("fp", node(0, F.col("fp")).alias("node")).distinct()
+    rooted = cut(fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")))
     order = F.struct(F.col("key.doc_id").isNull().alias("none"), F.col("key.doc_id").alias("doc_id"), F.col("key.th").alias("th"))
     first = marked.groupBy("fp").agg(F.min(order).alias("first"))
     kept = cut(first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("k_doc_id"), F.col("first.th").alias("k_th")))
@@ -251,8 +271,8 @@ def one_of_each(docs: DataFrame, shingle: int, radius: int = RADIUS) -> DataFram
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on shingles of five words."""
-    return one_of_each(docs, STAGE_SHINGLE)
+    """One document of each group of near copies."""
+    return one_of_each(docs, STAGE_SHINGLES)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
