@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is in fewer pieces than half of them (one small file is one piece, and one task).
+
+    Tables of many blocks, which is all that matters at scale, are left as they are: no exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(2 * cores) if 2 * pieces < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name in the place that driver and executors share.
 
