@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, drop_cut, partitions, table, text_or_empty
+from unionlog.llm.common import byte_texts, cut, drop_cut, partitions, spread, table, text_or_empty
 from unionlog.llm.suffix_sort import permuted_lcp, suffix_array
 
 WINDOW = 100
@@ -41,10 +41,13 @@ PLACE_BITS = 20
 STRETCH = (1 << PLACE_BITS) - 4 * WINDOW
 #: Occurrences of an anchor up to which its segments stay together.
 HOT = 256
+#: Set in `runs` for such an anchor.
+HOT_BIT = 128
 #: Bytes of a block that is suffix-sorted at once; a single anchor's segments can add up to HOT of them.
 BLOCK = 1 << 20
 #: Distinct segments that a task remembers while it takes segments from texts.
 REMEMBERED = 100_000
+ROWS = 20_000
 #: Stands between segments; never in UTF-8. Even where a text has it, windows are compared on their own bytes.
 SEPARATOR = 0xFF
 
@@ -138,11 +141,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = pa.array(of)
         ids, hashes = (batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "th"))
         # Windows of one anchor are at most WINDOW - ANCHOR + 1, which fits seven bits.
-        yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(h.view(np.int64)), pa.array(first << 7 | count)], ["doc_id", "th", "key", "runs"])
+        yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(h.view(np.int64)), pa.array(first << 8 | count)], ["doc_id", "th", "key", "runs"])
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, key, runs) of all texts; runs is the first window above seven bits of their number."""
+    """(doc_id, th, key, runs) of all texts; runs is the first window above a free bit and seven bits of their number."""
     return docs.mapInArrow(_anchor_rows, "doc_id long, th long, key long, runs long")
 
 
@@ -153,7 +156,7 @@ def _mixed(a: int, b: int) -> int:
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments (route, doc_id, th, first, segment) and, with no segment, windows lost at once (first, windows)."""
+    """Segments (route, doc_id, th, first, windows, segment) and, without route and segment, windows lost at once."""
     from xxhash import xxh3_64_intdigest
 
     names = ("route", "doc_id", "th", "first", "windows", "segment")
@@ -161,15 +164,12 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     kept: dict[tuple[int, bytes], tuple] = {}
     out: list[tuple] = []
 
-    def emit() -> pa.RecordBatch:
-        nonlocal out
-        columns = list(zip(*out, strict=True)) or [[]] * len(names)
-        out = []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def deal() -> None:
-        for (key, segment), (_, doc_id, th, first, windows, n) in kept.items():
-            if n <= HOT:
+        for (key, segment), (_, doc_id, th, first, windows, hot) in kept.items():
+            if not hot:
                 out.append((key, doc_id, th, first, windows, segment))
             else:
                 for i in range(windows):
@@ -179,26 +179,38 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         texts = byte_texts(batch)
-        ids, hashes, hits = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "th", "hits"))
-        for text, doc_id, th, found in zip(texts, ids, hashes, hits, strict=True):
-            for hit in found:
-                first, windows = hit["runs"] >> 7, hit["runs"] & 127
-                at = (hit["key"], text[first : first + windows + WINDOW - 1])
-                own = ((doc_id is not None, doc_id or 0, th, first), doc_id, th, first, windows, hit["n"])
+        ids, hashes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "th"))
+        hits = batch.column(batch.schema.get_field_index("hits"))
+        ends = np.cumsum(hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        found = hits.flatten()
+        keys, runs = (found.field(c).to_numpy(zero_copy_only=False) for c in ("key", "runs"))
+        for i, (text, doc_id, th) in enumerate(zip(texts, ids, hashes, strict=True)):
+            mine = slice(ends[i - 1] if i else 0, ends[i])
+            order = np.argsort(runs[mine])
+            lost: list[list[int]] = []  # runs of windows, neighbours joined
+            place = (doc_id is not None, doc_id or 0, th)
+            for key, run in zip(keys[mine][order].tolist(), runs[mine][order].tolist(), strict=True):
+                first, windows = run >> 8, run & 127
+                at = (key, text[first : first + windows + WINDOW - 1])
+                own = ((*place, first), doc_id, th, first, windows, run & HOT_BIT)
                 known = kept.setdefault(at, own)
-                if known[0] != own[0]:
-                    later = max(known, own, key=lambda x: x[0])
-                    kept[at] = own if later is known else known
-                    out.append((None, *later[1:5], None))
+                if known[0] < own[0]:
+                    if lost and lost[-1][0] + lost[-1][1] == first:
+                        lost[-1][1] += windows
+                    else:
+                        lost.append([first, windows])
+                elif known[0] > own[0]:
+                    kept[at] = own
+                    out.append((None, *known[1:5], None))
+            out.extend((None, doc_id, th, first, windows, None) for first, windows in lost)
             if len(kept) >= REMEMBERED:
                 deal()
-            if len(out) >= 20_000:
-                yield emit()
+        for i in range(0, len(out), ROWS):
+            yield emit(out[i : i + ROWS])
+        out.clear()
     deal()
-    while out:
-        rest, out = out[20_000:], out[:20_000]
-        yield emit()
-        out = rest
+    for i in range(0, len(out), ROWS):
+        yield emit(out[i : i + ROWS])
 
 
 def lost_windows(segments: list[bytes], windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,36 +242,68 @@ def lost_windows(segments: list[bytes], windows: np.ndarray, rank: np.ndarray) -
     return of[firsts], offset[firsts], ends - firsts
 
 
+def _place(row: tuple) -> tuple:
+    """Where a segment row stands in the order of documents and places."""
+    return (row[1] is not None, row[1] or 0, row[2], row[3])
+
+
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    size = 0
+    """Intervals lost, from segment rows sorted by route.
+
+    Equal segments of a route become one first: all but the earliest are lost whole. A route with a single
+    segment left needs no more; the others go into a block for the suffix array.
+    """
+    block: list[tuple] = []
+    group: dict[bytes, tuple] = {}
+    out: list[tuple] = []
+    size, last = 0, None
+
+    def whole(row: tuple) -> None:
+        out.append((row[1], row[2], row[3], row[3] + row[4] - 1 + WINDOW))
+
+    def close_group() -> None:
+        nonlocal size
+        if len(group) > 1:
+            block.extend(group.values())
+            size += sum(map(len, group))
+        group.clear()
+
+    def solve() -> None:
+        nonlocal size
+        rank_of = {p: i for i, p in enumerate(sorted({_place(r) for r in block}))}
+        rank = np.array([rank_of[_place(r)] for r in block], np.int64)
+        which, first, count = lost_windows([r[5] for r in block], np.array([r[4] for r in block], np.int64), rank)
+        for i, f, n in zip(which.tolist(), first.tolist(), count.tolist(), strict=True):
+            r = block[i]
+            out.append((r[1], r[2], r[3] + f, r[3] + f + n - 1 + WINDOW))
+        block.clear()
+        size = 0
+
+    def emit() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "th", "begin", "end"])
+        out.clear()
+        return made
 
-    def solve() -> pa.RecordBatch | None:
-        nonlocal rows, size
-        places = sorted({(r[1] is not None, r[1] or 0, r[2], r[3]) for r in rows})
-        rank_of = {p: i for i, p in enumerate(places)}
-        rank = np.array([rank_of[r[1] is not None, r[1] or 0, r[2], r[3]] for r in rows], np.int64)
-        which, first, count = lost_windows([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), rank)
-        own, rows, size = rows, [], 0
-        if not len(which):
-            return None
-        begin = np.array([r[3] for r in own], np.int64)[which] + first
-        return pa.RecordBatch.from_arrays(
-            [pa.array([own[i][1] for i in which], pa.int64()), pa.array([own[i][2] for i in which], pa.int64()), pa.array(begin), pa.array(begin + count - 1 + WINDOW)],
-            ["doc_id", "th", "begin", "end"],
-        )
-
-    last = None
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if row[0] != last and size >= BLOCK:
-                if (found := solve()) is not None:
-                    yield found
-            last = row[0]
-            rows.append(row)
-            size += len(row[5])
-    if rows and (found := solve()) is not None:
-        yield found
+            if row[0] != last:
+                close_group()
+                last = row[0]
+                if size >= BLOCK:
+                    solve()
+            known = group.setdefault(row[5], row)
+            if _place(known) < _place(row):
+                whole(row)
+            elif _place(known) > _place(row):
+                group[row[5]] = row
+                whole(known)
+        if len(out) >= ROWS:
+            yield emit()
+    close_group()
+    if block:
+        solve()
+    if out:
+        yield emit()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -283,16 +327,21 @@ def lost_intervals(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
     found = anchors(texts.where(F.octet_length("text") >= WINDOW))
     shared = cut(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    hits = found.join(shared, "key").groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_list(F.struct("key", "runs", "n")).alias("hits"))
+    _release(spark)
+    run = F.when(F.col("n") > HOT, F.col("runs").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("runs"))
+    repeated = cut(found.join(shared, "key").select("doc_id", "th", "key", run.alias("runs")))
+    drop_cut(shared)
+    _release(spark)
+    hits = repeated.groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_list(F.struct("key", "runs")).alias("hits"))
     with_text = texts.join(hits, _same_document(texts, hits)).select("doc_id", "th", "text", "hits")
     segments = cut(with_text.mapInArrow(_segment_rows, "route long, doc_id long, th long, first long, windows long, segment binary"))
+    drop_cut(repeated)
     _release(spark)
     dealt = segments.where("segment is not null").repartition(partitions(docs), "route").sortWithinPartitions("route")
     lost = dealt.mapInArrow(_block_rows, "doc_id long, th long, begin long, end long")
     at_once = segments.where("segment is null").select("doc_id", "th", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("end"))
     out = cut(lost.unionByName(at_once))
     drop_cut(segments)
-    drop_cut(shared)
     _release(spark)
     return out
 
@@ -336,7 +385,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_lost(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = with_lost(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
     return found.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "row.text", "spans").mapInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
