@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, held, is_held, table
+from unionlog.llm.common import byte_texts, cut, held, is_held, spread, table
 
 MODULUS = 3
 #: At most so many labelled documents are learnt from.
@@ -241,7 +241,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return classify(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 QUERIES = {"op1_quality_classifier": op1_quality_classifier}

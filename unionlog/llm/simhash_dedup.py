@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, table, text_or_empty
+from unionlog.llm.common import byte_texts, cut, spread, table, text_or_empty
 from unionlog.llm.components import components
 
 BITS = 64
@@ -276,7 +276,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from unionlog.llm.common import table
+from unionlog.llm.common import spread, table
 
 LIMIT = 512
 #: Pre-tokens whose count is remembered in a Python worker.
@@ -143,7 +143,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(spread(table(spark, sf_dir, "documents", "doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {"op2_token_counts": op2_token_counts}
