@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import table
+from unionlog.llm.common import spread, table
 
 Q = 8
 EDIT_SHARE = 0.1
@@ -80,13 +80,15 @@ def aligned(item: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int,
     place = low + ahead
     inside = (place >= 0) & (place <= len(text))
     row = np.where(inside, np.maximum(place, 0), far * scale)
-    for i in range(len(item)):
-        sub = row + (padded[i : i + width] != item[i]) * scale
-        up = np.append(row[1:], far * scale) + scale
-        row = np.minimum(sub, up)
-        row = np.minimum.accumulate(row - ahead * scale) + ahead * scale
-        ends = place + i + 1
-        row = np.where((ends >= 0) & (ends <= len(text)), row, far * scale)
+    slope = ahead * scale
+    up = np.full(width, far * scale)
+    for i, c in enumerate(item):
+        up[:-1] = row[1:]
+        row = np.minimum(row + (padded[i : i + width] != c) * scale, up + scale)
+        row = np.minimum.accumulate(row - slope) + slope
+        ends = place + (i + 1)
+        if ends[0] < 0 or ends[-1] > len(text):
+            row[(ends < 0) | (ends > len(text))] = far * scale
     best = int(row.min())
     edits, start = best // scale, best % scale
     if edits > k:
@@ -117,9 +119,9 @@ class Searcher:
     def _slot(g: np.ndarray) -> np.ndarray:
         return (g * _MULTIPLIER) >> np.uint64(64 - TABLE_BITS)
 
-    def _hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of each shared q-gram."""
-        items, diagonals = [], []
+    def _hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, diagonal, place in the item) of each shared q-gram."""
+        items, diagonals, places = [], [], []
         for at in range(0, max(1, len(data) - Q + 1), STRETCH):
             g = grams(data[at : at + STRETCH + Q - 1])
             maybe = np.flatnonzero(self.table[self._slot(g)])
@@ -130,26 +132,36 @@ class Searcher:
             times = self.ends[i + 1] - self.ends[i]
             posting = np.repeat(self.ends[i] - np.cumsum(times) + times, times) + np.arange(times.sum())
             items.append(self.item[posting])
-            diagonals.append(np.repeat(p, times) - self.place[posting])
-        return np.concatenate(items), np.concatenate(diagonals)
+            places.append(self.place[posting])
+            diagonals.append(np.repeat(p, times) - places[-1])
+        return np.concatenate(items), np.concatenate(diagonals), np.concatenate(places)
 
     def find(self, text: str) -> list[dict]:
         """Matches (item_id, begin, end, edits); places are in the normalised text."""
         data = normalised(text)
         if not len(self.keys) or len(data) < Q:
             return []
-        item, diagonal = self._hits(data)
+        item, diagonal, place = self._hits(data)
         if not len(item):
             return []
-        strips, counts = np.unique((item << 40) + (diagonal // self.strip[item]) + (1 << 38), return_counts=True)
+        key = (item << 40) + (diagonal // self.strip[item]) + (1 << 38)
+        strips, counts = np.unique(key, return_counts=True)
         joined = counts.copy()
         neighbours = np.flatnonzero(strips[1:] == strips[:-1] + 1)
         joined[neighbours] += counts[neighbours + 1]
-        # A band also begins one strip before the first of neighbours; that one's own strip is empty.
         of = strips >> 40
+        bands = np.flatnonzero(joined >= self.need[of])
+        if not len(bands):
+            return []
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
         best: dict[int, tuple[int, int, int]] = {}
-        for c in np.flatnonzero(joined >= self.need[of]):
+        for c in bands:
             i = int(of[c])
+            # A q-gram of the item counts once, however often the band's stretch of text has it.
+            own = place[np.searchsorted(key, strips[c]) : np.searchsorted(key, strips[c] + 1, side="right")]
+            if len(np.unique(own)) < self.need[i]:
+                continue
             k, size = self.budgets[i][0], int(self.strip[i])
             low = (int(strips[c] & ((1 << 40) - 1)) - (1 << 38)) * size
             got = aligned(self.items[i][1], data, low, low + 2 * size - 1, k)
@@ -213,7 +225,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return matches(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
