@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from unionlog.llm.common import table
+from unionlog.llm.common import spread, table
+from unionlog.llm.token_counts import byte_alphabet
 
 WINDOW = 4096
 END_ID = 2
@@ -37,7 +38,7 @@ QUERY_TERMS = 32
 SHARD_TOKENS, SHARD_DOCS = 1 << 21, 1 << 15
 #: Ranked neighbours at first; all are ranked where these do not fill the window.
 FIRST_RANKED = 64
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 # Fixed pattern of the vocabulary's pre-tokenizer; white space is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -46,7 +47,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 class WordTokenizer:
     """Ids of texts as the tokenizers library gives them for a vocabulary that merges within words only.
 
-    The library encodes each distinct word once; the texts are put together from these.
+    The library's model encodes each distinct word once; the texts are put together from these.
     """
 
     def __init__(self, path: str):
@@ -68,14 +69,18 @@ class WordTokenizer:
 
 
 class _Words(dict):
+    """Ids of words that are normalised already: the vocabulary's model sees them as byte characters."""
+
     def __init__(self, library):
         super().__init__()
-        self.library = library
+        self.model = library.model
+        self.characters = {b: c for c, b in byte_alphabet().items()}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = ids = np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        pieces = self.model.tokenize("".join(map(self.characters.__getitem__, word.encode())))
+        self[word] = ids = np.array([p.id for p in pieces], np.uint32).tobytes()
         return ids
 
 
@@ -100,7 +105,8 @@ class InvertedIndex:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
         self.term, self.weight = term, (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        order = np.argsort(term, kind="stable")
+        # Ids of 16 bits are sorted by radix.
+        order = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")
         self.posted_doc, self.posted_weight = doc[order], self.weight[order]
         self.posted_at = np.concatenate([[0], np.cumsum(df)])
         self.size = n
@@ -234,7 +240,7 @@ def _vocabulary() -> str:
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary())
+    return pack(spread(table(spark, sf_dir, "documents", "doc_id", "text")), _vocabulary())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
