@@ -38,6 +38,8 @@ MIN_REVISIT_BYTES = 100
 #: A WARC file is closed once it holds as many bytes before compression; it is built in memory.
 FILE_BYTES = 16 << 20
 GZIP_LEVEL = 4
+#: Compressed bytes given to a record's decompressor at a time.
+PIECE = 1 << 13
 
 # Fixed values of the ARC format: header fields by version.
 ARC_FIELDS = {
@@ -143,13 +145,18 @@ def to_warc(head: dict[str, str], body: bytes, refers_to: str | None = None) ->
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of a file of gzip members."""
-    rest = memoryview(data)
-    while rest:
-        d = zlib.decompressobj(31)
-        record = d.decompress(rest)
-        rest = memoryview(d.unused_data)
-        head, _, tail = record.partition(b"\r\n\r\n")
+    """(header fields, block) of each record of a file of gzip members, fed piece by piece."""
+    at = 0
+    while at < len(data):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(data):
+                raise ValueError("a record does not end")
+            piece = data[at : at + PIECE]
+            parts.append(d.decompress(piece))
+            at += len(piece)
+        at -= len(d.unused_data)
+        head, _, tail = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError("not a WARC record")
