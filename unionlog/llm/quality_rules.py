@@ -57,14 +57,14 @@ def _sorted_windows(w: str, n: str) -> Column:
     return F.sort_array(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), F.sequence(F.lit(0), F.greatest(F.col(n) - 3, F.lit(0))).alias("i")))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Each row as `row` (a struct) with its counts in `q` (a struct).
+def counted(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Each row as `row` (a struct of all its columns, or of those to keep) with its counts in `q` (a struct).
 
     Repeated windows are found on longs, 44 bits of hash over 20 bits of place, which sort without boxing;
     windows of equal hash are then compared word by word, and a text in which a hash misleads, or with over
     2**20 words, is done over by sorting the words themselves.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), text_or_empty().alias("t"))
     split = rows.withColumn("w", words_of(F.col("t"))).withColumn("n", F.size("w"))
     low = (1 << PLACE_BITS) - 1
     places = F.sequence(F.lit(0), F.greatest(F.col("n") - 3, F.lit(0)))
@@ -145,13 +145,13 @@ def certified_cutoffs(labelled: DataFrame, limit: float = LIMIT, error: float =
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR, keep: list[str] | None = None) -> DataFrame:
     """(row, q, base_failed, kept) for each row of docs (doc_id, text, lang, ...).
 
     The counts are written once to the shared folder: calibration and verdicts both read them there.
     """
     spark = docs.sparkSession
-    rows = cut(counted(docs))
+    rows = cut(counted(docs, keep))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     slim = rows.where(~base_failed()).select(F.col("row.doc_id").alias("doc_id"), F.coalesce("row.lang", F.lit("")).alias("stratum"), *(c.alias(r) for r, c in ratios().items()))
     labelled = slim.join(marks, "doc_id").withColumn("good", F.col("quality") == 1)
@@ -168,7 +168,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     # The text is only read for its counts; what is written and joined is a few numbers a row.
-    judged = judge(docs.select("doc_id", "lang", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    judged = judge(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), keep=["doc_id", "lang"])
     return judged.select("row.doc_id", *(f"q.{c}" for c in counts), "base_failed", "kept")
 
 
