@@ -46,21 +46,25 @@ def test_whole_table(spark, monkeypatch, common):
 
 
 def test_probabilities_add_up():
-    """The chance of all one-byte words' first bytes is at most one: 256 of them, after the same start."""
+    """The chances of all 256 first bytes, and of the bytes that the escape could also spell, add up to one."""
     rng = np.random.default_rng(1)
     zeros, ones = (rng.integers(0, 3, M.ENTRIES).astype(np.uint16) for _ in range(2))
     model = M.Model(zeros, ones)
     model.set_correction(rng.integers(0, 50, (2, M.GATES * M.BINS)).cumsum(0).astype(float))
-    kinds = np.zeros(1, int)
-    total = 0.0
-    for b in range(256):
-        bits = M.Bits(kinds, [bytes([b])])
+
+    def chances(byte):
+        bits = M.Bits(np.zeros(1, int), [bytes([byte])])
         x, gate = model.inputs(bits)
-        z = model.mixed(x, gate)[:8]
+        z = model.mixed(x, gate)
         p = 1 / (1 + np.exp(-z.astype(float)))
-        p = np.clip(p + 0.5 * model.correction[gate[:8] * M.BINS + model._bin(z)], 1e-6, 1 - 1e-6)
-        total += float(np.prod(np.where(bits.outcome[:8], p, 1 - p)))
-    assert math.isclose(total, 1, abs_tol=1e-6)
+        p = np.clip(p + 0.5 * model.correction[gate * M.BINS + model._bin(z)], 1e-6, 1 - 1e-6)
+        return np.where(bits.outcome, p, 1 - p)[: M.DECISIONS[byte]]
+
+    short = [float(np.prod(chances(b))) for b in M.SHORT]
+    escape = float(np.prod(chances(0xC3)[:5]))
+    assert math.isclose(sum(short) + escape, 1, abs_tol=1e-6)
+    spelt = [float(np.prod(chances(b)[5:])) for b in range(256) if bytes([b]) not in M.SHORT]
+    assert 0 < sum(spelt) <= 1 + 1e-6
 
 
 def test_contexts_do_not_depend_on_the_batch():

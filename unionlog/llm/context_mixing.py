@@ -1,8 +1,8 @@
 """Language-model scores by logistic context mixing, trained on the corpus itself.
 
 A text is lower-cased (A-Z), split into words, and ends with one end token. A word is coded byte by byte and a space
-after it, the end token as one newline, so that all texts' probabilities together do not exceed 1. Each byte is eight
-binary decisions. For each decision six contexts (the last one to four bytes of the word and the whole prefix, all
+after it, the end token as one newline, so that all texts' probabilities together do not exceed 1. A byte is five
+binary decisions if it is a letter or one of a few signs, else an escape and eight more. For each decision six contexts (the last one to four bytes of the word and the whole prefix, all
 but one with the kind of place) are hashed into tables of zeros and ones counted over the training texts. Their logits,
 weighed by how much was counted, are added up with weights from the set that a gate selects (how well the whole prefix
 and the last bytes are known); a last table corrects the result where the outcomes at that gate and logit were
@@ -28,6 +28,7 @@ With no training rows every table is empty and each decision starts at one half.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, held, is_held, partitions, table
+from unionlog.llm.common import byte_texts, cut, held, is_held, partitions, spread, table
 
 MODULUS = 5
 END = b""
@@ -52,7 +53,7 @@ OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(
 ENTRIES = int(OFFSETS[-1])
 GATES = 6 * 4
 BINS, BIN_WIDTH = 33, 0.5
-RATE, EPOCHS = 0.15, 1
+RATE, UNSETTLED = 0.15, 5
 #: Words predicted at a time; pairs and words remembered in a task or worker.
 BATCH_WORDS, REMEMBERED, PAIRS = 2000, 1_000_000, 300_000
 LN10 = math.log(10)
@@ -106,13 +107,45 @@ def grouped(together: np.ndarray) -> np.ndarray:
     return np.argmax(rows @ centre.T, axis=1)
 
 
+#: Bytes of a short code, in the order of their codes; the last code announces eight bits.
+SHORT = b"abcdefghijklmnopqrstuvwxyz \n.,-"
+ESCAPE = len(SHORT)
+
+
+def _paths() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte the number of its decisions, their nodes and their outcomes."""
+    count, nodes, outcomes = np.zeros(256, np.int64), np.zeros((256, 13), np.int64), np.zeros((256, 13), bool)
+    for byte in range(256):
+        short = SHORT.find(bytes([byte]))
+        code = [((short if short >= 0 else ESCAPE) >> i) & 1 for i in range(4, -1, -1)]
+        steps, node = [], 1
+        for bit in code:
+            steps.append((node, bit))
+            node = 2 * node + bit
+        if short < 0:
+            node = 1
+            for bit in ((byte >> i) & 1 for i in range(7, -1, -1)):
+                steps.append((256 + node, bit))
+                node = 2 * node + bit
+        count[byte] = len(steps)
+        for j, (n, bit) in enumerate(steps):
+            nodes[byte, j], outcomes[byte, j] = n, bit
+    return count, nodes, outcomes
+
+
+DECISIONS, NODES, OUTCOMES = _paths()
+#: A random number for each node, which is mixed into the hash of a context.
+NODE_BITS = np.random.default_rng(3).integers(0, 2**63, 512, np.uint64)
+
+
 class Bits:
     """The binary decisions of many words: table entries of each context, outcome, and word of each."""
 
     def __init__(self, kinds: np.ndarray, words: list[bytes]):
         coded = [w + b" " if w else b"\n" for w in words]
         lengths = np.array([len(w) for w in coded], np.int64)
-        t = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        t = raw.astype(np.uint64)
         n = len(t)
         starts = np.cumsum(lengths) - lengths
         word = np.repeat(np.arange(len(words)), lengths)
@@ -134,16 +167,22 @@ class Bits:
             recent = (recent << np.uint64(8)) + byte
             contexts.append(recent + kind + np.uint64(k << 40))
         contexts += [prefix, prefix + kind]
-        shifts = np.arange(7, -1, -1, dtype=np.uint64)
-        self.outcome = ((t[:, None] >> shifts) & np.uint64(1)).astype(bool).ravel()
-        node = ((t[:, None] | np.uint64(256)) >> (shifts + np.uint64(1))).astype(np.uint64)
+        times = DECISIONS[raw]
+        at = np.repeat(np.arange(n), times)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        own = raw[at]
+        self.outcome = OUTCOMES[own, step]
+        node = NODE_BITS[NODES[own, step]]
         self.at = []
         for k, (c, bits) in enumerate(zip(contexts, TABLE_BITS, strict=True)):
             base = (c + _SALTS[k]) * _MIX
             base ^= base >> np.uint64(31)
-            h = (base[:, None] + node * _MIX2) * _MIX
-            self.at.append(((h ^ (h >> np.uint64(29))) * _MIX2 >> np.uint64(64 - bits)).astype(np.int64).ravel())
-        self.word = np.repeat(word, 8)
+            h = base[at]
+            h ^= node
+            h *= _MIX2
+            h >>= np.uint64(64 - bits)
+            self.at.append(h.view(np.int64))
+        self.word = word[at]
 
 
 class Model:
@@ -151,48 +190,63 @@ class Model:
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray):
         self.zeros, self.ones = zeros, ones
-        self.weights = np.full((GATES, CONTEXTS), 0.3)
+        self.weights = np.full((GATES, CONTEXTS), 0.3, np.float32)
         self.correction: np.ndarray | None = None
+        self.logits: np.ndarray | None = None
 
-    def inputs(self, bits: Bits, less: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of each context and the gate; `less` occurrences of each word are taken out first."""
+    @staticmethod
+    def _logit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = a + b
+        return np.log((b + np.float32(0.05)) / (a + np.float32(0.05))) * (total / (total + np.float32(0.4)))
+
+    @staticmethod
+    def _gate(whole: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """By what the tables of the whole prefix and of the last four bytes have counted."""
+        steps = lambda total, at: sum((total > x).astype(np.int8) for x in at)
+        return (steps(whole, (0.5, 1.5, 3.5, 15.5, 127.5)) * np.int8(4) + steps(short, (0.5, 4, 32))).astype(np.int64)
+
+    def inputs(self, bits: Bits, alone: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of each context and the gate; unless alone, one occurrence of each word is taken out first."""
         x = np.empty((CONTEXTS, len(bits.outcome)), np.float32)
-        own = None if less is None else less[bits.word]
+        if alone:
+            if self.logits is None:
+                self.logits = self._logit(self.zeros.astype(np.float32), self.ones.astype(np.float32))
+                self.totals = self.zeros.astype(np.uint32) + self.ones
+            for k in range(CONTEXTS):
+                x[k] = self.logits[bits.at[k] + OFFSETS[k]]
+            return x, self._gate(self.totals[bits.at[4] + OFFSETS[4]], self.totals[bits.at[3] + OFFSETS[3]])
+        one = bits.outcome.astype(np.float32)
+        totals = {}
         for k in range(CONTEXTS):
             at = bits.at[k] + OFFSETS[k]
-            a, b = self.zeros[at].astype(np.float32), self.ones[at].astype(np.float32)
-            if own is not None:
-                b = np.maximum(b - np.where(bits.outcome, own, 0), 0)
-                a = np.maximum(a - np.where(bits.outcome, 0, own), 0)
-            total = a + b
-            x[k] = np.log((b + 0.05) / (a + 0.05)) * (total / (total + 0.4))
-            if k == 3:
-                short = np.digitize(total, [0.5, 4, 32])
-            elif k == 4:
-                whole = np.digitize(total, [0.5, 1.5, 3.5, 15.5, 127.5])
-        return x, whole * 4 + short
+            b = np.maximum(self.ones[at] - one, 0)
+            a = np.maximum(self.zeros[at] - (1 - one), 0)
+            x[k] = self._logit(a, b)
+            totals[k] = a + b
+        return x, self._gate(totals[4], totals[3])
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = np.zeros(len(gate), np.float32)
         for k in range(CONTEXTS):
-            z += self.weights[gate, k].astype(np.float32) * x[k]
+            z += self.weights[:, k].astype(np.float32)[gate] * x[k]
         return np.clip(z, -11, 11)
 
-    def learn(self, bits: Bits, times: np.ndarray, rate: float) -> None:
-        """One online step: predict, then move the weights of each gate by its mean gradient."""
-        x, gate = self.inputs(bits, np.ones(len(times), np.float32))
-        error = bits.outcome - 1 / (1 + np.exp(-self.mixed(x, gate)))
+    def learn(self, bits: Bits, times: np.ndarray, rate: float) -> np.ndarray:
+        """One online step: predict, then move the weights of each gate by its mean gradient.
+
+        Returns the weighted ones and all outcomes by gate and bin of the predicted logit.
+        """
+        x, gate = self.inputs(bits, alone=False)
+        z = self.mixed(x, gate)
+        error = bits.outcome - 1 / (1 + np.exp(-z))
         weight = np.sqrt(times)[bits.word]
+        moved = weight * error
         total = np.bincount(gate, weight, GATES) + 1e-9
         for k in range(CONTEXTS):
-            self.weights[:, k] += rate * np.bincount(gate, weight * error * x[k], GATES) / total
-
-    def outcomes(self, bits: Bits, times: np.ndarray) -> np.ndarray:
-        """Weighted ones and all outcomes by gate and bin of the mixed logit."""
-        x, gate = self.inputs(bits, np.ones(len(times), np.float32))
-        at = gate * BINS + self._bin(self.mixed(x, gate))
-        weight = times[bits.word].astype(np.float64)
-        return np.stack([np.bincount(at, weight * bits.outcome, GATES * BINS), np.bincount(at, weight, GATES * BINS)])
+            self.weights[:, k] += (rate * np.bincount(gate, moved * x[k], GATES) / total).astype(np.float32)
+        at = gate * BINS + self._bin(z)
+        often = times[bits.word].astype(np.float64)
+        return np.stack([np.bincount(at, often * bits.outcome, GATES * BINS), np.bincount(at, often, GATES * BINS)])
 
     @staticmethod
     def _bin(z: np.ndarray) -> np.ndarray:
@@ -302,14 +356,13 @@ def count_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        total = np.zeros((2, ENTRIES), np.float64)
+        both = np.zeros(2 * ENTRIES, np.float64)  # zeros and ones of an entry side by side
         for kinds, words, times in batches_of(batches):
             bits = Bits(kinds, words)
             weight = times[bits.word].astype(np.float64)
             for k in range(CONTEXTS):
-                for outcome in (0, 1):
-                    mine = bits.outcome == bool(outcome)
-                    np.add.at(total[outcome], bits.at[k][mine] + OFFSETS[k], weight[mine])
+                np.add.at(both, 2 * (bits.at[k] + OFFSETS[k]) + bits.outcome, weight)
+        total = both.reshape(-1, 2).T
         pack = zstandard.ZstdCompressor(level=1).compress
         for i in range(0, ENTRIES, CHUNK):
             part = total[:, i : i + CHUNK]
@@ -367,33 +420,23 @@ def fit(counts: DataFrame) -> Model:
     model = Model(*count_tables(counts))
     shared = spark.sparkContext.broadcast((model.zeros, model.ones))
 
-    def weights(batches) -> np.ndarray | None:
-        own, n = Model(*shared.value), 0
-        step = 0
-        for kinds, words, times in batches:
-            bits = Bits(kinds, words)
-            for _ in range(EPOCHS):
-                step += 1
-                own.learn(bits, times, RATE / (1 + step / 200))
-            n += len(words)
-        return np.append(own.weights.ravel() * n, n) if n else None
-
-    got = _summed(counts, weights)
-    if got is not None:
-        model.weights = (got[:-1] / got[-1]).reshape(GATES, CONTEXTS)
-    learnt = model.weights
+    size = GATES * CONTEXTS
 
-    def outcomes(batches) -> np.ndarray | None:
-        own = Model(*shared.value)
-        own.weights = learnt
+    def learnt(batches) -> np.ndarray | None:
+        own, n, step = Model(*shared.value), 0, 0
         seen = np.zeros((2, GATES * BINS))
         for kinds, words, times in batches:
-            seen += own.outcomes(Bits(kinds, words), times)
-        return seen
+            step += 1
+            outcomes = own.learn(Bits(kinds, words), times, RATE / (1 + step / 200))
+            n += len(words)
+            # The first steps' predictions are of weights that are hardly learnt.
+            seen = outcomes if step <= UNSETTLED else seen + outcomes
+        return np.concatenate([own.weights.ravel() * float(n), [n], seen.ravel()]) if n else None
 
-    seen = _summed(counts, outcomes)
-    if seen is not None:
-        model.set_correction(seen.reshape(2, -1))
+    got = _summed(counts, learnt)
+    if got is not None:
+        model.weights = (got[:size] / got[size]).reshape(GATES, CONTEXTS).astype(np.float32)
+        model.set_correction(got[size + 1 :].reshape(2, -1))
     return model
 
 
@@ -424,7 +467,8 @@ class WordScores:
         self.known.update(zip(part, got.tolist(), strict=True))
 
 
-_SCORERS: dict[int, WordScores] = {}
+#: Of the model in use, by its name: a Python worker runs tasks of many queries.
+_SCORERS: dict[str, WordScores] = {}
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -436,14 +480,13 @@ def scored(docs: DataFrame) -> DataFrame:
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, log_denominator = totals.n, math.log10(totals.n + 0.5 * (totals.v + 1))
     common = {bytes(r.word): r.c for r in words.orderBy(F.desc("c"), "word").limit(COMMON).collect()}
-    shared = spark.sparkContext.broadcast((model, common, groups))
+    shared, name = spark.sparkContext.broadcast((model, common, groups)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared)
-        if key not in _SCORERS:
+        if name not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[key] = WordScores(shared.value[0])
-        scorer, (_, frequent, group_of) = _SCORERS[key], shared.value
+            _SCORERS[name] = WordScores(shared.value[0])
+        scorer, (_, frequent, group_of) = _SCORERS[name], shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
@@ -482,7 +525,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return scored(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 QUERIES = {"op5_context_mixing": op5_context_mixing}
