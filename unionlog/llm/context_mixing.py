@@ -27,6 +27,7 @@ With no training rows every table is empty and each decision starts at one half.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from collections import Counter
@@ -56,6 +57,8 @@ BINS, BIN_WIDTH = 33, 0.5
 RATE, UNSETTLED = 0.15, 5
 #: Words predicted at a time; pairs and words remembered in a task or worker.
 BATCH_WORDS, REMEMBERED, PAIRS = 2000, 1_000_000, 300_000
+#: Texts whose unknown words are scored together.
+TOGETHER = 64
 LN10 = math.log(10)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -467,6 +470,13 @@ class WordScores:
         self.known.update(zip(part, got.tolist(), strict=True))
 
 
+def prepared(scorer: WordScores, counted: Iterator[Counter]) -> Iterator[Counter]:
+    """Passes texts' tokens on once their words are scored, those of TOGETHER texts at a time."""
+    while part := list(itertools.islice(counted, TOGETHER)):
+        scorer.prepare(set().union(*part))
+        yield from part
+
+
 #: Of the model in use, by its name: a Python worker runs tasks of many queries.
 _SCORERS: dict[str, WordScores] = {}
 
@@ -491,9 +501,8 @@ def scored(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
             out: list[tuple] = []
-            for doc_id, text in zip(ids.to_pylist(), byte_texts(batch), strict=True):
-                own = tokens(text, group_of)
-                scorer.prepare(own)
+            counted = (tokens(text, group_of) for text in byte_texts(batch))
+            for doc_id, own in zip(ids.to_pylist(), prepared(scorer, counted), strict=True):
                 known = scorer.known
                 score = sum(known[k] * n for k, n in own.items())
                 n_tokens = n_known = 0
