@@ -10,7 +10,7 @@ programming on estimated numbers of candidates: for t=0 the measured pairs in eq
 chance that so few of the partition's bits differ. A fingerprint probes every value within t_i of its own in
 partition i; candidates are verified on all 64 bits.
 
-Distinct fingerprints only are linked, copies are joined back at the end. A bucket of over `BUCKET` entries
+Distinct fingerprints only are linked, copies are joined back at the end. A bucket of over `BUCKET` fingerprints (its probes and its own)
 makes no pairs: its fingerprints go another exact way, in which each is listed under itself and its 64 one-bit
 variants (radius 2: two fingerprints are within two bits if and only if they share a listing). A listing
 holds 65 fingerprints at most, so that way is linear however large a group of near copies is. It covers a radius
@@ -42,8 +42,8 @@ SHINGLE = 3
 #: The pipeline's stage links texts by shingles of five words, or by their sets of words: an edit breaks five
 #: shingles but changes one word. Two of 64 bits stand for a similarity far over 0.8 either way.
 STAGE_SHINGLES = (5, 0)
-#: Entries of a bucket up to which its pairs are made one by one.
-BUCKET = 64
+#: Fingerprints of a bucket up to which its pairs are made one by one: at most four rows for each entry.
+BUCKET = 8
 #: Hashes turned into bit counts at a time.
 BLOCK = 1 << 14
 PARTITION_COUNTS = (2, 3)
