@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unionlog.llm import shingle_join
 from unionlog.llm.common import byte_texts, cut, spread, table, text_or_empty
 from unionlog.llm.components import components
 
@@ -39,9 +40,6 @@ BITS = 64
 SEED = 42
 RADIUS = 2
 SHINGLE = 3
-#: The pipeline's stage links texts by shingles of five words, or by their sets of words: an edit breaks five
-#: shingles but changes one word. Two of 64 bits stand for a similarity far over 0.8 either way.
-STAGE_SHINGLES = (5, 0)
 #: Fingerprints of a bucket up to which its pairs are made one by one: at most four rows for each entry.
 BUCKET = 8
 #: Hashes turned into bit counts at a time.
@@ -271,8 +269,8 @@ def one_of_each(docs: DataFrame, shingles: tuple[int, ...], radius: int = RADIUS
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return one_of_each(docs, STAGE_SHINGLES)
+    """One document of each group of near copies: five-word shingles at a similarity of 0.8 or more, not fingerprints."""
+    return shingle_join.one_of_each(docs)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
