@@ -94,3 +94,13 @@ def test_whole_table(spark):
     docs = sorted((r.doc_id, r.text.encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     got = D.op10_suffix_dedup(spark, sf).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute(docs)
+
+
+def test_thousands_of_repeated_rows_and_copies(spark):
+    """5,000 rows of one document, 2,000 copies of its text under other ids: work and rows stay linear."""
+    rng = random.Random(9)
+    t = "".join(rng.choice("abcdefghij ") for _ in range(2000))
+    rows = [(7, t)] * 5000 + [(100 + i, t) for i in range(2000)] + [(None, t[:700])] * 3
+    got, n = result(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert n == len(rows) and got[None][1] == 0
+    assert got[7][1:3] == (700, 1) and {got[100 + i][1:3] for i in range(2000)} == {(2000, 1)}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these: space, tab, \n, \v, \f, \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/unionlog"
+#: Spark's own setting for the files of a query's shuffles.
+DELETE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,18 +34,31 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name in the place that driver and executors share.
 
-    The cluster names that place in spark.checkpoint.dir; only where it is unset (tests, one
-    machine) is a local one used.
+    The cluster names that place in spark.checkpoint.dir. Where it is unset, a driver that runs everything itself
+    (local mode: tests, one machine) sets one of its own; on a cluster that is an error, as a folder of one machine would lose rows.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_CHECKPOINTS
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: ends its lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: ends its lineage, survives lost executors.
+
+    What the write shuffled is deleted as it ends, as nothing else can need it.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    before = spark.conf.get(DELETE_SHUFFLES)
+    spark.conf.set(DELETE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DELETE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:

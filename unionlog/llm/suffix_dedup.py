@@ -4,27 +4,32 @@
 
 1. Every 100-byte window chooses, of its 32-byte strings, the one of least hash (the leftmost of equals): its
    anchor. Equal windows choose equal anchors, so windows of different anchors need no comparison.
-   Neighbouring windows mostly share their anchor, so there is one row for some 35 windows.
-2. Anchors that occur once in the corpus are dropped (a combined count, and a join on the anchor whose hot
-   sides adaptive execution splits). For the rest the bytes that their windows cover are taken from
-   the texts: a segment each. Equal segments that meet in a task are one from here on: all but the
-   earliest lose all their windows at once.
-3. Segments are dealt by their anchor, so equal windows meet; an anchor of over `HOT` occurrences is dealt
-   window by window instead, by the window's own hash, so that no task gets all of it.
-4. In a task, segments are strung together into blocks of bounded size that hold whole anchors. A suffix array
-   of the block by induced sorting and its permuted common prefixes show which windows are equal: the
-   earliest of each keeps its bytes, the others lose theirs.
-5. The intervals lost come back to their documents.
+   Neighbouring windows mostly share their anchor: there is one run, with the segment of text it covers, for some 35 windows.
+2. Anchors that occur once in the corpus are dropped (a combined count, written, then a join).
+3. Runs of equal anchor and equal segment (64 bits of hash each, of different families) are settled by a combined
+   minimum: all but the earliest lose all their windows. That covers the inner part of every copy, however often
+   it occurs, and no text travels for it.
+4. An anchor that is left with several segments has their bytes taken from the texts. They are dealt by anchor, so equal
+   windows meet, and strung together into blocks of bounded size that hold whole anchors. A suffix array of the block by
+   induced sorting and its permuted common prefixes show which windows are equal: the earliest of each keeps its
+   bytes, the others lose theirs.
+5. An anchor of over `HOT` segments does not go into a block, which would have no bound: its windows are settled like the
+   runs of step 3, by 128 bits of hash each and a combined minimum.
+6. The runs lost come back to their documents.
+
+Each step ends in the shared folder; what it shuffled and what it has read for the last time are deleted then.
 
 Nulls: a null text is empty; a null doc_id is earlier than any other. Rows of equal doc_id and equal text are the
-same document and get the same result; of equal doc_id and other text, that with the smaller text
-hash is earlier. Texts under 100 bytes and empty tables lose nothing. Any bytes are allowed.
+same document: they are looked at once and get the same result; of equal doc_id and other text, that with the smaller text
+hash is earlier. Texts under 100 bytes and empty tables lose nothing. Very long texts are hashed in stretches; any
+bytes are allowed. Columns besides doc_id and text are not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,46 +44,53 @@ ANCHOR = 32
 #: Anchors are found in stretches of at most so many bytes (a place must fit the low bits of a hash).
 PLACE_BITS = 20
 STRETCH = (1 << PLACE_BITS) - 4 * WINDOW
-#: Occurrences of an anchor up to which its segments stay together.
+#: Segments of an anchor up to which they are sorted together.
 HOT = 256
-#: Set in `runs` for such an anchor.
+#: Set in `runs` for an anchor with more.
 HOT_BIT = 128
 #: Bytes of a block that is suffix-sorted at once; a single anchor's segments can add up to HOT of them.
 BLOCK = 1 << 20
-#: Distinct segments that a task remembers while it takes segments from texts.
-REMEMBERED = 100_000
 ROWS = 20_000
 #: Stands between segments; never in UTF-8. Even where a text has it, windows are compared on their own bytes.
 SEPARATOR = 0xFF
 
 _RNG = np.random.default_rng(20240229)
-BYTE_VALUES = _RNG.integers(0, 2**64, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-_POWERS: list[np.ndarray] = []
+#: A value for each byte and a base, for anchors and for segments.
+FAMILIES = ((_RNG.integers(0, 2**64, 256, np.uint64), BASE), (_RNG.integers(0, 2**64, 256, np.uint64), np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        inverse = np.uint64(pow(int(BASE), -1, 2**64))
-        for b in (BASE, inverse):
-            p = np.full(1 << PLACE_BITS, b, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0], _POWERS[1]
+@lru_cache(maxsize=2)
+def _powers(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for every place of a stretch."""
+    out = []
+    for b in (base, np.uint64(pow(int(base), -1, 2**64))):
+        p = np.full(1 << PLACE_BITS, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
 
-def anchor_hashes(t: np.ndarray) -> np.ndarray:
-    """A hash of the ANCHOR bytes from each place."""
-    powers, inverses = _powers()
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_VALUES[t] * powers[: len(t)])])
-    n = len(t) - ANCHOR + 1
-    h = (sums[ANCHOR:] - sums[:n]) * inverses[:n]
+def _sums(t: np.ndarray, family: int) -> np.ndarray:
+    values, base = FAMILIES[family]
+    return np.concatenate([[np.uint64(0)], np.cumsum(values[t] * _powers(base)[0][: len(t)])])
+
+
+def _hashed(sums: np.ndarray, begins, ends, family: int) -> np.ndarray:
+    """Hashes of the strings between places, from sums over their stretch."""
+    h = (sums[ends] - sums[begins]) * _powers(FAMILIES[family][1])[1][begins]
     h ^= h >> np.uint64(29)
     h *= MIX
     return h ^ (h >> np.uint64(32))
 
 
+def anchor_hashes(t: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes from each place."""
+    n = len(t) - ANCHOR + 1
+    return _hashed(_sums(t, 0), slice(0, n), slice(ANCHOR, None), 0)
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     out, covers = values, 1
     while covers * 2 <= width:
@@ -96,8 +108,8 @@ def window_anchors(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (sliding_least(keyed, WINDOW - ANCHOR + 1) & low).astype(np.int64), h
 
 
-def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: index of the text, anchor's hash, first window, windows."""
+def anchored_runs(texts: list[bytes], segments: bool = True) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: index of the text, anchor's hash, first window, windows, and the segment's hash if wanted."""
     out: list[tuple[np.ndarray, ...]] = []
     pieces: list[tuple[int, int, bytes]] = []
     size = 0
@@ -119,7 +131,8 @@ def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         run = np.cumsum(new & valid) - 1
         count = np.bincount(run[valid], minlength=len(starts)) if len(starts) else np.zeros(0, np.int64)
         of = piece[starts]
-        out.append((np.array([p[0] for p in pieces])[of], h[anchors[starts]], starts - begins[of] + np.array([p[1] for p in pieces])[of], count))
+        found = (np.array([p[0] for p in pieces])[of], h[anchors[starts]], starts - begins[of] + np.array([p[1] for p in pieces])[of], count)
+        out.append((*found, _hashed(_sums(t, 1), starts, starts + count + WINDOW - 1, 1)) if segments else found)
         pieces, size = [], 0
 
     for i, text in enumerate(texts):
@@ -131,86 +144,61 @@ def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             size += len(part)
     flush()
     if not out:
-        return tuple(np.zeros(0, d) for d in (np.int64, np.uint64, np.int64, np.int64))  # type: ignore[return-value]
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
+        return tuple(np.zeros(0, d) for d in (np.int64, np.uint64, np.int64, np.int64, np.uint64)[: 4 + segments])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        of, h, first, count = anchored_runs(byte_texts(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(anchored_runs(byte_texts(batch), segments=False)[1].view(np.int64))], ["key"])
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of, h, first, count, segment = anchored_runs(byte_texts(batch))
         take = pa.array(of)
         ids, hashes = (batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "th"))
         # Windows of one anchor are at most WINDOW - ANCHOR + 1, which fits seven bits.
-        yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(h.view(np.int64)), pa.array(first << 8 | count)], ["doc_id", "th", "key", "runs"])
-
+        yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(h.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(first << 8 | count)], ["doc_id", "th", "key", "seg", "runs"])
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, key, runs) of all texts; runs is the first window above a free bit and seven bits of their number."""
-    return docs.mapInArrow(_anchor_rows, "doc_id long, th long, key long, runs long")
 
-
-def _mixed(a: int, b: int) -> int:
-    x = ((a ^ b) * int(MIX)) & (2**64 - 1)
-    x ^= x >> 32
-    return x - 2**64 if x >= 2**63 else x
+def runs_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, th, key, seg, runs) of all texts; runs is the first window above a free bit and seven bits of their number."""
+    return texts.mapInArrow(_run_rows, "doc_id long, th long, key long, seg long, runs long")
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments (route, doc_id, th, first, windows, segment) and, without route and segment, windows lost at once."""
-    from xxhash import xxh3_64_intdigest
+    """(doc_id, th, runs, key, segment) for each run of `hits`; of anchors marked hot each window: its hash as (key, w2), no segment."""
+    from xxhash import xxh3_128_intdigest
 
-    names = ("route", "doc_id", "th", "first", "windows", "segment")
+    names = ("doc_id", "th", "runs", "key", "w2", "segment")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    kept: dict[tuple[int, bytes], tuple] = {}
     out: list[tuple] = []
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    def deal() -> None:
-        for (key, segment), (_, doc_id, th, first, windows, hot) in kept.items():
-            if not hot:
-                out.append((key, doc_id, th, first, windows, segment))
-            else:
-                for i in range(windows):
-                    window = segment[i : i + WINDOW]
-                    out.append((_mixed(key, xxh3_64_intdigest(window)), doc_id, th, first + i, 1, window))
-        kept.clear()
+    def emit() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        out.clear()
+        return made
 
     for batch in batches:
         texts = byte_texts(batch)
-        ids, hashes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "th"))
-        hits = batch.column(batch.schema.get_field_index("hits"))
-        ends = np.cumsum(hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        found = hits.flatten()
-        keys, runs = (found.field(c).to_numpy(zero_copy_only=False) for c in ("key", "runs"))
-        for i, (text, doc_id, th) in enumerate(zip(texts, ids, hashes, strict=True)):
-            mine = slice(ends[i - 1] if i else 0, ends[i])
-            order = np.argsort(runs[mine])
-            lost: list[list[int]] = []  # runs of windows, neighbours joined
-            place = (doc_id is not None, doc_id or 0, th)
-            for key, run in zip(keys[mine][order].tolist(), runs[mine][order].tolist(), strict=True):
-                first, windows = run >> 8, run & 127
-                at = (key, text[first : first + windows + WINDOW - 1])
-                own = ((*place, first), doc_id, th, first, windows, run & HOT_BIT)
-                known = kept.setdefault(at, own)
-                if known[0] < own[0]:
-                    if lost and lost[-1][0] + lost[-1][1] == first:
-                        lost[-1][1] += windows
-                    else:
-                        lost.append([first, windows])
-                elif known[0] > own[0]:
-                    kept[at] = own
-                    out.append((None, *known[1:5], None))
-            out.extend((None, doc_id, th, first, windows, None) for first, windows in lost)
-            if len(kept) >= REMEMBERED:
-                deal()
-        for i in range(0, len(out), ROWS):
-            yield emit(out[i : i + ROWS])
-        out.clear()
-    deal()
-    for i in range(0, len(out), ROWS):
-        yield emit(out[i : i + ROWS])
+        ids, hashes, hits = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "th", "hits"))
+        for text, doc_id, th, own in zip(texts, ids, hashes, hits, strict=True):
+            for hit in own:
+                key, runs = hit["key"], hit["runs"]
+                first, windows = runs >> 8, runs & 127
+                segment = text[first : first + windows + WINDOW - 1]
+                if not runs & HOT_BIT:
+                    out.append((doc_id, th, runs, key, None, segment))
+                else:
+                    for i in range(windows):
+                        high, low = divmod(xxh3_128_intdigest(segment[i : i + WINDOW]), 2**64)
+                        out.append((doc_id, th, (first + i) << 8 | 1, signed(high), signed(low), None))
+                if len(out) >= ROWS:
+                    yield emit()
+    if out:
+        yield emit()
 
 
 def lost_windows(segments: list[bytes], windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,68 +230,31 @@ def lost_windows(segments: list[bytes], windows: np.ndarray, rank: np.ndarray) -
     return of[firsts], offset[firsts], ends - firsts
 
 
-def _place(row: tuple) -> tuple:
-    """Where a segment row stands in the order of documents and places."""
-    return (row[1] is not None, row[1] or 0, row[2], row[3])
-
-
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals lost, from segment rows sorted by route.
-
-    Equal segments of a route become one first: all but the earliest are lost whole. A route with a single
-    segment left needs no more; the others go into a block for the suffix array.
-    """
+    """Runs lost, from distinct segments (doc_id, th, runs, key, segment) sorted by key; a block holds whole keys."""
     block: list[tuple] = []
-    group: dict[bytes, tuple] = {}
-    out: list[tuple] = []
     size, last = 0, None
 
-    def whole(row: tuple) -> None:
-        out.append((row[1], row[2], row[3], row[3] + row[4] - 1 + WINDOW))
-
-    def close_group() -> None:
-        nonlocal size
-        if len(group) > 1:
-            block.extend(group.values())
-            size += sum(map(len, group))
-        group.clear()
-
-    def solve() -> None:
-        nonlocal size
-        rank_of = {p: i for i, p in enumerate(sorted({_place(r) for r in block}))}
-        rank = np.array([rank_of[_place(r)] for r in block], np.int64)
-        which, first, count = lost_windows([r[5] for r in block], np.array([r[4] for r in block], np.int64), rank)
-        for i, f, n in zip(which.tolist(), first.tolist(), count.tolist(), strict=True):
-            r = block[i]
-            out.append((r[1], r[2], r[3] + f, r[3] + f + n - 1 + WINDOW))
+    def solve() -> pa.RecordBatch:
+        place = [(r[0] is not None, r[0] or 0, r[1], r[2] >> 8) for r in block]
+        rank = np.empty(len(block), np.int64)
+        rank[sorted(range(len(block)), key=place.__getitem__)] = np.arange(len(block))
+        which, first, count = lost_windows([r[4] for r in block], np.array([r[2] & 127 for r in block], np.int64), rank)
+        rows = [(block[i][0], block[i][1], ((block[i][2] >> 8) + f) << 8 | n) for i, f, n in zip(which.tolist(), first.tolist(), count.tolist(), strict=True)]
         block.clear()
-        size = 0
-
-    def emit() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "th", "begin", "end"])
-        out.clear()
-        return made
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["doc_id", "th", "runs"])
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if row[0] != last:
-                close_group()
-                last = row[0]
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[3] != last:
+                last = row[3]
                 if size >= BLOCK:
-                    solve()
-            known = group.setdefault(row[5], row)
-            if _place(known) < _place(row):
-                whole(row)
-            elif _place(known) > _place(row):
-                group[row[5]] = row
-                whole(known)
-        if len(out) >= ROWS:
-            yield emit()
-    close_group()
+                    yield solve()
+                    size = 0
+            block.append(row)
+            size += len(row[4])
     if block:
-        solve()
-    if out:
-        yield emit()
+        yield solve()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -316,40 +267,58 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["d_doc_id"]) & (a["th"] == b["d_th"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go once the JVM has noticed that nothing refers to them."""
-    spark._jvm.System.gc()
+def _not_first(rows: DataFrame, firsts: DataFrame, *key: str) -> DataFrame:
+    """(doc_id, th, runs) of the rows that share a key with an earlier one; firsts has been written, so hot keys are split."""
+    mine = F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("th") == F.col("f_th")) & (F.col("runs") == F.col("f_runs"))
+    return rows.join(firsts, list(key)).where(~mine).select("doc_id", "th", "runs")
+
 
+def _firsts(rows: DataFrame, *key: str) -> DataFrame:
+    """The earliest row of each key as (key, f_doc_id, f_th, f_runs)."""
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"), F.col("runs").alias("runs"))
+    least = rows.groupBy(*key).agg(F.min(place).alias("f"))
+    return least.select(*key, F.col("f.doc_id").alias("f_doc_id"), F.col("f.th").alias("f_th"), F.col("f.runs").alias("f_runs"))
 
-def lost_intervals(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, begin, end): bytes to remove, not yet merged, from docs (doc_id, text)."""
-    spark = docs.sparkSession
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text) of the documents that are long enough, once each."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
-    found = anchors(texts.where(F.octet_length("text") >= WINDOW))
-    shared = cut(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    _release(spark)
-    run = F.when(F.col("n") > HOT, F.col("runs").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("runs"))
-    repeated = cut(found.join(shared, "key").select("doc_id", "th", "key", run.alias("runs")))
+    texts = texts.where(F.octet_length("text") >= WINDOW)
+    repeated = texts.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    return texts if repeated.isEmpty() else cut(texts.groupBy("doc_id", "th").agg(F.first("text").alias("text")))
+
+
+def lost_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, runs) of the windows whose bytes go, from docs (doc_id, text); written to the shared folder."""
+    texts = _documents(docs)
+    shared = cut(texts.mapInArrow(_key_rows, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    repeated = cut(runs_of(texts).join(shared, "key"))
     drop_cut(shared)
-    _release(spark)
-    hits = repeated.groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_list(F.struct("key", "runs")).alias("hits"))
-    with_text = texts.join(hits, _same_document(texts, hits)).select("doc_id", "th", "text", "hits")
-    segments = cut(with_text.mapInArrow(_segment_rows, "route long, doc_id long, th long, first long, windows long, segment binary"))
+    segments = cut(_firsts(repeated, "key", "seg"))
+    copies = cut(_not_first(repeated, segments, "key", "seg"))
     drop_cut(repeated)
-    _release(spark)
-    dealt = segments.where("segment is not null").repartition(partitions(docs), "route").sortWithinPartitions("route")
-    lost = dealt.mapInArrow(_block_rows, "doc_id long, th long, begin long, end long")
-    at_once = segments.where("segment is null").select("doc_id", "th", F.col("first").alias("begin"), (F.col("first") + F.col("windows") + WINDOW - 1).alias("end"))
-    out = cut(lost.unionByName(at_once))
+    several = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    run = F.when(F.col("n") > HOT, F.col("f_runs").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("f_runs"))
+    hits = segments.join(several, "key").groupBy(F.col("f_doc_id").alias("d_doc_id"), F.col("f_th").alias("d_th")).agg(F.collect_list(F.struct("key", run.alias("runs"))).alias("hits"))
+    with_text = texts.join(hits, _same_document(texts, hits)).select("doc_id", "th", "text", "hits")
+    rows = cut(with_text.mapInArrow(_segment_rows, "doc_id long, th long, runs long, key long, w2 long, segment binary"))
     drop_cut(segments)
-    _release(spark)
+    drop_cut(several)
+    dealt = rows.where("segment is not null").select("doc_id", "th", "runs", "key", "segment").repartition(partitions(docs), "key").sortWithinPartitions("key")
+    lost = dealt.mapInArrow(_block_rows, "doc_id long, th long, runs long")
+    windows = rows.where("segment is null").select("doc_id", "th", "runs", "key", "w2")
+    earliest = cut(_firsts(windows, "key", "w2"))
+    out = cut(copies.unionByName(lost).unionByName(_not_first(windows, earliest, "key", "w2")))
+    for done in (copies, rows, earliest):
+        drop_cut(done)
     return out
 
 
-def merged_spans(spans: list[dict], size: int) -> list[tuple[int, int]]:
-    """Disjoint, not touching, in order."""
+def merged_spans(runs: list[int]) -> list[tuple[int, int]]:
+    """The bytes that runs of windows cover: disjoint, not touching, in order."""
     out: list[tuple[int, int]] = []
-    for begin, end in sorted((s["begin"], min(s["end"], size)) for s in spans):
+    for run in sorted(runs):
+        begin, end = run >> 8, (run >> 8) + (run & 127) + WINDOW - 1
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -366,9 +335,9 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_lost(docs: DataFrame) -> DataFrame:
-    """(row, spans): each row of docs with its lost intervals as an array of (begin, end), null if none."""
-    lost = lost_intervals(docs)
-    per = lost.groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    """(row, spans): each row of docs with its lost runs of windows as an array, null if none."""
+    lost = lost_runs(docs)
+    per = lost.groupBy(F.col("doc_id").alias("d_doc_id"), F.col("th").alias("d_th")).agg(F.collect_list("runs").alias("spans"))
     keyed = _keyed(docs)
     return keyed.join(per, _same_document(keyed, per), "left").select("row", "spans")
 
@@ -377,7 +346,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, doc_id, found in zip(byte_texts(batch), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            spans = merged_spans(found or [], len(text))
+            spans = merged_spans(found or [])
             rows.append((doc_id, len(text), sum(e - b for b, e in spans), len(spans), hashlib.sha256(without(text, spans)).hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         if rows:
@@ -408,7 +377,7 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for text, found in zip(byte_texts(batch), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
-            texts.append(without(text, whole_characters(text, merged_spans(found or [], len(text)))).decode("utf-8", "replace"))
+            texts.append(without(text, whole_characters(text, merged_spans(found or []))).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(batch.schema.get_field_index("row"))], ["new_text", "row"])
 
 
