@@ -295,21 +295,19 @@ def lost_runs(docs: DataFrame) -> DataFrame:
     repeated = cut(runs_of(texts).join(shared, "key"))
     drop_cut(shared)
     segments = cut(_firsts(repeated, "key", "seg"))
-    copies = cut(_not_first(repeated, segments, "key", "seg"))
-    drop_cut(repeated)
     several = cut(segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     run = F.when(F.col("n") > HOT, F.col("f_runs").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("f_runs"))
     hits = segments.join(several, "key").groupBy(F.col("f_doc_id").alias("d_doc_id"), F.col("f_th").alias("d_th")).agg(F.collect_list(F.struct("key", run.alias("runs"))).alias("hits"))
     with_text = texts.join(hits, _same_document(texts, hits)).select("doc_id", "th", "text", "hits")
     rows = cut(with_text.mapInArrow(_segment_rows, "doc_id long, th long, runs long, key long, w2 long, segment binary"))
-    drop_cut(segments)
     drop_cut(several)
     dealt = rows.where("segment is not null").select("doc_id", "th", "runs", "key", "segment").repartition(partitions(docs), "key").sortWithinPartitions("key")
     lost = dealt.mapInArrow(_block_rows, "doc_id long, th long, runs long")
     windows = rows.where("segment is null").select("doc_id", "th", "runs", "key", "w2")
     earliest = cut(_firsts(windows, "key", "w2"))
+    copies = _not_first(repeated, segments, "key", "seg")
     out = cut(copies.unionByName(lost).unionByName(_not_first(windows, earliest, "key", "w2")))
-    for done in (copies, rows, earliest):
+    for done in (repeated, segments, rows, earliest):
         drop_cut(done)
     return out
 
