@@ -46,7 +46,7 @@ def result(spark, df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}, len(got)
 
 
-@pytest.mark.parametrize("hot", [256, 2])
+@pytest.mark.parametrize("hot", [256, 2, 1])
 def test_random_corpora(spark, monkeypatch, hot):
     monkeypatch.setattr(D, "HOT", hot)
     rng = random.Random(5)

@@ -13,8 +13,8 @@
    windows meet, and strung together into blocks of bounded size that hold whole anchors. A suffix array of the block by
    induced sorting and its permuted common prefixes show which windows are equal: the earliest of each keeps its
    bytes, the others lose theirs.
-5. An anchor of over `HOT` segments does not go into a block, which would have no bound: its windows are settled like the
-   runs of step 3, by 128 bits of hash each and a combined minimum.
+5. An anchor of over `HOT` segments does not go into a block, which would have no bound: its windows are dealt one by one by
+   128 bits of hash, the earliest of equals from each task only, and the earliest of all stays.
 6. The runs lost come back to their documents.
 
 Each step ends in the shared folder; what it shuffled and what it has read for the last time are deleted then.
@@ -50,6 +50,8 @@ HOT = 256
 HOT_BIT = 128
 #: Bytes of a block that is suffix-sorted at once; a single anchor's segments can add up to HOT of them.
 BLOCK = 1 << 20
+#: Windows of hot anchors that a task compares before they are dealt.
+REMEMBERED = 200_000
 ROWS = 20_000
 #: Stands between segments; never in UTF-8. Even where a text has it, windows are compared on their own bytes.
 SEPARATOR = 0xFF
@@ -167,20 +169,46 @@ def runs_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_run_rows, "doc_id long, th long, key long, seg long, runs long")
 
 
+def _joined(rows: list[tuple]) -> list[tuple]:
+    """Rows (doc_id, th, runs) in order, with runs that follow each other in one document made one."""
+    out: list[tuple] = []
+    for doc_id, th, runs in rows:
+        if out and out[-1][:2] == (doc_id, th) and (out[-1][2] >> 8) + (out[-1][2] & 127) == runs >> 8 and (out[-1][2] & 127) + (runs & 127) < HOT_BIT:
+            out[-1] = (doc_id, th, out[-1][2] + (runs & 127))
+        else:
+            out.append((doc_id, th, runs))
+    return out
+
+
+def _in_order(row: tuple) -> tuple:
+    return (row[0] is not None, row[0] or 0, row[1], row[2])
+
+
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, runs, key, segment) for each run of `hits`; of anchors marked hot each window: its hash as (key, w2), no segment."""
-    from xxhash import xxh3_128_intdigest
+    """(doc_id, th, runs, key, w2, segment) for each run of `hits`.
+
+    Of anchors marked hot there is a row for each window, with its hash as (key, w2) and no segment; of equal windows that
+    meet in the task only the earliest goes on, the others are rows without key or segment: lost.
+    """
+    from xxhash import xxh3_128_digest
 
     names = ("doc_id", "th", "runs", "key", "w2", "segment")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     out: list[tuple] = []
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    hot: dict[bytes, tuple] = {}
+    lost: list[tuple] = []
 
     def emit() -> pa.RecordBatch:
         made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
         out.clear()
         return made
 
+    def deal() -> None:
+        out.extend((*row, int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), None) for w, row in hot.items())
+        out.extend((*row, None, None, None) for row in _joined(sorted(lost, key=_in_order)))
+        hot.clear()
+        lost.clear()
+
     for batch in batches:
         texts = byte_texts(batch)
         ids, hashes, hits = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "th", "hits"))
@@ -191,16 +219,35 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 segment = text[first : first + windows + WINDOW - 1]
                 if not runs & HOT_BIT:
                     out.append((doc_id, th, runs, key, None, segment))
-                else:
-                    for i in range(windows):
-                        high, low = divmod(xxh3_128_intdigest(segment[i : i + WINDOW]), 2**64)
-                        out.append((doc_id, th, (first + i) << 8 | 1, signed(high), signed(low), None))
-                if len(out) >= ROWS:
-                    yield emit()
+                    continue
+                for i in range(windows):
+                    row, at = (doc_id, th, (first + i) << 8 | 1), xxh3_128_digest(segment[i : i + WINDOW])
+                    known = hot.setdefault(at, row)
+                    if known is not row:
+                        hot[at], late = (row, known) if _in_order(row) < _in_order(known) else (known, row)
+                        lost.append(late)
+            if len(hot) + len(lost) >= REMEMBERED:
+                deal()
+            while len(out) >= ROWS:
+                yield emit()
+    deal()
     if out:
         yield emit()
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs lost, from windows (doc_id, th, runs, key, w2) sorted by hash and then by place."""
+    last = None
+    for batch in batches:
+        lost = []
+        for *row, key, w2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, w2) == last:
+                lost.append(tuple(row))
+            last = (key, w2)
+        lost = _joined(sorted(lost, key=_in_order))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*lost, strict=True) if lost else ([], [], []))], ["doc_id", "th", "runs"])
+
+
 def lost_windows(segments: list[bytes], windows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (segment, first, windows) of windows equal to an earlier one; rank orders the segments by place."""
     lengths = np.array([len(s) for s in segments]) + 1
@@ -236,11 +283,10 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, last = 0, None
 
     def solve() -> pa.RecordBatch:
-        place = [(r[0] is not None, r[0] or 0, r[1], r[2] >> 8) for r in block]
         rank = np.empty(len(block), np.int64)
-        rank[sorted(range(len(block)), key=place.__getitem__)] = np.arange(len(block))
+        rank[sorted(range(len(block)), key=lambda i: _in_order(block[i]))] = np.arange(len(block))
         which, first, count = lost_windows([r[4] for r in block], np.array([r[2] & 127 for r in block], np.int64), rank)
-        rows = [(block[i][0], block[i][1], ((block[i][2] >> 8) + f) << 8 | n) for i, f, n in zip(which.tolist(), first.tolist(), count.tolist(), strict=True)]
+        rows = [(block[i][0], block[i][1], (block[i][2] >> 8) + f << 8 | n) for i, f, n in zip(which.tolist(), first.tolist(), count.tolist(), strict=True)]
         block.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], ["doc_id", "th", "runs"])
 
@@ -303,11 +349,12 @@ def lost_runs(docs: DataFrame) -> DataFrame:
     drop_cut(several)
     dealt = rows.where("segment is not null").select("doc_id", "th", "runs", "key", "segment").repartition(partitions(docs), "key").sortWithinPartitions("key")
     lost = dealt.mapInArrow(_block_rows, "doc_id long, th long, runs long")
-    windows = rows.where("segment is null").select("doc_id", "th", "runs", "key", "w2")
-    earliest = cut(_firsts(windows, "key", "w2"))
+    windows = rows.where("segment is null and key is not null").select("doc_id", "th", "runs", "key", "w2")
+    windows = windows.repartition(partitions(docs), "key").sortWithinPartitions("key", "w2", "doc_id", "th", "runs")
+    hot = windows.mapInArrow(_window_rows, "doc_id long, th long, runs long").unionByName(rows.where("key is null").select("doc_id", "th", "runs"))
     copies = _not_first(repeated, segments, "key", "seg")
-    out = cut(copies.unionByName(lost).unionByName(_not_first(windows, earliest, "key", "w2")))
-    for done in (repeated, segments, rows, earliest):
+    out = cut(copies.unionByName(lost).unionByName(hot))
+    for done in (repeated, segments, rows):
         drop_cut(done)
     return out
 
