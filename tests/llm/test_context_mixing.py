@@ -48,37 +48,79 @@ def test_whole_table(spark, monkeypatch, common):
 def test_probabilities_add_up():
     """The chances of all 256 first bytes, and of the bytes that the escape could also spell, add up to one."""
     rng = np.random.default_rng(1)
-    zeros, ones = (rng.integers(0, 3, M.ENTRIES).astype(np.uint16) for _ in range(2))
-    model = M.Model(zeros, ones)
-    model.set_correction(rng.integers(0, 50, (2, M.GATES * M.BINS)).cumsum(0).astype(float))
-
-    def chances(byte):
-        bits = M.Bits(np.zeros(1, int), [bytes([byte])])
-        x, gate = model.inputs(bits)
-        z = model.mixed(x, gate)
-        p = 1 / (1 + np.exp(-z.astype(float)))
-        p = np.clip(p + 0.5 * model.correction[gate * M.BINS + model._bin(z)], 1e-6, 1 - 1e-6)
-        return np.where(bits.outcome, p, 1 - p)[: M.DECISIONS[byte]]
-
-    short = [float(np.prod(chances(b))) for b in M.SHORT]
-    escape = float(np.prod(chances(0xC3)[:5]))
-    assert math.isclose(sum(short) + escape, 1, abs_tol=1e-6)
-    spelt = [float(np.prod(chances(b)[5:])) for b in range(256) if bytes([b]) not in M.SHORT]
+    words_ = [bytes([b]) for b in range(256)]
+    shard = M.Shard([M.PLACES[0] + w for w in words_], rng.integers(0, 3, 256), rng.integers(0, 3, (M.ENTRIES, 2)).astype(np.uint32), frozenset())
+    shard.learn()
+    x = np.stack([M._logit(a, b) for a, b in zip(shard.zeros, shard.ones)])
+    gate = M._gate(shard.zeros[M.LASTS + 1] + shard.ones[M.LASTS + 1], shard.zeros[M.LASTS - 1] + shard.ones[M.LASTS - 1])
+    z = shard._mixed(x, gate)
+    p = np.clip(1 / (1 + np.exp(-z.astype(float))) + 0.5 * shard.correction[gate * M.BINS + M._bin(z)], 1e-6, 1 - 1e-6)
+    chance = np.where(shard.bits.outcome, p, 1 - p)
+    of = lambda b: chance[shard.bits.row == b][: M.DECISIONS[b]]
+    escape = float(np.prod(of(0xC3)[:5]))
+    assert math.isclose(sum(float(np.prod(of(b))) for b in M.SHORT) + escape, 1, abs_tol=1e-6)
+    spelt = [float(np.prod(of(b)[5:])) for b in range(256) if bytes([b]) not in M.SHORT]
     assert 0 < sum(spelt) <= 1 + 1e-6
 
 
 def test_contexts_do_not_depend_on_the_batch():
-    words_ = [b"alpha", b"", b"beta", b"x" * 3000, "é".encode()]
-    kinds = np.array([0, 1, 2, 3, 1])
-    together = M.Bits(kinds, words_)
-    for i, w in enumerate(words_):
-        alone = M.Bits(kinds[i : i + 1], [w])
-        mine = together.word == i
-        assert all((a[mine] == b).all() for a, b in zip(together.at, alone.at)) and (together.outcome[mine] == alone.outcome).all()
+    keys = [M.PLACES[p] + w for p, w in [(0, b"alpha"), (1, b""), (17, b"beta"), (M.CONTINUED, b"x" * M.PIECE), (M.CONTINUED, b""), (3, "é".encode())]]
+    together = M.Bits(keys, frozenset())
+    for i, key in enumerate(keys):
+        alone = M.Bits([key], frozenset())
+        mine = together.row == i
+        assert all((a[mine] == b).all() for a, b in zip(together.hashes, alone.hashes)) and (together.outcome[mine] == alone.outcome).all()
+
+
+def test_long_words_go_in_pieces():
+    tokens = M.Tokens({b"the": (1, 1)})
+    long = bytes(range(97, 123)) * 5
+    keys = tokens(b"the " + long + b" end")
+    assert b"".join(k[2:] for k in keys[1:-3]) == long and all(len(k) == 2 + M.PIECE for k in keys[1:-4])
+    assert [M.is_token(k) for k in keys] == [True, False, False, False, True, True, True] and len(tokens(b"x" * (M.PIECE - 1))) == 2
+    # A word of whole pieces ends with an empty one, which is not the end token.
+    assert tokens(b"y" * M.PIECE)[1] == M.PLACES[M.CONTINUED] and tokens(b"y" * M.PIECE)[-1] == M.PLACES[0]
+
+
+def test_same_scores_however_rows_are_dealt(spark, monkeypatch):
+    """Other partitions, other numbers of shuffle partitions, split groups: scores follow from the rows alone."""
+    monkeypatch.setattr(M, "SHARD", 1 << 10)
+    monkeypatch.setattr(M, "GROUP", 50)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for pieces, shuffled in ((1, "3"), (5, "8")):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            got.append({r.doc_id: r for r in M.scored(docs.repartition(pieces)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    a, b = got
+    assert a.keys() == b.keys() and len(M.split_groups(M.counted(docs.withColumn("out", M.F.lit(False)), M.Tokens({})))) > 0
+    assert all(math.isclose(a[d].score, b[d].score, rel_tol=1e-9) and math.isclose(a[d].base_score, b[d].base_score, rel_tol=1e-9) for d in a)
+    assert all(math.isclose(r.bits_per_byte * r.n_bytes, -r.score / math.log10(2), rel_tol=1e-9) for r in a.values() if r.n_bytes)
+
+
+def test_better_than_the_base_on_held_out_texts(spark):
+    out = [r for r in M.op5_context_mixing(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_split_groups_change_only_the_bounded_tables():
+    """Counts of a context are the same above and below a split."""
+    keys = [M.PLACES[0] + b"http" + bytes([97 + i % 26, 97 + i // 26]) for i in range(300)]
+    times, size = np.arange(300) % 4, (M.ENTRIES, 2)
+    seen = []
+    for splits in (frozenset(), frozenset([b"htt"])):
+        total = np.zeros(2 * M.ENTRIES)
+        M.add_bounded(total, keys, times, splits)
+        shard = M.Shard(keys, times, total.reshape(size), splits)
+        seen.append((shard.zeros, shard.ones))
+    # Tables are hashed, so that a few entries may collide in one of the two.
+    assert all((a == b).mean() > 0.97 for a, b in zip(*seen))
 
 
 def test_nulls_and_empty_tables(spark):
-    rows = [(i, f"the quick {i % 7} fox. THE end") for i in range(40)] + [(None, None), (100, ""), (101, "ünseen wörd " * 3)]
+    rows = [(i, f"the quick {i % 7} fox. THE end") for i in range(40)] + [(None, None), (100, ""), (101, "ünseen wörd " * 3), (102, "q" * 100_000), (103, "word " * 50_000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
     check(rows, M.scored(df).collect())
     assert M.scored(df.limit(0)).count() == 0

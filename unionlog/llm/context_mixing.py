@@ -1,37 +1,47 @@
 """Language-model scores by logistic context mixing, trained on the corpus itself.
 
 A text is lower-cased (A-Z), split into words, and ends with one end token. A word is coded byte by byte and a space
-after it, the end token as one newline, so that all texts' probabilities together do not exceed 1. A byte is five
-binary decisions if it is a letter or one of a few signs, else an escape and eight more. For each decision six contexts (the last one to four bytes of the word and the whole prefix, all
-but one with the kind of place) are hashed into tables of zeros and ones counted over the training texts. Their logits,
-weighed by how much was counted, are added up with weights from the set that a gate selects (how well the whole prefix
-and the last bytes are known); a last table corrects the result where the outcomes at that gate and logit were
-other than predicted. Minus the sum of the logs is the text's total bits.
-
-The kind of place follows the text as it goes on: the most frequent words are put in groups that occur in the same
-texts (languages, mostly), and a place is of the group that the last two such words agreed on, with or without a sign
-at the end of the word before.
-
-Training is by word, not by position: the corpus gives (kind before, word, count) rows, summed up over all training
-texts; tables, weights and corrections are learnt from these rows with their counts. Weights are learnt online:
-a batch is predicted, then updates them, with each word's own occurrence taken out of the tables it is predicted from (so
-that words met once teach what to do with unknown ones); tasks' weights are averaged. Scores of words
-are remembered in each Python worker.
-
-The base score and the counts of known tokens need every word's exact count. The `COMMON` most frequent words
-(a bounded table) are broadcast; the other words of each text are joined with their counts.
-
-Nulls: a null text is empty (just its end token); a null doc_id is never held out; repeated rows are scored each.
-With no training rows every table is empty and each decision starts at one half.
+after it, the end token as one newline; a word of `PIECE` bytes or more goes in pieces of that many and a last one. So all
+texts' probabilities together do not exceed 1. A byte is five binary decisions if it is a letter or one of a few signs,
+else an escape and eight more.
+
+For each decision seven hashed contexts are looked up in tables of zeros and ones counted over the training texts: the
+last one to four bytes of the word with the language; all the word so far; that with the language; that with the
+whole place. A place is the language, a sign at the end of the word before, and that word itself if it is one of the
+most frequent: what stands before a word counts, not its spelling alone. Languages are groups of the most frequent
+words that occur in the same texts, and a place is of the group that the last two such words agreed on.
+
+The seven logits, weighed by how much was counted, are added up with weights from the set that a gate selects (how often
+the word so far, and its last four bytes, were seen). The weights are learnt online: a batch of words is predicted, each with
+one occurrence of its own taken out, then moves the weights. A last table corrects predictions by gate and logit. The
+result is refined on each text by a few experts: the mixer with flatter, equal or sharper logits, and a share for the rows
+that the text has had before (a word comes again by how often it came, over the text's length; at a row's repeats the
+better of both ways counts, which is a lower bound of their sum). The experts' average, each weighed by what it made of the text
+itself (a Bayes mixture), is the text's probability. Minus its logarithm is the total bits.
+
+How it grows. Training and scoring go by distinct (place, word) with counts, not by position. Contexts of a word so far
+number as many as there are words, so these tables are sharded: words are dealt by their first bytes, and the shard
+that has a group of words makes the tables of their contexts, of a size that follows the words it has. A group with over
+`GROUP` rows is split by twice as many first bytes, and so on; the few contexts above a split are counted with the others of
+bounded number (last bytes, first bytes) in tables of fixed size, which are broadcast. Every shard learns its own weights.
+Shards are drawn up from the counts alone, so scores do not depend on how rows are partitioned or on the cluster.
+
+The most frequent (place, word) rows, `COMMON` of them, are broadcast with their scores; the other words of the texts are
+joined with theirs.
+
+Nulls: a null text is empty (just its end token); a null doc_id is never held out; repeated rows are scored each. Very
+long texts are read whole, and very long words go in pieces. With no training rows every table is empty and each decision
+starts at one half. An empty table gives no rows. Columns besides doc_id and text are not looked at, so
+their names cannot clash.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,53 +49,95 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, held, is_held, partitions, spread, table
+from unionlog.llm.common import byte_texts, cut, drop_cut, held, is_held, partitions, spread, table
 
 MODULUS = 5
-END = b""
-COMMON = 1 << 16
-#: The most frequent words, from which groups of texts are made, and the number of groups.
-MARKERS, GROUPS = 256, 8
-#: log2 of the table sizes of the six contexts.
-TABLE_BITS = (16, 19, 20, 20, 21, 21)
-CONTEXTS = len(TABLE_BITS)
-CHUNK = 1 << 14
+#: Rows broadcast with their scores.
+COMMON = 1 << 17
+#: The most frequent words (of at most so many bytes), from which groups of texts are made; groups; words that a place names.
+MARKERS, MARKER_BYTES, GROUPS, NAMED = 256, 4, 8, 8
+#: Bytes of a piece of a long word.
+PIECE = 48
+#: Rows of a shard, and of a group of words that is not split; first bytes that make a group.
+SHARD, GROUP, FIRST = 1 << 14, 1 << 14, 3
+#: log2 of the sizes of the tables of bounded contexts: last bytes, then first bytes.
+TABLE_BITS = (16, 19, 21, 21, 17, 19, 21)
+CONTEXTS, LASTS = len(TABLE_BITS), 4
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
 ENTRIES = int(OFFSETS[-1])
+CHUNK = 1 << 14
 GATES = 6 * 4
+#: Where every shard's weights start: a tuned value for each context.
+START = (0.05, 0.15, 0.25, 0.25, 0.2, 0.3, 0.2)
+RATE, BATCH_WORDS = 1.0, 100
 BINS, BIN_WIDTH = 33, 0.5
-RATE, UNSETTLED = 0.15, 5
-#: Words predicted at a time; pairs and words remembered in a task or worker.
-BATCH_WORDS, REMEMBERED, PAIRS = 2000, 1_000_000, 300_000
-#: Texts whose unknown words are scored together.
-TOGETHER = 64
+#: Factors of the logits; and a text's experts: a factor's number, and the share of what comes again.
+SHARPNESS = (0.8, 1.0, 1.2)
+EXPERTS = ((1, 0.0), (1, 0.02), (1, 0.1), (0, 0.1), (2, 0.02), (0, 0.4))
+#: Counted words that a task holds, and texts whose rows it emits at a time.
+PAIRS, TOGETHER = 200_000, 256
 LN10 = math.log(10)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
-_SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C], np.uint64)
+_SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD], np.uint64)
 
 #: Words that end in one of these mark the place after them.
 SIGNS = frozenset(b"#*$%&|<>!")
 
-
-def tokens(text: bytes, groups: dict[bytes, int]) -> Counter:
-    """(kind of place, word) -> times; the end token is the empty word. Groups are numbered from 1."""
-    words = text.lower().split()
-    kinds = []
-    kind = last = sign = 0
-    group_of = groups.get
-    for w in words:
-        kinds.append(2 * kind + sign)
-        sign = w[-1] in SIGNS
-        g = group_of(w)
-        if g is not None:
-            if g == last:
-                kind = g
-            last = g
-    kinds.append(2 * kind + sign)
-    words.append(END)
-    return Counter(zip(kinds, words))
+#: Keys of rows: two bytes of place, then the piece. A place is (2 * language + sign) * NAMED + word before.
+CONTINUED = 2 * (GROUPS + 1) * NAMED
+WHOLE = CONTINUED + 1
+PLACES = [i.to_bytes(2, "big") for i in range(WHOLE + 1)]
+
+
+def split_keys(keys: list[bytes], longs: list[int]) -> list[bytes]:
+    """Keys with those at `longs` in pieces, and a row for each of these whole words."""
+    from xxhash import xxh3_128_digest
+
+    out, at = [], 0
+    for i in longs:
+        out += keys[at:i]
+        place, word = keys[i][:2], keys[i][2:]
+        out.append(place + word[:PIECE])
+        out += [PLACES[CONTINUED] + word[k : k + PIECE] for k in range(PIECE, len(word) + 1, PIECE)]
+        out.append(PLACES[WHOLE] + xxh3_128_digest(word))
+        at = i + 1
+    return out + keys[at:]
+
+
+class Tokens:
+    """Keys of texts' words at their places, given markers: word -> (group from 1, its number if a place names it, else 0)."""
+
+    def __init__(self, markers: dict[bytes, tuple[int, int]]):
+        self.markers = markers
+
+    def __call__(self, text: bytes) -> list[bytes]:
+        words, get = text.lower().split(), self.markers.get
+        keys: list[bytes] = []
+        add = keys.append
+        kind = last = 0
+        place = PLACES[0]
+        for w in words:
+            add(place + w)
+            found = get(w)
+            if found is None:
+                place = PLACES[(2 * kind + (w[-1] in SIGNS)) * NAMED]
+            else:
+                group, number = found
+                if group == last:
+                    kind = group
+                last = group
+                place = PLACES[2 * kind * NAMED + number]
+        add(place)  # the end token is the empty word
+        if len(text) >= PIECE and max(map(len, words), default=0) >= PIECE:
+            return split_keys(keys, [i for i, w in enumerate(words) if len(w) >= PIECE])
+        return keys
+
+
+def is_token(key: bytes) -> bool:
+    """Whether the row stands for a token, once: a word that is not in pieces, or a whole long one."""
+    return key[:2] == PLACES[WHOLE] or (len(key) < 2 + PIECE and key[:2] != PLACES[CONTINUED])
 
 
 def grouped(together: np.ndarray) -> np.ndarray:
@@ -141,19 +193,28 @@ DECISIONS, NODES, OUTCOMES = _paths()
 NODE_BITS = np.random.default_rng(3).integers(0, 2**63, 512, np.uint64)
 
 
+def depth_of(word: bytes, splits: frozenset[bytes]) -> int:
+    """How many first bytes deal the word to its group: doubled while these are a group that was split."""
+    depth = FIRST
+    while word[:depth] in splits and depth < PIECE:
+        depth *= 2
+    return depth
+
+
 class Bits:
-    """The binary decisions of many words: table entries of each context, outcome, and word of each."""
+    """The binary decisions of many rows: hashes of each context, outcome, row, and whether the context is above the row's group."""
 
-    def __init__(self, kinds: np.ndarray, words: list[bytes]):
-        coded = [w + b" " if w else b"\n" for w in words]
+    def __init__(self, keys: list[bytes], splits: frozenset[bytes]):
+        end, last = PLACES[CONTINUED], PIECE + 2
+        coded = [k[2:] if len(k) >= last else k[2:] + (b"\n" if len(k) == 2 and k != end else b" ") for k in keys]
+        places = np.frombuffer(b"".join(k[:2] for k in keys), ">u2").astype(np.uint64)
         lengths = np.array([len(w) for w in coded], np.int64)
         raw = np.frombuffer(b"".join(coded), np.uint8)
         t = raw.astype(np.uint64)
         n = len(t)
         starts = np.cumsum(lengths) - lengths
-        word = np.repeat(np.arange(len(words)), lengths)
-        within = np.arange(n) - starts[word]
-        last = [np.where(within >= k, np.concatenate([np.zeros(min(k, n), np.uint64), t[: max(0, n - k)]]), 0) for k in (1, 2, 3, 4)]
+        row = np.repeat(np.arange(len(keys)), lengths)
+        within = np.arange(n) - starts[row]
         # Hash of the whole prefix: differences of sums, scaled back to the word's start.
         powers = np.full(n + 1, _MIX, np.uint64)
         powers[0] = 1
@@ -162,375 +223,491 @@ class Bits:
         inverse[0] = 1
         inverse = np.multiply.accumulate(inverse)
         sums = np.concatenate([[np.uint64(0)], np.cumsum((t + np.uint64(1)) * _MIX2 * powers[:n])])
-        first = starts[word]
+        first = starts[row]
         prefix = (sums[:n] - sums[first]) * inverse[first] + within.astype(np.uint64) * _MIX2
-        kind = (kinds[word].astype(np.uint64) + np.uint64(1)) * _SALTS[0]
+        language = ((places // np.uint64(2 * NAMED))[row] + np.uint64(1)) * _SALTS[0]
         recent, contexts = np.zeros(n, np.uint64), []
-        for k, byte in enumerate(last):
-            recent = (recent << np.uint64(8)) + byte
-            contexts.append(recent + kind + np.uint64(k << 40))
-        contexts += [prefix, prefix + kind]
+        for k in range(1, LASTS + 1):
+            recent = recent << np.uint64(8)
+            recent[k:] += np.where(within[k:] >= k, t[: n - k], 0) if n > k else 0
+            contexts.append(recent + language + np.uint64(k << 40))
+        contexts += [prefix, prefix + language, prefix + (places[row] + np.uint64(1)) * _SALTS[1]]
         times = DECISIONS[raw]
         at = np.repeat(np.arange(n), times)
         step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
         own = raw[at]
-        self.outcome = OUTCOMES[own, step]
         node = NODE_BITS[NODES[own, step]]
-        self.at = []
-        for k, (c, bits) in enumerate(zip(contexts, TABLE_BITS, strict=True)):
+        self.outcome = OUTCOMES[own, step]
+        self.row = row[at]
+        depth = np.array([depth_of(w, splits) for w in coded], np.int64)
+        self.above = (within < depth[row])[at]
+        self.hashes = []
+        for k, c in enumerate(contexts):
             base = (c + _SALTS[k]) * _MIX
             base ^= base >> np.uint64(31)
             h = base[at]
             h ^= node
             h *= _MIX2
-            h >>= np.uint64(64 - bits)
-            self.at.append(h.view(np.int64))
-        self.word = word[at]
-
-
-class Model:
-    """Counted tables with mixing weights and corrections."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
-        self.zeros, self.ones = zeros, ones
-        self.weights = np.full((GATES, CONTEXTS), 0.3, np.float32)
-        self.correction: np.ndarray | None = None
-        self.logits: np.ndarray | None = None
-
-    @staticmethod
-    def _logit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        total = a + b
-        return np.log((b + np.float32(0.05)) / (a + np.float32(0.05))) * (total / (total + np.float32(0.4)))
-
-    @staticmethod
-    def _gate(whole: np.ndarray, short: np.ndarray) -> np.ndarray:
-        """By what the tables of the whole prefix and of the last four bytes have counted."""
-        steps = lambda total, at: sum((total > x).astype(np.int8) for x in at)
-        return (steps(whole, (0.5, 1.5, 3.5, 15.5, 127.5)) * np.int8(4) + steps(short, (0.5, 4, 32))).astype(np.int64)
-
-    def inputs(self, bits: Bits, alone: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of each context and the gate; unless alone, one occurrence of each word is taken out first."""
-        x = np.empty((CONTEXTS, len(bits.outcome)), np.float32)
-        if alone:
-            if self.logits is None:
-                self.logits = self._logit(self.zeros.astype(np.float32), self.ones.astype(np.float32))
-                self.totals = self.zeros.astype(np.uint32) + self.ones
-            for k in range(CONTEXTS):
-                x[k] = self.logits[bits.at[k] + OFFSETS[k]]
-            return x, self._gate(self.totals[bits.at[4] + OFFSETS[4]], self.totals[bits.at[3] + OFFSETS[3]])
-        one = bits.outcome.astype(np.float32)
-        totals = {}
+            self.hashes.append(h)
+
+    def slot(self, k: int, bits: int) -> np.ndarray:
+        return (self.hashes[k] >> np.uint64(64 - bits)).view(np.int64)
+
+
+def add_bounded(total: np.ndarray, keys: list[bytes], times: np.ndarray, splits: frozenset[bytes]) -> None:
+    """Counts rows into the tables of bounded contexts: zeros and ones of an entry side by side."""
+    parts: list[Counter] = [Counter(), Counter()]
+    for key, n in zip(keys, times.tolist(), strict=True):
+        place = int.from_bytes(key[:2], "big")
+        parts[0][PLACES[place // (2 * NAMED) * 2 * NAMED if place != CONTINUED else place] + key[2:]] += n
+        word = key[2:]
+        depth = depth_of(word, splits)
+        # What of the word lies above its group, and whether that is all of it.
+        parts[1][key[: 2 + depth]] += n
+    for part, contexts in ((parts[0], range(LASTS)), (parts[1], range(LASTS, CONTEXTS))):
+        if not part:
+            continue
+        bits, weight = Bits(list(part), splits), np.array(list(part.values()), np.float64)
+        weight = weight[bits.row]
+        for k in contexts:
+            # A word cut at its group's depth would end there with a space; that decision is not above the group.
+            used = slice(None) if k < LASTS else bits.above
+            at = 2 * (bits.slot(k, TABLE_BITS[k])[used] + OFFSETS[k]) + bits.outcome[used]
+            total[2 * OFFSETS[k] : 2 * OFFSETS[k + 1]] += np.bincount(at - 2 * OFFSETS[k], weight[used], 2 << TABLE_BITS[k])
+
+
+def _logit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    total = a + b
+    return np.log((b + np.float32(0.05)) / (a + np.float32(0.05))) * (total / (total + np.float32(0.4)))
+
+
+def _gate(whole: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """By what the tables of the word so far and of the last four bytes have counted."""
+    steps = lambda total, at: sum((total > x).astype(np.int8) for x in at)
+    return (steps(whole, (0.5, 1.5, 3.5, 15.5, 127.5)) * np.int8(4) + steps(short, (0.5, 3, 20))).astype(np.int64)
+
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(z / BIN_WIDTH).astype(np.int64) + BINS // 2, 0, BINS - 1)
+
+
+class Shard:
+    """Tables, weights and corrections of a shard's rows (keys and how often each is in the training texts)."""
+
+    def __init__(self, keys: list[bytes], times: np.ndarray, bounded: np.ndarray, splits: frozenset[bytes]):
+        self.bits = bits = Bits(keys, splits)
+        self.times, self.rows = times, len(keys)
+        n = len(bits.outcome)
+        weight = times[bits.row].astype(np.float64)
+        below = np.flatnonzero(~bits.above)
+        above = np.flatnonzero(bits.above)
+        # Four entries for each decision, so that few collide.
+        size = max(10, int(4 * len(below)).bit_length())
+        self.zeros, self.ones = np.empty((CONTEXTS, n), np.float32), np.empty((CONTEXTS, n), np.float32)
         for k in range(CONTEXTS):
-            at = bits.at[k] + OFFSETS[k]
-            b = np.maximum(self.ones[at] - one, 0)
-            a = np.maximum(self.zeros[at] - (1 - one), 0)
-            x[k] = self._logit(a, b)
-            totals[k] = a + b
-        return x, self._gate(totals[4], totals[3])
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+            common = slice(None) if k < LASTS else above
+            at = bits.slot(k, TABLE_BITS[k])[common] + OFFSETS[k]
+            self.zeros[k, common], self.ones[k, common] = bounded[at, 0], bounded[at, 1]
+            if k >= LASTS:
+                at = bits.slot(k, size)[below]
+                out = bits.outcome[below]
+                ones = np.bincount(at, weight[below] * out, 1 << size)
+                zeros = np.bincount(at, weight[below] * ~out, 1 << size)
+                self.zeros[k, below], self.ones[k, below] = zeros[at], ones[at]
+        self.weights = np.tile(np.array(START, np.float32), (GATES, 1))
+        self.correction = np.zeros(GATES * BINS)
+
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = np.zeros(len(gate), np.float32)
         for k in range(CONTEXTS):
-            z += self.weights[:, k].astype(np.float32)[gate] * x[k]
+            z += self.weights[:, k][gate] * x[k]
         return np.clip(z, -11, 11)
 
-    def learn(self, bits: Bits, times: np.ndarray, rate: float) -> np.ndarray:
-        """One online step: predict, then move the weights of each gate by its mean gradient.
-
-        Returns the weighted ones and all outcomes by gate and bin of the predicted logit.
-        """
-        x, gate = self.inputs(bits, alone=False)
-        z = self.mixed(x, gate)
-        error = bits.outcome - 1 / (1 + np.exp(-z))
-        weight = np.sqrt(times)[bits.word]
-        moved = weight * error
-        total = np.bincount(gate, weight, GATES) + 1e-9
+    def learn(self) -> None:
+        """Online over the training rows, each predicted with one occurrence of its own taken out."""
+        bits = self.bits
+        use = np.flatnonzero((self.times > 0)[bits.row])
+        if not len(use):
+            return
+        outcome, row = bits.outcome[use], bits.row[use]
+        one = outcome.astype(np.float32)
+        x = np.empty((CONTEXTS, len(use)), np.float32)
         for k in range(CONTEXTS):
-            self.weights[:, k] += (rate * np.bincount(gate, moved * x[k], GATES) / total).astype(np.float32)
-        at = gate * BINS + self._bin(z)
-        often = times[bits.word].astype(np.float64)
-        return np.stack([np.bincount(at, often * bits.outcome, GATES * BINS), np.bincount(at, often, GATES * BINS)])
-
-    @staticmethod
-    def _bin(z: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(z / BIN_WIDTH).astype(np.int64) + BINS // 2, 0, BINS - 1)
-
-    def set_correction(self, seen: np.ndarray) -> None:
+            a, b = np.maximum(self.zeros[k, use] - (1 - one), 0), np.maximum(self.ones[k, use] - one, 0)
+            x[k] = _logit(a, b)
+            if k == LASTS - 1:
+                short = a + b
+            elif k == LASTS + 1:
+                whole = a + b
+        gate = _gate(whole, short)
+        weight = np.sqrt(self.times.astype(np.float64))[row]
+        edges = np.searchsorted(row, np.arange(0, self.rows + BATCH_WORDS, BATCH_WORDS))
+        seen = np.zeros((2, GATES * BINS))
+        for step, (at, to) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if at == to:
+                continue
+            g, own = gate[at:to], x[:, at:to]
+            z = self._mixed(own, g)
+            error = one[at:to] - 1 / (1 + np.exp(-z))
+            w = weight[at:to]
+            moved, total = w * error, np.bincount(g, w, GATES) + 50
+            for k in range(CONTEXTS):
+                self.weights[:, k] += (RATE / (1 + step / 50) * np.bincount(g, moved * own[k], GATES) / total).astype(np.float32)
+            place = g * BINS + _bin(z)
+            seen += np.stack([np.bincount(place, w * one[at:to], GATES * BINS), np.bincount(place, w, GATES * BINS)])
         centre = 1 / (1 + np.exp(-(np.arange(BINS) - BINS // 2) * BIN_WIDTH))
         prior = np.tile(centre, GATES)
         self.correction = (seen[0] + 50 * prior) / (seen[1] + 50) - prior
 
-    def log10_of(self, kinds: np.ndarray, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word after its kind."""
-        bits = Bits(kinds, words)
-        x, gate = self.inputs(bits)
-        z = self.mixed(x, gate)
-        p = 1 / (1 + np.exp(-z.astype(np.float64)))
-        if self.correction is not None:
-            p = np.clip(p + 0.5 * self.correction[gate * BINS + self._bin(z)], 1e-6, 1 - 1e-6)
-        return np.bincount(bits.word, np.log(np.where(bits.outcome, p, 1 - p)), len(words)) / LN10
-
-
-def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """(kinds, words, times), at most BATCH_WORDS words or about 64 KB of them at a time."""
-    kinds: list[int] = []
-    words: list[bytes] = []
-    times: list[int] = []
-    size = 0
-    for batch in batches:
-        for k, w, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            kinds.append(k)
-            words.append(w)
-            times.append(n)
-            size += len(w)
-            if len(words) >= BATCH_WORDS or size >= 1 << 16:
-                yield np.array(kinds), words, np.array(times, np.float32)
-                kinds, words, times, size = [], [], [], 0
-    if words:
-        yield np.array(kinds), words, np.array(times, np.float32)
-
-
-def _counted(docs: DataFrame, count, schema: str, types: tuple) -> DataFrame:
-    """(..., n) rows from count(text), over the training texts; each task adds up what it meets before the exchange."""
-    names = [c.split(" ")[0] for c in schema.split(", ")]
+    def log10(self) -> np.ndarray:
+        """log10 probability of each row by each factor."""
+        bits = self.bits
+        x = np.empty_like(self.zeros)
+        for k in range(CONTEXTS):
+            x[k] = _logit(self.zeros[k], self.ones[k])
+        gate = _gate(self.zeros[LASTS + 1] + self.ones[LASTS + 1], self.zeros[LASTS - 1] + self.ones[LASTS - 1])
+        z = self._mixed(x, gate)
+        moved = 0.5 * self.correction[gate * BINS + _bin(z)]
+        out = []
+        for sharp in SHARPNESS:
+            p = np.clip(1 / (1 + np.exp(-sharp * z.astype(np.float64))) + moved, 1e-6, 1 - 1e-6)
+            out.append(np.bincount(bits.row, np.log(np.where(bits.outcome, p, 1 - p)), self.rows) / LN10)
+        return np.array(out)
+
+
+def scored_rows(keys: list[bytes], times: np.ndarray, bounded: np.ndarray, splits: frozenset[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token count, 1 at a known token's first row, log10 by factor) of a shard's rows; all rows of a word are in one shard."""
+    spelled = [i for i, k in enumerate(keys) if k[:2] != PLACES[WHOLE]]
+    logs = np.zeros((len(SHARPNESS), len(keys)))
+    if spelled:
+        shard = Shard([keys[i] for i in spelled], times[spelled], bounded, splits)
+        shard.learn()
+        logs[:, spelled] = shard.log10()
+    counts: Counter = Counter()
+    words = [(k[2:], k[:2] == PLACES[WHOLE]) if is_token(k) else None for k in keys]
+    for w, n in zip(words, times.tolist(), strict=True):
+        if w is not None:
+            counts[w] += n
+    count = np.array([0 if w is None else counts[w] for w in words], np.int64)
+    first = np.zeros(len(keys), np.int64)
+    first[list({w: i for i, w in reversed(list(enumerate(words))) if w is not None and counts[w]}.values())] = 1
+    return count, first, logs
+
+
+def marker_words(docs: DataFrame) -> list[bytes]:
+    """The most frequent short words of the training texts, most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*total, strict=True)) + [list(total.values())]
+            made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
             total.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+            return made
 
         for batch in batches:
             for text in byte_texts(batch):
-                total.update(count(text))
+                total.update([w for w in text.lower().split() if len(w) <= MARKER_BYTES])
                 if len(total) >= PAIRS:
                     yield out()
         if total:
             yield out()
 
-    training = docs.where(~held(F.col("doc_id"), MODULUS)).select("text")
-    return training.mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(MARKERS).collect()]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the training texts."""
-
-    def count(text: bytes) -> Counter:
-        return Counter((w,) for w in (*text.lower().split(), END))
-
-    return _counted(docs, count, "word binary, n long", (pa.binary(), pa.int64())).withColumnRenamed("n", "c")
-
-
-def place_counts(docs: DataFrame, groups: dict[bytes, int]) -> DataFrame:
-    """(kind, word, n) over the training texts."""
-    return _counted(docs, lambda text: tokens(text, groups), "kind int, word binary, n long", (pa.int32(), pa.binary(), pa.int64()))
-
-
-def marker_groups(docs: DataFrame, words: DataFrame) -> dict[bytes, int]:
-    """The group, from 1, of each of the most frequent words."""
-    markers = [bytes(r.word) for r in words.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(MARKERS).collect()]
+def marked(docs: DataFrame) -> dict[bytes, tuple[int, int]]:
+    """The markers of docs (text), for Tokens."""
+    markers = marker_words(docs)
     place = {w: i for i, w in enumerate(markers)}
     n = len(markers)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n))
+        total = np.zeros((n, n), np.int64)
         for batch in batches:
             texts = byte_texts(batch)
             for at in range(0, len(texts), 512):
                 seen = np.zeros((min(512, len(texts) - at), n), np.float32)
                 for i, text in enumerate(texts[at : at + 512]):
                     seen[i, [place[w] for w in place.keys() & set(text.lower().split())]] = 1
-                total += seen.T @ seen
+                total += (seen.T @ seen).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(n * n)), "x": pa.array(total.ravel())})
 
-    training = docs.where(~held(F.col("doc_id"), MODULUS)).select("text")
-    rows = training.mapInArrow(together, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # MARKERS squared
+    rows = docs.mapInArrow(together, "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()  # MARKERS squared
     both = np.zeros(n * n)
     for r in rows:
         both[r.i] = r.x
-    return {w: int(g) + 1 for w, g in zip(markers, grouped(both.reshape(n, n)), strict=True)}
+    groups = grouped(both.reshape(n, n)).tolist()
+    return {w: (g + 1, i + 1 if i + 1 < NAMED else 0) for i, (w, g) in enumerate(zip(markers, groups, strict=True))}
 
 
-def count_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of all contexts' entries, a table of fixed size, as 16-bit counts."""
+def counted(docs: DataFrame, tokens: Callable[[bytes], list[bytes]]) -> DataFrame:
+    """(key, n, m): times of each row in the training texts, and in all texts of docs (text, out)."""
+    names = ("key", "n", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        parts = (Counter(), Counter())  # training texts, held-out ones
 
-        both = np.zeros(2 * ENTRIES, np.float64)  # zeros and ones of an entry side by side
-        for kinds, words, times in batches_of(batches):
-            bits = Bits(kinds, words)
-            weight = times[bits.word].astype(np.float64)
-            for k in range(CONTEXTS):
-                np.add.at(both, 2 * (bits.at[k] + OFFSETS[k]) + bits.outcome, weight)
-        total = both.reshape(-1, 2).T
+        def out() -> Iterator[pa.RecordBatch]:
+            for part, learnt in zip(parts, (1, 0), strict=True):
+                if part:
+                    times = np.fromiter(part.values(), np.int64, len(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.binary()), pa.array(times * learnt), pa.array(times)], names)
+                    part.clear()
+
+        for batch in batches:
+            for text, held_out in zip(byte_texts(batch), batch.column(batch.schema.get_field_index("out")).to_pylist(), strict=True):
+                parts[held_out].update(tokens(text))
+                if len(parts[0]) + len(parts[1]) >= PAIRS:
+                    yield from out()
+        yield from out()
+
+    return docs.mapInArrow(run, "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _word(first: int):
+    return F.substring("key", 3, first)
+
+
+def split_groups(rows: DataFrame) -> frozenset[bytes]:
+    """First bytes of words whose groups have too many rows: at most one for each GROUP rows and doubling."""
+    spelled, splits, depth = rows.where(F.substring("key", 1, 2) != F.lit(PLACES[WHOLE])), frozenset(), FIRST
+    while depth < PIECE:
+        large = [bytes(r.g) for r in spelled.groupBy(_word(depth).alias("g")).agg(F.count("*").alias("c")).where(F.col("c") > GROUP).collect()]
+        large = [g for g in large if len(g) == depth]
+        if not large:
+            break
+        splits |= frozenset(large)
+        spelled = spelled.join(F.broadcast(rows.sparkSession.createDataFrame([(bytearray(g),) for g in large], "g binary")), _word(depth) == F.col("g"), "left_semi")
+        depth *= 2
+    return splits
+
+
+def bounded_tables(rows: DataFrame, splits: frozenset[bytes]) -> np.ndarray:
+    """Zeros and ones of the entries of all bounded contexts: a table of fixed size, as 32-bit counts."""
+    import zstandard
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * ENTRIES)
+        for keys, times in _parts(batches):
+            add_bounded(total, keys, times, splits)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for i in range(0, ENTRIES, CHUNK):
-            part = total[:, i : i + CHUNK]
+        for i in range(0, 2 * ENTRIES, CHUNK):
+            part = total[i : i + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": [i // CHUNK], "data": pa.array([pack(part.astype("<u4").tobytes())], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": [i // CHUNK], "data": pa.array([pack(part.astype("<i8").tobytes())], pa.binary())})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         unpack = zstandard.ZstdDecompressor().decompress
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(unpack(data), "<u4").astype(np.int64)
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(unpack(data), "<i8")
         for chunk, both in sums.items():
-            both = both.reshape(2, -1)
+            both = both.reshape(-1, 2)
             # Halved together until both fit, so that their ratio stays.
-            shift = np.maximum(0, np.ceil(np.log2(np.maximum(both.max(0), 1) / 65535.0))).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "data": pa.array([zstandard.ZstdCompressor(level=1).compress((both >> shift).astype("<u2").tobytes())], pa.binary())})
-
-    import zstandard
+            shift = np.maximum(0, np.ceil(np.log2(np.maximum(both.max(1), 1) / 4294967295.0))).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "data": pa.array([zstandard.ZstdCompressor(level=1).compress((both >> shift[:, None]).astype("<u4").tobytes())], pa.binary())})
 
     kind = "chunk long, data binary"
-    zeros, ones = np.zeros(ENTRIES, np.uint16), np.zeros(ENTRIES, np.uint16)
-    # Tables are made by a few tasks a core, whatever the number of words: each sends one table at most.
-    few = counts.coalesce(max(1, 2 * counts.sparkSession.sparkContext.defaultParallelism))
-    for r in few.mapInArrow(run, kind).repartition(partitions(counts), "chunk").mapInArrow(added, kind).collect():
-        both = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), "<u2").reshape(2, -1)
-        at = slice(r.chunk * CHUNK, r.chunk * CHUNK + both.shape[1])
-        zeros[at], ones[at] = both[0], both[1]
-    return zeros, ones
+    learnt = rows.where("n > 0").where(F.substring("key", 1, 2) != F.lit(PLACES[WHOLE])).select("key", "n")
+    out = np.zeros(2 * ENTRIES, np.uint32)
+    for r in learnt.mapInArrow(run, kind).repartition(partitions(rows), "chunk").mapInArrow(added, kind).toLocalIterator():
+        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), "<u4")
+        out[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
+    return out.reshape(-1, 2)
 
 
-def _summed(counts: DataFrame, f) -> np.ndarray | None:
-    """Adds up the arrays that f makes of the partitions' batches of words."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Keys and times, at most SHARD at a time."""
+    for batch in batches:
+        keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for at in range(0, len(keys), SHARD):
+            yield keys[at : at + SHARD], times[at : at + SHARD]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = f(batches_of(batches))
-        if got is not None:
-            flat = got.ravel()
-            yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(flat))), "x": pa.array(flat)})
-
-    rows = counts.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # a fixed number
-    if not rows:
-        return None
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r.i] = r.x
-    return out
 
+@dataclass
+class Model:
+    """What is broadcast: of bounded size, but for the first bytes of split groups (one for each GROUP rows at most)."""
+
+    bounded: np.ndarray
+    splits: frozenset[bytes]
 
-def fit(counts: DataFrame) -> Model:
-    """The model of the words counted (kind, word, n)."""
-    spark = counts.sparkSession
-    model = Model(*count_tables(counts))
-    shared = spark.sparkContext.broadcast((model.zeros, model.ones))
 
-    size = GATES * CONTEXTS
+def score_rows(rows: DataFrame, shards: int, model) -> DataFrame:
+    """(key, m, c, first, l0, l1, ...) of rows (key, n, m), each shard on its own; model is a broadcast Model."""
+    names = ("key", "m", "c", "first", *(f"l{i}" for i in range(len(SHARPNESS))))
 
-    def learnt(batches) -> np.ndarray | None:
-        own, n, step = Model(*shared.value), 0, 0
-        seen = np.zeros((2, GATES * BINS))
-        for kinds, words, times in batches:
-            step += 1
-            outcomes = own.learn(Bits(kinds, words), times, RATE / (1 + step / 200))
-            n += len(words)
-            # The first steps' predictions are of weights that are hardly learnt.
-            seen = outcomes if step <= UNSETTLED else seen + outcomes
-        return np.concatenate([own.weights.ravel() * float(n), [n], seen.ravel()]) if n else None
-
-    got = _summed(counts, learnt)
-    if got is not None:
-        model.weights = (got[:size] / got[size]).reshape(GATES, CONTEXTS).astype(np.float32)
-        model.set_correction(got[size + 1 :].reshape(2, -1))
-    return model
-
-
-class WordScores:
-    """log10 of words' probabilities by kind before, remembered."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[tuple[int, bytes], float] = {}
-
-    def prepare(self, keys) -> None:
-        new = [k for k in keys if k not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(keys)
-        size, part = 0, []
-        for key in new:
-            part.append(key)
-            size += len(key[1])
-            if len(part) >= BATCH_WORDS or size >= 1 << 16:
-                self._score(part)
-                size, part = 0, []
-        if part:
-            self._score(part)
-
-    def _score(self, part: list[tuple[int, bytes]]) -> None:
-        got = self.model.log10_of(np.array([k for k, _ in part]), [w for _, w in part])
-        self.known.update(zip(part, got.tolist(), strict=True))
-
-
-def prepared(scorer: WordScores, counted: Iterator[Counter]) -> Iterator[Counter]:
-    """Passes texts' tokens on once their words are scored, those of TOGETHER texts at a time."""
-    while part := list(itertools.islice(counted, TOGETHER)):
-        scorer.prepare(set().union(*part))
-        yield from part
-
-
-#: Of the model in use, by its name: a Python worker runs tasks of many queries.
-_SCORERS: dict[str, WordScores] = {}
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        splits = model.value.splits
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            words = [k[2:] for k in keys]
+            shard = [xxh3_64_intdigest(w[: depth_of(w, splits)]) % shards for w in words]
+            order = [xxh3_64_intdigest(k) >> 1 for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64()), pa.array(order, pa.int64())], ["key", "n", "m", "shard", "turn"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[bytes] = []
+        times: list[int] = []
+        alls: list[int] = []
+        now = None
+
+        def out() -> pa.RecordBatch:
+            count, first, logs = scored_rows(keys, np.array(times, np.int64), model.value.bounded, model.value.splits)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(alls, pa.int64()), pa.array(count), pa.array(first), *map(pa.array, logs)], names)
+
+        for batch in batches:
+            for key, n, m, shard in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if shard != now:
+                    if keys:
+                        yield out()
+                    keys, times, alls, now = [], [], [], shard
+                keys.append(key)
+                times.append(n)
+                alls.append(m)
+        if keys:
+            yield out()
+
+    dealt = rows.select("key", "n", "m").mapInArrow(place, "key binary, n long, m long, shard long, turn long")
+    dealt = dealt.repartition(max(partitions(rows), shards // 8), "shard").sortWithinPartitions("shard", "turn", "key")
+    kind = "key binary, m long, c long, first long, " + ", ".join(f"{n} double" for n in names[4:])
+    return dealt.mapInArrow(score, kind)
+
+
+@dataclass
+class Common:
+    """Scores of the most frequent rows."""
+
+    keys: list[bytes]
+    counts: np.ndarray
+    logs: np.ndarray
+    tokens: Tokens
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+#: Places of the keys of the last Common used: a Python worker runs tasks of many queries.
+_PLACES: dict[str, dict[bytes, int]] = {}
+
+
+def expert_sums(doc: np.ndarray, logs: np.ndarray, times: np.ndarray, again: np.ndarray, size: np.ndarray, docs: int) -> list[np.ndarray]:
+    """What each expert adds for rows (text, log10 by factor, times, log10 of times' repeats, rows of the text), by text."""
+    out = []
+    for factor, share in EXPERTS:
+        own = logs[:, factor] + math.log10(1 - share)
+        repeats = (times - 1) * own
+        if share:
+            repeats = np.maximum(repeats, (times - 1) * (math.log10(share) - np.log10(size)) + again)
+        out.append(np.bincount(doc, own + repeats, docs))
+    return out
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (doc_id, text)."""
+    """The contract's columns with n_bytes, total_bits and bits_per_byte, for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    words = cut(word_counts(docs))
-    groups = marker_groups(docs, words)
-    model = fit(cut(place_counts(docs, groups)))
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held(F.col("doc_id"), MODULUS).alias("out"))
+    tokens = Tokens(marked(texts.where("not out").select("text")))
+    rows = cut(counted(texts.select("text", "out"), tokens))
+    shards = max(1, rows.count() // SHARD)
+    splits = split_groups(rows)
+    model = spark.sparkContext.broadcast(Model(bounded_tables(rows, splits), splits))
+    words = cut(score_rows(rows, shards, model))
+    drop_cut(rows)
+    model.unpersist()
+    totals = words.agg(F.coalesce(F.sum(F.when(F.col("first") > 0, F.col("c"))), F.lit(0)).alias("n"), F.coalesce(F.sum("first"), F.lit(0)).alias("v")).first()
     total, log_denominator = totals.n, math.log10(totals.n + 0.5 * (totals.v + 1))
-    common = {bytes(r.word): r.c for r in words.orderBy(F.desc("c"), "word").limit(COMMON).collect()}
-    shared, name = spark.sparkContext.broadcast((model, common, groups)), uuid.uuid4().hex
+    factors = [f"l{i}" for i in range(len(SHARPNESS))]
+    top = words.orderBy(F.desc("m"), "key").limit(COMMON).select("key", "c", *factors).toArrow()
+    logs = np.stack([top.column(f).to_numpy() for f in factors], axis=1)
+    shared = spark.sparkContext.broadcast(Common(top.column("key").to_pylist(), top.column("c").to_numpy(), logs, tokens))
+
+    sums = [f"s{i}" for i in range(len(EXPERTS))]
+    names = ("row", "doc_id", "held_out", "n_bytes", "n_tokens", "known", "base", "size", *sums, "rest")
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.int64(), *[pa.float64()] * len(sums), pa.list_(pa.struct([("key", pa.binary()), ("times", pa.int64()), ("again", pa.float64())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = WordScores(shared.value[0])
-        scorer, (_, frequent, group_of) = _SCORERS[name], shared.value
-        row = TaskContext.get().partitionId() << 40
+        use: Common = shared.value
+        if use.name not in _PLACES:
+            _PLACES.clear()
+            _PLACES[use.name] = {k: i for i, k in enumerate(use.keys)}
+        place, next_row = _PLACES[use.name], TaskContext.get().partitionId() << 40
+        token = np.array([is_token(k) for k in use.keys], bool)
+        spelled_out = np.array([k[:2] != PLACES[WHOLE] for k in use.keys], bool)
+        log_count = np.log10(use.counts + 0.5)
+
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
-            out: list[tuple] = []
-            counted = (tokens(text, group_of) for text in byte_texts(batch))
-            for doc_id, own in zip(ids.to_pylist(), prepared(scorer, counted), strict=True):
-                known = scorer.known
-                score = sum(known[k] * n for k, n in own.items())
-                n_tokens = n_known = 0
-                base, rest = 0.0, Counter()
-                for (_, w), n in own.items():
-                    n_tokens += n
-                    if c := frequent.get(w):
-                        n_known += n
-                        base += n * math.log10(c + 0.5)
-                    else:
-                        rest[w] += n
-                out.append((row, doc_id, is_held(doc_id, MODULUS), n_tokens, n_known, base, score, [{"word": w, "times": n} for w, n in rest.items()]))
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-            names = ("row", "doc_id", "held_out", "n_tokens", "common_known", "common_base", "score", "rest")
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, common_known long, common_base double, score double, rest array<struct<word:binary,times:bigint>>"
-    rows = cut(docs.select("doc_id", "text").mapInArrow(run, kind))
-    rare = rows.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times").join(words, "word", "left")
+            every = byte_texts(batch)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            for first in range(0, len(ids), TOGETHER):
+                mine, group = ids[first : first + TOGETHER], every[first : first + TOGETHER]
+                n = len(mine)
+                at: list[int] = []
+                times: list[int] = []
+                size, distinct, rests, rare_tokens = [], [], [], []
+                for text in group:
+                    counts = Counter(use.tokens(text))
+                    found = [place.get(k, -1) for k in counts]
+                    at += found
+                    times += counts.values()
+                    distinct.append(len(counts))
+                    size.append(counts.total())
+                    rare = [(k, t) for (k, t), i in zip(counts.items(), found, strict=True) if i < 0]
+                    rare_tokens.append(sum(t for k, t in rare if is_token(k)))
+                    rests.append([{"key": k, "times": t, "again": math.lgamma(t) / LN10} for k, t in rare])
+                doc, where, number = np.repeat(np.arange(n), distinct), np.array(at, np.int64), np.array(times, np.int64)
+                known = where >= 0
+                doc, where, number = doc[known], where[known], number[known]
+                again = np.zeros(len(number))
+                several = np.flatnonzero(number > 1)
+                again[several] = [math.lgamma(t) / LN10 for t in number[several].tolist()]
+                own = number * token[where]
+                spelled = spelled_out[where]
+                added = expert_sums(doc[spelled], use.logs[where[spelled]], number[spelled], again[spelled], np.array(size, np.float64)[doc[spelled]], n)
+                n_tokens = np.bincount(doc, own, n).astype(np.int64) + np.array(rare_tokens)
+                columns = [np.arange(next_row, next_row + n), mine, [is_held(d, MODULUS) for d in mine], [len(t) for t in group], n_tokens, np.bincount(doc, own * (use.counts[where] > 0), n).astype(np.int64), np.bincount(doc, own * log_count[where], n), size, *added, rests]
+                next_row += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    kind = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, size long, " + ", ".join(f"{c} double" for c in sums) + ", rest array<struct<key:binary,times:bigint,again:double>>"
+    found = cut(texts.select("doc_id", "text").mapInArrow(run, kind))
+    rare = found.select("row", "size", F.explode("rest").alias("r")).select("row", "size", "r.*").join(words.drop("m", "first"), "key")
+    whole = F.substring("key", 1, 2) == F.lit(PLACES[WHOLE])
+    token = whole | ((F.octet_length("key") < 2 + PIECE) & (F.substring("key", 1, 2) != F.lit(PLACES[CONTINUED])))
+
+    def added(factor: int, share: float):
+        own = F.col(factors[factor]) + math.log10(1 - share)
+        repeats = (F.col("times") - 1) * own
+        if share:
+            repeats = F.greatest(repeats, (F.col("times") - 1) * (math.log10(share) - F.log10("size")) + F.col("again"))
+        return F.sum(F.when(whole, 0.0).otherwise(own + repeats))
+
     per = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_base")
+        F.sum(F.when(token & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.when(token, F.col("times") * F.log10(F.col("c") + 0.5)).otherwise(0.0)).alias("rare_base"),
+        *(added(*e).alias(f"rare_{c}") for c, e in zip(sums, EXPERTS, strict=True)),
+    )
+    both = found.drop("rest").join(per, "row", "left").fillna(0, ["rare_known"]).fillna(0.0, ["rare_base", *(f"rare_{c}" for c in sums)])
+    each = [F.col(c) + F.col(f"rare_{c}") for c in sums]
+    best = F.greatest(*each)
+    # The average of the experts' probabilities: each counts by what it made of the text.
+    parts = [F.pow(F.lit(10.0), F.greatest(e - best, F.lit(-300.0))) for e in each]
+    score = best + F.log10(sum(parts[1:], parts[0]) / len(parts))
+    bits = -score / math.log10(2)
+    return both.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.col("rare_known")).cast("bigint").alias("n_known"),
+        F.lit(total).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.col("rare_base") - F.col("n_tokens") * F.lit(log_denominator)).alias("base_score"),
+        score.alias("score"),
+        "n_bytes",
+        bits.alias("total_bits"),
+        F.when(F.col("n_bytes") > 0, bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
-    both = rows.drop("rest").join(per, "row", "left")
-    base = F.col("common_base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_denominator)
-    known = (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).cast("bigint")
-    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
