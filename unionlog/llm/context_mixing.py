@@ -42,6 +42,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -53,19 +54,19 @@ from unionlog.llm.common import byte_texts, cut, drop_cut, held, is_held, partit
 
 MODULUS = 5
 #: Rows broadcast with their scores.
-COMMON = 1 << 17
+COMMON = 1 << 18
 #: The most frequent words (of at most so many bytes), from which groups of texts are made; groups; words that a place names.
 MARKERS, MARKER_BYTES, GROUPS, NAMED = 256, 4, 8, 8
 #: Bytes of a piece of a long word.
 PIECE = 48
-#: Rows of a shard, and of a group of words that is not split; first bytes that make a group.
-SHARD, GROUP, FIRST = 1 << 14, 1 << 14, 3
+#: Rows of a shard on average, and of a group of words that is not split at most; first bytes that make a group.
+SHARD, GROUP, FIRST = 1 << 11, 1 << 14, 3
 #: log2 of the sizes of the tables of bounded contexts: last bytes, then first bytes.
 TABLE_BITS = (16, 19, 21, 21, 17, 19, 21)
 CONTEXTS, LASTS = len(TABLE_BITS), 4
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
 ENTRIES = int(OFFSETS[-1])
-CHUNK = 1 << 14
+CHUNK, BLOCK = 1 << 14, 1 << 14
 GATES = 6 * 4
 #: Where every shard's weights start: a tuned value for each context.
 START = (0.05, 0.15, 0.25, 0.25, 0.2, 0.3, 0.2)
@@ -75,7 +76,7 @@ BINS, BIN_WIDTH = 33, 0.5
 SHARPNESS = (0.8, 1.0, 1.2)
 EXPERTS = ((1, 0.0), (1, 0.02), (1, 0.1), (0, 0.1), (2, 0.02), (0, 0.4))
 #: Counted words that a task holds, and texts whose rows it emits at a time.
-PAIRS, TOGETHER = 200_000, 256
+PAIRS, TOGETHER = 400_000, 256
 LN10 = math.log(10)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,6 +85,7 @@ _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0
 
 #: Words that end in one of these mark the place after them.
 SIGNS = frozenset(b"#*$%&|<>!")
+NO_SIGNS = bytes(b for b in range(256) if b not in SIGNS)
 
 #: Keys of rows: two bytes of place, then the piece. A place is (2 * language + sign) * NAMED + word before.
 CONTINUED = 2 * (GROUPS + 1) * NAMED
@@ -110,27 +112,27 @@ class Tokens:
     """Keys of texts' words at their places, given markers: word -> (group from 1, its number if a place names it, else 0)."""
 
     def __init__(self, markers: dict[bytes, tuple[int, int]]):
-        self.markers = markers
+        self.codes = {w: group * NAMED + number for w, (group, number) in markers.items()}
 
     def __call__(self, text: bytes) -> list[bytes]:
-        words, get = text.lower().split(), self.markers.get
-        keys: list[bytes] = []
-        add = keys.append
-        kind = last = 0
-        place = PLACES[0]
-        for w in words:
-            add(place + w)
-            found = get(w)
-            if found is None:
-                place = PLACES[(2 * kind + (w[-1] in SIGNS)) * NAMED]
-            else:
-                group, number = found
-                if group == last:
-                    kind = group
-                last = group
-                place = PLACES[2 * kind * NAMED + number]
-        add(place)  # the end token is the empty word
-        if len(text) >= PIECE and max(map(len, words), default=0) >= PIECE:
+        words = text.lower().split()
+        n = len(words)
+        get = self.codes.get
+        code = np.array([0, *[get(w, 0) for w in words]], np.int64)  # of the word before each place
+        marks = np.flatnonzero(code)
+        places = np.zeros(n + 1, np.int64)
+        if len(marks):
+            group = code[marks] // NAMED
+            agree = np.zeros(n + 1, np.int64)
+            at = marks[1:][group[1:] == group[:-1]]
+            agree[at] = at
+            last = np.maximum.accumulate(agree)
+            places = 2 * NAMED * (code[last] // NAMED) + code % NAMED
+        if text.translate(None, NO_SIGNS):
+            places[1:] += np.where(code[1:] == 0, [NAMED * (w[-1] in SIGNS) for w in words], 0)
+        words.append(b"")  # the end token is the empty word
+        keys = list(map(add, map(PLACES.__getitem__, places.tolist()), words))
+        if len(text) >= PIECE and max(map(len, words)) >= PIECE:
             return split_keys(keys, [i for i, w in enumerate(words) if len(w) >= PIECE])
         return keys
 
@@ -204,7 +206,7 @@ def depth_of(word: bytes, splits: frozenset[bytes]) -> int:
 class Bits:
     """The binary decisions of many rows: hashes of each context, outcome, row, and whether the context is above the row's group."""
 
-    def __init__(self, keys: list[bytes], splits: frozenset[bytes]):
+    def __init__(self, keys: list[bytes], splits: frozenset[bytes], wanted: range | None = None):
         end, last = PLACES[CONTINUED], PIECE + 2
         coded = [k[2:] if len(k) >= last else k[2:] + (b"\n" if len(k) == 2 and k != end else b" ") for k in keys]
         places = np.frombuffer(b"".join(k[:2] for k in keys), ">u2").astype(np.uint64)
@@ -241,8 +243,11 @@ class Bits:
         self.row = row[at]
         depth = np.array([depth_of(w, splits) for w in coded], np.int64)
         self.above = (within < depth[row])[at]
-        self.hashes = []
+        self.hashes: list[np.ndarray | None] = []
         for k, c in enumerate(contexts):
+            if wanted is not None and k not in wanted:
+                self.hashes.append(None)
+                continue
             base = (c + _SALTS[k]) * _MIX
             base ^= base >> np.uint64(31)
             h = base[at]
@@ -267,7 +272,7 @@ def add_bounded(total: np.ndarray, keys: list[bytes], times: np.ndarray, splits:
     for part, contexts in ((parts[0], range(LASTS)), (parts[1], range(LASTS, CONTEXTS))):
         if not part:
             continue
-        bits, weight = Bits(list(part), splits), np.array(list(part.values()), np.float64)
+        bits, weight = Bits(list(part), splits, contexts), np.array(list(part.values()), np.float64)
         weight = weight[bits.row]
         for k in contexts:
             # A word cut at its group's depth would end there with a space; that decision is not above the group.
@@ -291,6 +296,15 @@ def _bin(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z / BIN_WIDTH).astype(np.int64) + BINS // 2, 0, BINS - 1)
 
 
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """A number for each, equal for equal hashes."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    out = np.empty(len(hashes), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])[: len(hashes)])
+    return out
+
+
 class Shard:
     """Tables, weights and corrections of a shard's rows (keys and how often each is in the training texts)."""
 
@@ -301,19 +315,18 @@ class Shard:
         weight = times[bits.row].astype(np.float64)
         below = np.flatnonzero(~bits.above)
         above = np.flatnonzero(bits.above)
-        # Four entries for each decision, so that few collide.
-        size = max(10, int(4 * len(below)).bit_length())
+        own = weight[below]
+        out = bits.outcome[below]
         self.zeros, self.ones = np.empty((CONTEXTS, n), np.float32), np.empty((CONTEXTS, n), np.float32)
         for k in range(CONTEXTS):
             common = slice(None) if k < LASTS else above
             at = bits.slot(k, TABLE_BITS[k])[common] + OFFSETS[k]
-            self.zeros[k, common], self.ones[k, common] = bounded[at, 0], bounded[at, 1]
+            pair = bounded[at]
+            self.zeros[k, common], self.ones[k, common] = pair[:, 0], pair[:, 1]
             if k >= LASTS:
-                at = bits.slot(k, size)[below]
-                out = bits.outcome[below]
-                ones = np.bincount(at, weight[below] * out, 1 << size)
-                zeros = np.bincount(at, weight[below] * ~out, 1 << size)
-                self.zeros[k, below], self.ones[k, below] = zeros[at], ones[at]
+                at = _numbered(bits.hashes[k][below])
+                pair = np.bincount(2 * at + out, own, 2 * len(at)).reshape(-1, 2)[at]
+                self.zeros[k, below], self.ones[k, below] = pair[:, 0], pair[:, 1]
         self.weights = np.tile(np.array(START, np.float32), (GATES, 1))
         self.correction = np.zeros(GATES * BINS)
 
@@ -471,15 +484,17 @@ def _word(first: int):
 
 
 def split_groups(rows: DataFrame) -> frozenset[bytes]:
-    """First bytes of words whose groups have too many rows: at most one for each GROUP rows and doubling."""
+    """First bytes of words whose groups have too many rows: at most one for each GROUP rows and doubling.
+
+    A group that is too large is in a group that is: counts of a depth tell whether the next is needed.
+    """
     spelled, splits, depth = rows.where(F.substring("key", 1, 2) != F.lit(PLACES[WHOLE])), frozenset(), FIRST
     while depth < PIECE:
-        large = [bytes(r.g) for r in spelled.groupBy(_word(depth).alias("g")).agg(F.count("*").alias("c")).where(F.col("c") > GROUP).collect()]
-        large = [g for g in large if len(g) == depth]
+        groups = spelled.where(F.octet_length("key") >= 2 + depth).groupBy(_word(depth).alias("g")).agg(F.count("*").alias("c"))
+        large = frozenset(bytes(r.g) for r in groups.where(F.col("c") > GROUP).collect())
         if not large:
             break
-        splits |= frozenset(large)
-        spelled = spelled.join(F.broadcast(rows.sparkSession.createDataFrame([(bytearray(g),) for g in large], "g binary")), _word(depth) == F.col("g"), "left_semi")
+        splits |= large
         depth *= 2
     return splits
 
@@ -520,11 +535,11 @@ def bounded_tables(rows: DataFrame, splits: frozenset[bytes]) -> np.ndarray:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Keys and times, at most SHARD at a time."""
+    """Keys and times, at most BLOCK at a time."""
     for batch in batches:
         keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for at in range(0, len(keys), SHARD):
-            yield keys[at : at + SHARD], times[at : at + SHARD]
+        for at in range(0, len(keys), BLOCK):
+            yield keys[at : at + BLOCK], times[at : at + BLOCK]
 
 
 @dataclass
@@ -573,7 +588,7 @@ def score_rows(rows: DataFrame, shards: int, model) -> DataFrame:
             yield out()
 
     dealt = rows.select("key", "n", "m").mapInArrow(place, "key binary, n long, m long, shard long, turn long")
-    dealt = dealt.repartition(max(partitions(rows), shards // 8), "shard").sortWithinPartitions("shard", "turn", "key")
+    dealt = dealt.repartition(max(partitions(rows), shards // 64), "shard").sortWithinPartitions("shard", "turn", "key")
     kind = "key binary, m long, c long, first long, " + ", ".join(f"{n} double" for n in names[4:])
     return dealt.mapInArrow(score, kind)
 
@@ -605,6 +620,18 @@ def expert_sums(doc: np.ndarray, logs: np.ndarray, times: np.ndarray, again: np.
     return out
 
 
+def most_frequent(words: DataFrame) -> DataFrame:
+    """At most COMMON rows: all that occur more often than a step of a logarithmic scale."""
+    step = F.floor(F.log2("m") * 16).cast("bigint").alias("step")
+    held_by, cutoff = 0, None
+    for r in words.groupBy(step).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # a thousand steps at most
+        held_by += r.n
+        if held_by > COMMON:
+            break
+        cutoff = r.step
+    return words.where(step >= cutoff if cutoff is not None else F.lit(False))
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """The contract's columns with n_bytes, total_bits and bits_per_byte, for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -620,7 +647,7 @@ def scored(docs: DataFrame) -> DataFrame:
     totals = words.agg(F.coalesce(F.sum(F.when(F.col("first") > 0, F.col("c"))), F.lit(0)).alias("n"), F.coalesce(F.sum("first"), F.lit(0)).alias("v")).first()
     total, log_denominator = totals.n, math.log10(totals.n + 0.5 * (totals.v + 1))
     factors = [f"l{i}" for i in range(len(SHARPNESS))]
-    top = words.orderBy(F.desc("m"), "key").limit(COMMON).select("key", "c", *factors).toArrow()
+    top = most_frequent(words).select("key", "c", *factors).toArrow()
     logs = np.stack([top.column(f).to_numpy() for f in factors], axis=1)
     shared = spark.sparkContext.broadcast(Common(top.column("key").to_pylist(), top.column("c").to_numpy(), logs, tokens))
 
@@ -673,7 +700,8 @@ def scored(docs: DataFrame) -> DataFrame:
 
     kind = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, size long, " + ", ".join(f"{c} double" for c in sums) + ", rest array<struct<key:binary,times:bigint,again:double>>"
     found = cut(texts.select("doc_id", "text").mapInArrow(run, kind))
-    rare = found.select("row", "size", F.explode("rest").alias("r")).select("row", "size", "r.*").join(words.drop("m", "first"), "key")
+    rare = found.select("row", "size", F.explode("rest").alias("r")).select("row", "size", "r.*", F.xxhash64("r.key").alias("h"))
+    rare = rare.join(words.drop("m", "first").withColumn("h", F.xxhash64("key")), ["h", "key"])
     whole = F.substring("key", 1, 2) == F.lit(PLACES[WHOLE])
     token = whole | ((F.octet_length("key") < 2 + PIECE) & (F.substring("key", 1, 2) != F.lit(PLACES[CONTINUED])))
 
