@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -45,41 +46,75 @@ def test_whole_table(spark, monkeypatch, common):
     assert -sum(r.score for r in out) / math.log10(2) < 3.5 * sum(len((t or "").encode()) for i, t in rows if is_held(i))
 
 
+CODE = M.Code(np.bincount(np.frombuffer(b"the quick brown fox jumps over the lazy dog. " * 9, np.uint8), minlength=256))
+
+
 def test_probabilities_add_up():
-    """The chances of all 256 first bytes, and of the bytes that the escape could also spell, add up to one."""
+    """The chances of all 256 first bytes add up to one."""
     rng = np.random.default_rng(1)
-    words_ = [bytes([b]) for b in range(256)]
-    shard = M.Shard([M.PLACES[0] + w for w in words_], rng.integers(0, 3, 256), rng.integers(0, 3, (M.ENTRIES, 2)).astype(np.uint32), frozenset())
+    model = M.Model(rng.integers(0, 3, (M.ENTRIES, 2)).astype(np.uint32), frozenset(), CODE)
+    shard = M.Shard([M.PLACES[0] + bytes([b]) for b in range(256)], rng.integers(0, 3, 256), model)
     shard.learn()
     x = np.stack([M._logit(a, b) for a, b in zip(shard.zeros, shard.ones)])
     gate = M._gate(shard.zeros[M.LASTS + 1] + shard.ones[M.LASTS + 1], shard.zeros[M.LASTS - 1] + shard.ones[M.LASTS - 1])
     z = shard._mixed(x, gate)
     p = np.clip(1 / (1 + np.exp(-z.astype(float))) + 0.5 * shard.correction[gate * M.BINS + M._bin(z)], 1e-6, 1 - 1e-6)
     chance = np.where(shard.bits.outcome, p, 1 - p)
-    of = lambda b: chance[shard.bits.row == b][: M.DECISIONS[b]]
-    escape = float(np.prod(of(0xC3)[:5]))
-    assert math.isclose(sum(float(np.prod(of(b))) for b in M.SHORT) + escape, 1, abs_tol=1e-6)
-    spelt = [float(np.prod(of(b)[5:])) for b in range(256) if bytes([b]) not in M.SHORT]
-    assert 0 < sum(spelt) <= 1 + 1e-6
+    assert math.isclose(sum(float(np.prod(chance[shard.bits.row == b][: CODE.decisions[b]])) for b in range(256)), 1, abs_tol=1e-6)
+
+
+def test_code_is_a_prefix_code():
+    assert math.isclose(sum(2.0**-d for d in CODE.decisions), 1) and CODE.decisions[ord("e")] < CODE.decisions[0]
+    paths = {tuple(zip(CODE.nodes[b, :d], CODE.outcomes[b, :d])) for b, d in enumerate(CODE.decisions)}
+    assert len(paths) == 256 and CODE.nodes.max() < 256
+    assert M.Code(np.zeros(256)).decisions.tolist() == [8] * 256
 
 
 def test_contexts_do_not_depend_on_the_batch():
     keys = [M.PLACES[p] + w for p, w in [(0, b"alpha"), (1, b""), (17, b"beta"), (M.CONTINUED, b"x" * M.PIECE), (M.CONTINUED, b""), (3, "é".encode())]]
-    together = M.Bits(keys, frozenset())
+    together = M.Bits(keys, frozenset(), CODE)
     for i, key in enumerate(keys):
-        alone = M.Bits([key], frozenset())
+        alone = M.Bits([key], frozenset(), CODE)
         mine = together.row == i
         assert all((a[mine] == b).all() for a, b in zip(together.hashes, alone.hashes)) and (together.outcome[mine] == alone.outcome).all()
 
 
+def plain_keys(markers, text):
+    """Keys word by word, for texts without long words."""
+    keys, kind, last, place = [], 0, 0, 0
+    for w in text.lower().split():
+        keys.append(M.PLACES[place] + w)
+        if w in markers:
+            group, number = markers[w]
+            kind = group if group == last else kind
+            last, place = group, 2 * kind * M.NAMED + number
+        else:
+            place = (2 * kind + (w[-1] in M.SIGNS)) * M.NAMED
+    return [*keys, M.PLACES[place]]
+
+
+def test_places_of_whole_texts_at_once():
+    rng = random.Random(3)
+    markers = {b"the": (1, 1), b"of": (1, 2), b"der": (2, 3), b"|": (2, 0), b"la": (3, 0)}
+    word = lambda: rng.choice([*markers, b"The", b"x#", b"a%", b"stone", "über".encode(), b"end.", b"q" * 47])
+    texts = [b""] + [rng.choice([b" ", b"\n", b"\x0b "]).join(word() for _ in range(rng.randrange(40))) + rng.choice([b"", b" "]) for _ in range(200)]
+    tokens = M.Tokens(markers)
+    words, places, extra = tokens.split(texts)
+    got = M.bytes_of(words.t, places, words.begin, words.length).to_pylist()
+    assert not extra and [[k for k, d in zip(got, words.doc) if d == i] for i in range(len(texts))] == [plain_keys(markers, t) for t in texts]
+    assert [tokens.keys(t) for t in texts] == [plain_keys(markers, t) for t in texts]
+    one, number = M._group(M.key_hashes(words.hash, places))
+    assert [got[one[i]] for i in number] == got and len(one) == len(set(got))
+
+
 def test_long_words_go_in_pieces():
     tokens = M.Tokens({b"the": (1, 1)})
     long = bytes(range(97, 123)) * 5
-    keys = tokens(b"the " + long + b" end")
+    keys = tokens.keys(b"the " + long + b" end")
     assert b"".join(k[2:] for k in keys[1:-3]) == long and all(len(k) == 2 + M.PIECE for k in keys[1:-4])
-    assert [M.is_token(k) for k in keys] == [True, False, False, False, True, True, True] and len(tokens(b"x" * (M.PIECE - 1))) == 2
+    assert [M.is_token(k) for k in keys] == [True, False, False, False, True, True, True] and len(tokens.keys(b"x" * (M.PIECE - 1))) == 2
     # A word of whole pieces ends with an empty one, which is not the end token.
-    assert tokens(b"y" * M.PIECE)[1] == M.PLACES[M.CONTINUED] and tokens(b"y" * M.PIECE)[-1] == M.PLACES[0]
+    assert tokens.keys(b"y" * M.PIECE)[1] == M.PLACES[M.CONTINUED] and tokens.keys(b"y" * M.PIECE)[-1] == M.PLACES[0]
 
 
 def test_same_scores_however_rows_are_dealt(spark, monkeypatch):
@@ -112,8 +147,8 @@ def test_split_groups_change_only_the_bounded_tables():
     seen = []
     for splits in (frozenset(), frozenset([b"htt"])):
         total = np.zeros(2 * M.ENTRIES)
-        M.add_bounded(total, keys, times, splits)
-        shard = M.Shard(keys, times, total.reshape(size), splits)
+        M.add_bounded(total, keys, times, splits, CODE)
+        shard = M.Shard(keys, times, M.Model(total.reshape(size), splits, CODE))
         seen.append((shard.zeros, shard.ones))
     # Tables are hashed, so that a few entries may collide in one of the two.
     assert all((a == b).mean() > 0.97 for a, b in zip(*seen))

@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z), split into words, and ends with one end token. A word is coded byte by byte and a space
 after it, the end token as one newline; a word of `PIECE` bytes or more goes in pieces of that many and a last one. So all
-texts' probabilities together do not exceed 1. A byte is five binary decisions if it is a letter or one of a few signs,
-else an escape and eight more.
+texts' probabilities together do not exceed 1. A byte is a path of binary decisions in a tree that is drawn up from
+how often bytes occur (frequent ones have short paths; any byte has one).
 
 For each decision seven hashed contexts are looked up in tables of zeros and ones counted over the training texts: the
 last one to four bytes of the word with the language; all the word so far; that with the language; that with the
@@ -37,12 +37,12 @@ their names cannot clash.
 
 from __future__ import annotations
 
+import heapq
 import math
-import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from operator import add
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +75,8 @@ BINS, BIN_WIDTH = 33, 0.5
 #: Factors of the logits; and a text's experts: a factor's number, and the share of what comes again.
 SHARPNESS = (0.8, 1.0, 1.2)
 EXPERTS = ((1, 0.0), (1, 0.02), (1, 0.1), (0, 0.1), (2, 0.02), (0, 0.4))
-#: Counted words that a task holds, and texts whose rows it emits at a time.
-PAIRS, TOGETHER = 400_000, 256
+#: Tokens that a task holds before it emits their counts, and bytes of text that are split at a time.
+HELD, CHARS = 1_500_000, 1 << 20
 LN10 = math.log(10)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +85,6 @@ _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0
 
 #: Words that end in one of these mark the place after them.
 SIGNS = frozenset(b"#*$%&|<>!")
-NO_SIGNS = bytes(b for b in range(256) if b not in SIGNS)
 
 #: Keys of rows: two bytes of place, then the piece. A place is (2 * language + sign) * NAMED + word before.
 CONTINUED = 2 * (GROUPS + 1) * NAMED
@@ -93,48 +92,163 @@ WHOLE = CONTINUED + 1
 PLACES = [i.to_bytes(2, "big") for i in range(WHOLE + 1)]
 
 
-def split_keys(keys: list[bytes], longs: list[int]) -> list[bytes]:
-    """Keys with those at `longs` in pieces, and a row for each of these whole words."""
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+IS_SIGN = np.isin(np.arange(256), list(SIGNS))
+
+
+def pieces_of(place: int, word: bytes) -> list[bytes]:
+    """Keys of a long word: its pieces, and the whole of it."""
     from xxhash import xxh3_128_digest
 
-    out, at = [], 0
-    for i in longs:
-        out += keys[at:i]
-        place, word = keys[i][:2], keys[i][2:]
-        out.append(place + word[:PIECE])
-        out += [PLACES[CONTINUED] + word[k : k + PIECE] for k in range(PIECE, len(word) + 1, PIECE)]
-        out.append(PLACES[WHOLE] + xxh3_128_digest(word))
-        at = i + 1
-    return out + keys[at:]
+    rest = [PLACES[CONTINUED] + word[k : k + PIECE] for k in range(PIECE, len(word) + 1, PIECE)]
+    return [PLACES[place] + word[:PIECE], *rest, PLACES[WHOLE] + xxh3_128_digest(word)]
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_MIX, np.uint64(pow(int(_MIX), -1, 2**64))):
+        powers = np.full(n + 1, base, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+def string_hashes(t: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each t[begin:end]; that of no bytes is zero."""
+    powers, inverse = _powers(max(CHARS, 1 << len(t).bit_length()))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((t + np.uint64(1)) * _MIX2 * powers[: len(t)])])
+    h = (sums[ends] - sums[begins]) * inverse[begins]
+    h ^= h >> np.uint64(29)
+    return h * _MIX
+
+
+def key_hashes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    h = words + (places.astype(np.uint64) + np.uint64(1)) * _SALTS[2]
+    h ^= h >> np.uint64(32)
+    return h * _MIX2
+
+
+@dataclass
+class Words:
+    """The words of some texts in order, each text's followed by an end token (no bytes)."""
+
+    t: np.ndarray  # all bytes, in lower case
+    doc: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    hash: np.ndarray
+
+
+def words_of(texts: list[bytes]) -> Words:
+    joined = b" ".join([*texts, b""]).lower()
+    t = np.frombuffer(joined, np.uint8)
+    sizes = np.array([len(x) + 1 for x in texts], np.int64)
+    stops = np.cumsum(sizes)
+    space = np.concatenate([[True], IS_SPACE[t]])
+    begins, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(space[1:] & ~space[:-1])
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], np.searchsorted(begins, stops)])))
+    at = np.arange(len(begins)) + doc  # an end token before each later text
+    last = np.searchsorted(begins, stops) + np.arange(len(texts))
+    n = len(begins) + len(texts)
+    out = Words(t, np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64))
+    out.doc[at], out.doc[last] = doc, np.arange(len(texts))
+    out.begin[at], out.begin[last] = begins, stops - 1
+    out.length[at] = ends - begins
+    out.hash[at] = string_hashes(t, begins, ends)
+    return out
+
+
+def chunks_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about CHARS bytes (a longer text is one of its own), with their place."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > CHARS:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(text) + 1
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def bytes_of(t: np.ndarray, places: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Keys as a column: two bytes of place, then t[begin:begin + length]."""
+    offsets = np.concatenate([[0], np.cumsum(lengths + 2)])
+    out = np.empty(offsets[-1], np.uint8)
+    out[offsets[:-1]], out[offsets[:-1] + 1] = places >> 8, places & 255
+    within = np.ones(offsets[-1], bool)
+    within[offsets[:-1]] = within[offsets[:-1] + 1] = False
+    out[within] = t[np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def _group(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each of the different hashes, and each hash's number among these."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(hashes)]
+    number = np.empty(len(hashes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 class Tokens:
-    """Keys of texts' words at their places, given markers: word -> (group from 1, its number if a place names it, else 0)."""
+    """Places of texts' words, given markers: word -> (group from 1, its number if a place names it, else 0)."""
 
     def __init__(self, markers: dict[bytes, tuple[int, int]]):
-        self.codes = {w: group * NAMED + number for w, (group, number) in markers.items()}
-
-    def __call__(self, text: bytes) -> list[bytes]:
-        words = text.lower().split()
-        n = len(words)
-        get = self.codes.get
-        code = np.array([0, *[get(w, 0) for w in words]], np.int64)  # of the word before each place
-        marks = np.flatnonzero(code)
-        places = np.zeros(n + 1, np.int64)
-        if len(marks):
-            group = code[marks] // NAMED
-            agree = np.zeros(n + 1, np.int64)
-            at = marks[1:][group[1:] == group[:-1]]
-            agree[at] = at
-            last = np.maximum.accumulate(agree)
-            places = 2 * NAMED * (code[last] // NAMED) + code % NAMED
-        if text.translate(None, NO_SIGNS):
-            places[1:] += np.where(code[1:] == 0, [NAMED * (w[-1] in SIGNS) for w in words], 0)
-        words.append(b"")  # the end token is the empty word
-        keys = list(map(add, map(PLACES.__getitem__, places.tolist()), words))
-        if len(text) >= PIECE and max(map(len, words)) >= PIECE:
-            return split_keys(keys, [i for i, w in enumerate(words) if len(w) >= PIECE])
-        return keys
+        words = list(markers)
+        found = words_of([b" ".join(words)])
+        order = np.argsort(found.hash[:-1])
+        self.hashes = found.hash[:-1][order]
+        self.codes = np.array([markers[words[i]][0] * NAMED + markers[words[i]][1] for i in order], np.int64)
+        self.numbers = order
+
+    def marks(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are markers, and which they are in the order of `codes`."""
+        maybe = np.flatnonzero((words.length > 0) & (words.length <= MARKER_BYTES))
+        if not len(self.hashes):
+            return maybe[:0], maybe[:0]
+        i = np.minimum(np.searchsorted(self.hashes, words.hash[maybe]), len(self.hashes) - 1)
+        real = self.hashes[i] == words.hash[maybe]
+        return maybe[real], i[real]
+
+    def places(self, words: Words) -> np.ndarray:
+        n = len(words.doc)
+        at, which = self.marks(words)
+        after, doc = at + 1, words.doc
+        code = np.zeros(n + 1, np.int64)  # of the marker before each place
+        code[after] = self.codes[which]
+        agree = np.zeros(n + 1, np.int64)
+        both = (doc[at[1:]] == doc[at[:-1]]) & (code[after[1:]] // NAMED == code[after[:-1]] // NAMED)
+        agree[after[1:][both]] = after[1:][both]
+        last = np.maximum.accumulate(agree)[:n]
+        first = np.searchsorted(doc, doc)
+        kind = np.where(last > first, code[last] // NAMED, 0)
+        signed = np.zeros(n, np.int64)
+        real = np.flatnonzero(words.length[:-1] > 0)
+        signed[real + 1] = IS_SIGN[words.t[words.begin[real] + words.length[real] - 1]]
+        code = code[:n]
+        return 2 * NAMED * kind + np.where(code > 0, code % NAMED, NAMED * signed)
+
+    def keys(self, text: bytes) -> list[bytes]:
+        """A text's keys one by one."""
+        words = words_of([text])
+        out: list[bytes] = []
+        for place, begin, length in zip(self.places(words).tolist(), words.begin.tolist(), words.length.tolist(), strict=True):
+            word = words.t[begin : begin + length].tobytes()
+            out += [PLACES[place] + word] if length < PIECE else pieces_of(place, word)
+        return out
+
+    def split(self, texts: list[bytes]) -> tuple[Words, np.ndarray, list[tuple[int, bytes]]]:
+        """Words under PIECE bytes with their places, and (text, key) of the pieces of the longer ones."""
+        words = words_of(texts)
+        places = self.places(words)
+        longs = np.flatnonzero(words.length >= PIECE)
+        if not len(longs):
+            return words, places, []
+        extra = [(int(words.doc[i]), k) for i in longs for k in pieces_of(int(places[i]), words.t[words.begin[i] : words.begin[i] + words.length[i]].tobytes())]
+        short = words.length < PIECE
+        return Words(words.t, words.doc[short], words.begin[short], words.length[short], words.hash[short]), places[short], extra
 
 
 def is_token(key: bytes) -> bool:
@@ -164,35 +278,30 @@ def grouped(together: np.ndarray) -> np.ndarray:
     return np.argmax(rows @ centre.T, axis=1)
 
 
-#: Bytes of a short code, in the order of their codes; the last code announces eight bits.
-SHORT = b"abcdefghijklmnopqrstuvwxyz \n.,-"
-ESCAPE = len(SHORT)
-
-
-def _paths() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte the number of its decisions, their nodes and their outcomes."""
-    count, nodes, outcomes = np.zeros(256, np.int64), np.zeros((256, 13), np.int64), np.zeros((256, 13), bool)
-    for byte in range(256):
-        short = SHORT.find(bytes([byte]))
-        code = [((short if short >= 0 else ESCAPE) >> i) & 1 for i in range(4, -1, -1)]
-        steps, node = [], 1
-        for bit in code:
-            steps.append((node, bit))
-            node = 2 * node + bit
-        if short < 0:
-            node = 1
-            for bit in ((byte >> i) & 1 for i in range(7, -1, -1)):
-                steps.append((256 + node, bit))
-                node = 2 * node + bit
-        count[byte] = len(steps)
-        for j, (n, bit) in enumerate(steps):
-            nodes[byte, j], outcomes[byte, j] = n, bit
-    return count, nodes, outcomes
-
-
-DECISIONS, NODES, OUTCOMES = _paths()
+class Code:
+    """A prefix code for bytes, by how often each occurs: the decisions of each byte, their nodes and outcomes."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        children: list[tuple[int, int]] = []  # inner nodes are numbered from 256
+        while len(heap) > 1:
+            (n, _, zero), (m, _, one) = heapq.heappop(heap), heapq.heappop(heap)
+            children.append((zero, one))
+            heapq.heappush(heap, (n + m, 255 + len(children), 255 + len(children)))
+        paths: dict[int, list[tuple[int, bool]]] = {255 + len(children): []}
+        for node in range(254 + len(children) + 1, 255, -1):
+            for child, bit in zip(children[node - 256], (False, True), strict=True):
+                paths[child] = [*paths[node], (node, bit)]
+        self.decisions = np.array([len(paths[b]) for b in range(256)], np.int64)
+        self.nodes, self.outcomes = np.zeros((256, self.decisions.max()), np.int64), np.zeros((256, self.decisions.max()), bool)
+        for b in range(256):
+            for j, (node, bit) in enumerate(paths[b]):
+                self.nodes[b, j], self.outcomes[b, j] = node - 256, bit
+
+
 #: A random number for each node, which is mixed into the hash of a context.
-NODE_BITS = np.random.default_rng(3).integers(0, 2**63, 512, np.uint64)
+NODE_BITS = np.random.default_rng(3).integers(0, 2**63, 256, np.uint64)
 
 
 def depth_of(word: bytes, splits: frozenset[bytes]) -> int:
@@ -203,12 +312,17 @@ def depth_of(word: bytes, splits: frozenset[bytes]) -> int:
     return depth
 
 
+def coded_bytes(keys: list[bytes]) -> list[bytes]:
+    """What is coded of each row: the word and a space, a newline for the end token, a piece that is not the last as it is."""
+    end, last = PLACES[CONTINUED], PIECE + 2
+    return [k[2:] if len(k) >= last else k[2:] + (b"\n" if len(k) == 2 and k != end else b" ") for k in keys]
+
+
 class Bits:
     """The binary decisions of many rows: hashes of each context, outcome, row, and whether the context is above the row's group."""
 
-    def __init__(self, keys: list[bytes], splits: frozenset[bytes], wanted: range | None = None):
-        end, last = PLACES[CONTINUED], PIECE + 2
-        coded = [k[2:] if len(k) >= last else k[2:] + (b"\n" if len(k) == 2 and k != end else b" ") for k in keys]
+    def __init__(self, keys: list[bytes], splits: frozenset[bytes], code: Code, wanted: range | None = None):
+        coded = coded_bytes(keys)
         places = np.frombuffer(b"".join(k[:2] for k in keys), ">u2").astype(np.uint64)
         lengths = np.array([len(w) for w in coded], np.int64)
         raw = np.frombuffer(b"".join(coded), np.uint8)
@@ -234,12 +348,12 @@ class Bits:
             recent[k:] += np.where(within[k:] >= k, t[: n - k], 0) if n > k else 0
             contexts.append(recent + language + np.uint64(k << 40))
         contexts += [prefix, prefix + language, prefix + (places[row] + np.uint64(1)) * _SALTS[1]]
-        times = DECISIONS[raw]
+        times = code.decisions[raw]
         at = np.repeat(np.arange(n), times)
         step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
         own = raw[at]
-        node = NODE_BITS[NODES[own, step]]
-        self.outcome = OUTCOMES[own, step]
+        node = NODE_BITS[code.nodes[own, step]]
+        self.outcome = code.outcomes[own, step]
         self.row = row[at]
         depth = np.array([depth_of(w, splits) for w in coded], np.int64)
         self.above = (within < depth[row])[at]
@@ -259,7 +373,7 @@ class Bits:
         return (self.hashes[k] >> np.uint64(64 - bits)).view(np.int64)
 
 
-def add_bounded(total: np.ndarray, keys: list[bytes], times: np.ndarray, splits: frozenset[bytes]) -> None:
+def add_bounded(total: np.ndarray, keys: list[bytes], times: np.ndarray, splits: frozenset[bytes], code: Code) -> None:
     """Counts rows into the tables of bounded contexts: zeros and ones of an entry side by side."""
     parts: list[Counter] = [Counter(), Counter()]
     for key, n in zip(keys, times.tolist(), strict=True):
@@ -272,7 +386,7 @@ def add_bounded(total: np.ndarray, keys: list[bytes], times: np.ndarray, splits:
     for part, contexts in ((parts[0], range(LASTS)), (parts[1], range(LASTS, CONTEXTS))):
         if not part:
             continue
-        bits, weight = Bits(list(part), splits, contexts), np.array(list(part.values()), np.float64)
+        bits, weight = Bits(list(part), splits, code, contexts), np.array(list(part.values()), np.float64)
         weight = weight[bits.row]
         for k in contexts:
             # A word cut at its group's depth would end there with a space; that decision is not above the group.
@@ -296,6 +410,15 @@ def _bin(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z / BIN_WIDTH).astype(np.int64) + BINS // 2, 0, BINS - 1)
 
 
+@dataclass
+class Model:
+    """What is broadcast: of bounded size, but for the first bytes of split groups (one for each GROUP rows at most)."""
+
+    bounded: np.ndarray
+    splits: frozenset[bytes]
+    code: Code
+
+
 def _numbered(hashes: np.ndarray) -> np.ndarray:
     """A number for each, equal for equal hashes."""
     order = np.argsort(hashes)
@@ -308,8 +431,8 @@ def _numbered(hashes: np.ndarray) -> np.ndarray:
 class Shard:
     """Tables, weights and corrections of a shard's rows (keys and how often each is in the training texts)."""
 
-    def __init__(self, keys: list[bytes], times: np.ndarray, bounded: np.ndarray, splits: frozenset[bytes]):
-        self.bits = bits = Bits(keys, splits)
+    def __init__(self, keys: list[bytes], times: np.ndarray, model: Model):
+        self.bits = bits = Bits(keys, model.splits, model.code)
         self.times, self.rows = times, len(keys)
         n = len(bits.outcome)
         weight = times[bits.row].astype(np.float64)
@@ -321,7 +444,7 @@ class Shard:
         for k in range(CONTEXTS):
             common = slice(None) if k < LASTS else above
             at = bits.slot(k, TABLE_BITS[k])[common] + OFFSETS[k]
-            pair = bounded[at]
+            pair = model.bounded[at]
             self.zeros[k, common], self.ones[k, common] = pair[:, 0], pair[:, 1]
             if k >= LASTS:
                 at = _numbered(bits.hashes[k][below])
@@ -388,12 +511,12 @@ class Shard:
         return np.array(out)
 
 
-def scored_rows(keys: list[bytes], times: np.ndarray, bounded: np.ndarray, splits: frozenset[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scored_rows(keys: list[bytes], times: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token count, 1 at a known token's first row, log10 by factor) of a shard's rows; all rows of a word are in one shard."""
     spelled = [i for i, k in enumerate(keys) if k[:2] != PLACES[WHOLE]]
     logs = np.zeros((len(SHARPNESS), len(keys)))
     if spelled:
-        shard = Shard([keys[i] for i in spelled], times[spelled], bounded, splits)
+        shard = Shard([keys[i] for i in spelled], times[spelled], model)
         shard.learn()
         logs[:, spelled] = shard.log10()
     counts: Counter = Counter()
@@ -411,20 +534,16 @@ def marker_words(docs: DataFrame) -> list[bytes]:
     """The most frequent short words of the training texts, most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-            total.clear()
-            return made
-
         for batch in batches:
-            for text in byte_texts(batch):
-                total.update([w for w in text.lower().split() if len(w) <= MARKER_BYTES])
-                if len(total) >= PAIRS:
-                    yield out()
-        if total:
-            yield out()
+            total: Counter = Counter()
+            for _, texts in chunks_of(byte_texts(batch)):
+                words = words_of(texts)
+                short = np.flatnonzero((words.length > 0) & (words.length <= MARKER_BYTES))
+                one, number = _group(words.hash[short])
+                counts = np.bincount(number, minlength=len(one)).tolist()
+                for i, n in zip(short[one].tolist(), counts, strict=True):
+                    total[words.t[words.begin[i] : words.begin[i] + words.length[i]].tobytes()] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     counts = docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(MARKERS).collect()]
@@ -433,17 +552,16 @@ def marker_words(docs: DataFrame) -> list[bytes]:
 def marked(docs: DataFrame) -> dict[bytes, tuple[int, int]]:
     """The markers of docs (text), for Tokens."""
     markers = marker_words(docs)
-    place = {w: i for i, w in enumerate(markers)}
-    n = len(markers)
+    find, n = Tokens({w: (0, 0) for w in markers}), len(markers)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n), np.int64)
         for batch in batches:
-            texts = byte_texts(batch)
-            for at in range(0, len(texts), 512):
-                seen = np.zeros((min(512, len(texts) - at), n), np.float32)
-                for i, text in enumerate(texts[at : at + 512]):
-                    seen[i, [place[w] for w in place.keys() & set(text.lower().split())]] = 1
+            for _, texts in chunks_of(byte_texts(batch)):
+                words = words_of(texts)
+                seen = np.zeros((len(texts), n), np.float32)
+                at, which = find.marks(words)
+                seen[words.doc[at], find.numbers[which]] = 1
                 total += (seen.T @ seen).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(n * n)), "x": pa.array(total.ravel())})
 
@@ -455,26 +573,37 @@ def marked(docs: DataFrame) -> dict[bytes, tuple[int, int]]:
     return {w: (g + 1, i + 1 if i + 1 < NAMED else 0) for i, (w, g) in enumerate(zip(markers, groups, strict=True))}
 
 
-def counted(docs: DataFrame, tokens: Callable[[bytes], list[bytes]]) -> DataFrame:
+def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
     """(key, n, m): times of each row in the training texts, and in all texts of docs (text, out)."""
     names = ("key", "n", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (Counter(), Counter())  # training texts, held-out ones
+        parts: list[tuple] = []
+        size, held_tokens = 0, 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for part, learnt in zip(parts, (1, 0), strict=True):
-                if part:
-                    times = np.fromiter(part.values(), np.int64, len(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(part), pa.binary()), pa.array(times * learnt), pa.array(times)], names)
-                    part.clear()
+        def out() -> pa.RecordBatch:
+            t, hashes, places, begins, lengths, learnt = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.clear()
+            one, number = _group(hashes)
+            n = np.bincount(number, learnt, len(one)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([bytes_of(t, places[one], begins[one], lengths[one]), pa.array(n), pa.array(np.bincount(number, minlength=len(one)))], names)
 
         for batch in batches:
-            for text, held_out in zip(byte_texts(batch), batch.column(batch.schema.get_field_index("out")).to_pylist(), strict=True):
-                parts[held_out].update(tokens(text))
-                if len(parts[0]) + len(parts[1]) >= PAIRS:
-                    yield from out()
-        yield from out()
+            texts = byte_texts(batch)
+            learnt = ~batch.column(batch.schema.get_field_index("out")).to_numpy(zero_copy_only=False)
+            for first, chunk in chunks_of(texts):
+                words, places, extra = tokens.split(chunk)
+                parts.append((words.t, key_hashes(words.hash, places), places, words.begin + size, words.length, learnt[first + words.doc].astype(np.float64)))
+                size += len(words.t)
+                held_tokens += len(places)
+                if extra:
+                    keys = [k for _, k in extra]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([int(learnt[first + d]) for d, _ in extra]), pa.array([1] * len(keys))], names)
+                if held_tokens >= HELD:
+                    yield out()
+                    size = held_tokens = 0
+        if parts:
+            yield out()
 
     return docs.mapInArrow(run, "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -499,14 +628,14 @@ def split_groups(rows: DataFrame) -> frozenset[bytes]:
     return splits
 
 
-def bounded_tables(rows: DataFrame, splits: frozenset[bytes]) -> np.ndarray:
+def bounded_tables(rows: DataFrame, splits: frozenset[bytes], code: Code) -> np.ndarray:
     """Zeros and ones of the entries of all bounded contexts: a table of fixed size, as 32-bit counts."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * ENTRIES)
         for keys, times in _parts(batches):
-            add_bounded(total, keys, times, splits)
+            add_bounded(total, keys, times, splits, code)
         pack = zstandard.ZstdCompressor(level=1).compress
         for i in range(0, 2 * ENTRIES, CHUNK):
             part = total[i : i + CHUNK]
@@ -534,6 +663,22 @@ def bounded_tables(rows: DataFrame, splits: frozenset[bytes]) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
+def byte_code(rows: DataFrame) -> Code:
+    """The code for the bytes of the training rows, each row once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for keys, _ in _parts(batches):
+            total += np.bincount(np.frombuffer(b"".join(coded_bytes(keys)), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_pydict({"byte": pa.array(np.arange(256)), "n": pa.array(total)})
+
+    learnt = rows.where("n > 0").where(F.substring("key", 1, 2) != F.lit(PLACES[WHOLE])).select("key", "n")
+    counts = np.zeros(256, np.int64)
+    for r in learnt.mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        counts[r.byte] = r.n
+    return Code(counts)
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Keys and times, at most BLOCK at a time."""
     for batch in batches:
@@ -542,14 +687,6 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.
             yield keys[at : at + BLOCK], times[at : at + BLOCK]
 
 
-@dataclass
-class Model:
-    """What is broadcast: of bounded size, but for the first bytes of split groups (one for each GROUP rows at most)."""
-
-    bounded: np.ndarray
-    splits: frozenset[bytes]
-
-
 def score_rows(rows: DataFrame, shards: int, model) -> DataFrame:
     """(key, m, c, first, l0, l1, ...) of rows (key, n, m), each shard on its own; model is a broadcast Model."""
     names = ("key", "m", "c", "first", *(f"l{i}" for i in range(len(SHARPNESS))))
@@ -572,7 +709,7 @@ def score_rows(rows: DataFrame, shards: int, model) -> DataFrame:
         now = None
 
         def out() -> pa.RecordBatch:
-            count, first, logs = scored_rows(keys, np.array(times, np.int64), model.value.bounded, model.value.splits)
+            count, first, logs = scored_rows(keys, np.array(times, np.int64), model.value)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(alls, pa.int64()), pa.array(count), pa.array(first), *map(pa.array, logs)], names)
 
         for batch in batches:
@@ -595,17 +732,28 @@ def score_rows(rows: DataFrame, shards: int, model) -> DataFrame:
 
 @dataclass
 class Common:
-    """Scores of the most frequent rows."""
+    """Scores of the most frequent rows, in the order of their keys' hashes."""
 
-    keys: list[bytes]
+    hashes: np.ndarray
     counts: np.ndarray
     logs: np.ndarray
     tokens: Tokens
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @classmethod
+    def of(cls, keys: list[bytes], counts: np.ndarray, logs: np.ndarray, tokens: Tokens) -> Common:
+        plain = np.array([is_token(k) and k[:2] != PLACES[WHOLE] for k in keys], bool)
+        words = words_of([k[2:] for k, p in zip(keys, plain, strict=True) if p])
+        # A text of one word, or of none: its first token is the word, or else the end.
+        hashes = key_hashes(words.hash[np.searchsorted(words.doc, np.arange(plain.sum()))], np.array([int.from_bytes(k[:2], "big") for k, p in zip(keys, plain, strict=True) if p], np.int64))
+        order = np.argsort(hashes)
+        return cls(hashes[order], counts[plain][order], logs[plain][order], tokens)
 
-#: Places of the keys of the last Common used: a Python worker runs tasks of many queries.
-_PLACES: dict[str, dict[bytes, int]] = {}
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[i] == hashes, i, -1)
 
 
 def expert_sums(doc: np.ndarray, logs: np.ndarray, times: np.ndarray, again: np.ndarray, size: np.ndarray, docs: int) -> list[np.ndarray]:
@@ -640,7 +788,8 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = cut(counted(texts.select("text", "out"), tokens))
     shards = max(1, rows.count() // SHARD)
     splits = split_groups(rows)
-    model = spark.sparkContext.broadcast(Model(bounded_tables(rows, splits), splits))
+    code = byte_code(rows)
+    model = spark.sparkContext.broadcast(Model(bounded_tables(rows, splits, code), splits, code))
     words = cut(score_rows(rows, shards, model))
     drop_cut(rows)
     model.unpersist()
@@ -649,54 +798,50 @@ def scored(docs: DataFrame) -> DataFrame:
     factors = [f"l{i}" for i in range(len(SHARPNESS))]
     top = most_frequent(words).select("key", "c", *factors).toArrow()
     logs = np.stack([top.column(f).to_numpy() for f in factors], axis=1)
-    shared = spark.sparkContext.broadcast(Common(top.column("key").to_pylist(), top.column("c").to_numpy(), logs, tokens))
+    shared = spark.sparkContext.broadcast(Common.of(top.column("key").to_pylist(), top.column("c").to_numpy(), logs, tokens))
 
     sums = [f"s{i}" for i in range(len(EXPERTS))]
     names = ("row", "doc_id", "held_out", "n_bytes", "n_tokens", "known", "base", "size", *sums, "rest")
     kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.int64(), *[pa.float64()] * len(sums), pa.list_(pa.struct([("key", pa.binary()), ("times", pa.int64()), ("again", pa.float64())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use: Common = shared.value
-        if use.name not in _PLACES:
-            _PLACES.clear()
-            _PLACES[use.name] = {k: i for i, k in enumerate(use.keys)}
-        place, next_row = _PLACES[use.name], TaskContext.get().partitionId() << 40
-        token = np.array([is_token(k) for k in use.keys], bool)
-        spelled_out = np.array([k[:2] != PLACES[WHOLE] for k in use.keys], bool)
+        use, next_row = shared.value, TaskContext.get().partitionId() << 40
         log_count = np.log10(use.counts + 0.5)
+        log_again = lambda times: np.array([math.lgamma(n) for n in times.tolist()]) / LN10
 
         for batch in batches:
-            every = byte_texts(batch)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for first in range(0, len(ids), TOGETHER):
-                mine, group = ids[first : first + TOGETHER], every[first : first + TOGETHER]
-                n = len(mine)
-                at: list[int] = []
-                times: list[int] = []
-                size, distinct, rests, rare_tokens = [], [], [], []
-                for text in group:
-                    counts = Counter(use.tokens(text))
-                    found = [place.get(k, -1) for k in counts]
-                    at += found
-                    times += counts.values()
-                    distinct.append(len(counts))
-                    size.append(counts.total())
-                    rare = [(k, t) for (k, t), i in zip(counts.items(), found, strict=True) if i < 0]
-                    rare_tokens.append(sum(t for k, t in rare if is_token(k)))
-                    rests.append([{"key": k, "times": t, "again": math.lgamma(t) / LN10} for k, t in rare])
-                doc, where, number = np.repeat(np.arange(n), distinct), np.array(at, np.int64), np.array(times, np.int64)
-                known = where >= 0
-                doc, where, number = doc[known], where[known], number[known]
-                again = np.zeros(len(number))
-                several = np.flatnonzero(number > 1)
-                again[several] = [math.lgamma(t) / LN10 for t in number[several].tolist()]
-                own = number * token[where]
-                spelled = spelled_out[where]
-                added = expert_sums(doc[spelled], use.logs[where[spelled]], number[spelled], again[spelled], np.array(size, np.float64)[doc[spelled]], n)
-                n_tokens = np.bincount(doc, own, n).astype(np.int64) + np.array(rare_tokens)
-                columns = [np.arange(next_row, next_row + n), mine, [is_held(d, MODULUS) for d in mine], [len(t) for t in group], n_tokens, np.bincount(doc, own * (use.counts[where] > 0), n).astype(np.int64), np.bincount(doc, own * log_count[where], n), size, *added, rests]
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for first, texts in chunks_of(byte_texts(batch)):
+                n = len(texts)
+                words, places, extra = use.tokens.split(texts)
+                hashes = key_hashes(words.hash, places)
+                one, number = _group(hashes + words.doc.astype(np.uint64) * _SALTS[3])
+                one = one[order := np.argsort(words.doc[one], kind="stable")]
+                times = np.bincount(number, minlength=len(one))[order]
+                doc, where = words.doc[one], use.find(hashes[one])
+                again = np.zeros(len(one))
+                several = np.flatnonzero(times > 2)
+                again[several] = log_again(times[several])
+                size = np.bincount(words.doc, minlength=n)
+                n_tokens = size + np.bincount([d for d, k in extra if is_token(k)], minlength=n)
+                size = size + np.bincount([d for d, _ in extra], minlength=n)
+                k = np.flatnonzero(where >= 0)
+                at = where[k]
+                added = expert_sums(doc[k], use.logs[at], times[k], again[k], size[doc[k]].astype(np.float64), n)
+                known = np.bincount(doc[k], times[k] * (use.counts[at] > 0), n).astype(np.int64)
+                base = np.bincount(doc[k], times[k] * log_count[at], n)
+                r = np.flatnonzero(where < 0)
+                rest = pa.StructArray.from_arrays([bytes_of(words.t, places[one[r]], words.begin[one[r]], words.length[one[r]]), pa.array(times[r]), pa.array(again[r])], ["key", "times", "again"])
+                rests = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[r], np.arange(n + 1)), pa.int32()), rest)
+                if extra:
+                    lists = rests.to_pylist()
+                    for (d, key), m in Counter(extra).items():
+                        lists[d].append({"key": key, "times": m, "again": math.lgamma(m) / LN10})
+                    rests = pa.array(lists, kinds[-1])
+                mine = ids.slice(first, n)
+                columns = [np.arange(next_row, next_row + n), mine, [is_held(d, MODULUS) for d in mine.to_pylist()], [len(x) for x in texts], n_tokens, known, base, size, *added, rests]
                 next_row += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     kind = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, size long, " + ", ".join(f"{c} double" for c in sums) + ", rest array<struct<key:binary,times:bigint,again:double>>"
     found = cut(texts.select("doc_id", "text").mapInArrow(run, kind))
