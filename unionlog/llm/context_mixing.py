@@ -76,7 +76,7 @@ BINS, BIN_WIDTH = 33, 0.5
 SHARPNESS = (0.8, 1.0, 1.2)
 EXPERTS = ((1, 0.0), (1, 0.02), (1, 0.1), (0, 0.1), (2, 0.02), (0, 0.4))
 #: Tokens that a task holds before it emits their counts, and bytes of text that are split at a time.
-HELD, CHARS = 1_500_000, 1 << 20
+HELD, CHARS = 2_000_000, 1 << 20
 LN10 = math.log(10)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -391,8 +391,7 @@ def add_bounded(total: np.ndarray, keys: list[bytes], times: np.ndarray, splits:
         for k in contexts:
             # A word cut at its group's depth would end there with a space; that decision is not above the group.
             used = slice(None) if k < LASTS else bits.above
-            at = 2 * (bits.slot(k, TABLE_BITS[k])[used] + OFFSETS[k]) + bits.outcome[used]
-            total[2 * OFFSETS[k] : 2 * OFFSETS[k + 1]] += np.bincount(at - 2 * OFFSETS[k], weight[used], 2 << TABLE_BITS[k])
+            np.add.at(total, 2 * (bits.slot(k, TABLE_BITS[k])[used] + OFFSETS[k]) + bits.outcome[used], weight[used])
 
 
 def _logit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -513,20 +512,22 @@ class Shard:
 
 def scored_rows(keys: list[bytes], times: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token count, 1 at a known token's first row, log10 by factor) of a shard's rows; all rows of a word are in one shard."""
-    spelled = [i for i, k in enumerate(keys) if k[:2] != PLACES[WHOLE]]
+    places = np.frombuffer(b"".join([k[:2] for k in keys]), ">u2")
+    whole = places == WHOLE
+    token = whole | ((np.fromiter(map(len, keys), np.int64, len(keys)) < 2 + PIECE) & (places != CONTINUED))
     logs = np.zeros((len(SHARPNESS), len(keys)))
-    if spelled:
+    spelled = np.flatnonzero(~whole)
+    if len(spelled):
         shard = Shard([keys[i] for i in spelled], times[spelled], model)
         shard.learn()
         logs[:, spelled] = shard.log10()
-    counts: Counter = Counter()
-    words = [(k[2:], k[:2] == PLACES[WHOLE]) if is_token(k) else None for k in keys]
-    for w, n in zip(words, times.tolist(), strict=True):
-        if w is not None:
-            counts[w] += n
-    count = np.array([0 if w is None else counts[w] for w in words], np.int64)
+    numbers: dict[bytes, int] = {}
+    # Digests of whole words keep their place, so that no word is taken for one.
+    word = np.array([numbers.setdefault(k if w else k[2:], len(numbers)) for k, w in zip(keys, whole.tolist(), strict=True)], np.int64)
+    count = np.where(token, np.bincount(word, times * token, len(numbers))[word], 0).astype(np.int64)
     first = np.zeros(len(keys), np.int64)
-    first[list({w: i for i, w in reversed(list(enumerate(words))) if w is not None and counts[w]}.values())] = 1
+    known = np.flatnonzero(count)
+    first[known[np.unique(word[known], return_index=True)[1]]] = 1
     return count, first, logs
 
 
