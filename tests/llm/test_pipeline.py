@@ -1,10 +1,13 @@
+import os
+
 import public_tokenizers
 from test_retrieval_packing import sound
+from test_shingle_join import brute_kept
 from test_suffix_dedup import brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from unionlog.llm import decontamination, quality_rules, simhash_dedup
+from unionlog.llm import decontamination, quality_rules
 from unionlog.llm.common import cut
 
 
@@ -20,14 +23,7 @@ def test_stages_by_brute_force(spark):
     text = [{r.doc_id: r.text for r in k.collect()} for k in kept[:-1]]
     verdict = {r.doc_id: r.kept for r in quality_rules.op7_quality_rules(spark, sf).collect()}
     assert set(text[1]) == {d for d, k in verdict.items() if k}
-    prints = {d: [simhash_dedup.fingerprint(t.encode(), n) for n in (5, 0)] for d, t in text[1].items()}
-    group = {d: d for d in prints}
-    for d, p in prints.items():
-        for e, q in prints.items():
-            if e < d and min((x ^ y).bit_count() for x, y in zip(p, q)) <= 2 and group[d] != group[e]:
-                old, new = max(group[d], group[e]), min(group[d], group[e])
-                group = {k: new if g == old else g for k, g in group.items()}
-    assert set(text[2]) == set(group.values())
+    assert set(text[2]) == brute_kept(text[1])
     lost = brute(sorted((d, t.encode()) for d, t in text[2].items()))
     assert {d for d in text[2] if lost[d][1] == 0 or lost[d][1] < lost[d][0] - 20} <= set(text[3])
     for d, t in text[3].items():
@@ -43,9 +39,21 @@ def test_stages_by_brute_force(spark):
     assert sound([tuple(r) for r in kept[-1].collect()], ids) == 0
 
 
-def test_repeated_rows_and_nulls(spark):
-    t = "one two three four five six seven eight nine ten"
-    df = spark.createDataFrame([(3, t, "a"), (3, t, "b"), (None, t, "c"), (2, "else " + t[::-1], "d"), (4, None, "e")], "doc_id long, text string, fp string")
-    out = simhash_dedup.one_of_each(df, (5, 0))
-    assert out.columns == df.columns and sorted((r.doc_id, r.text is None) for r in out.collect()) == [(2, False), (3, False), (4, True)]
-    assert simhash_dedup.one_of_each(df.limit(0), (5, 0)).count() == 0
+def test_nulls_repeats_and_empty_tables(spark, tmp_path):
+    """The whole pipeline on a null text and id, an empty text, rows that repeat, and on no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    odd = [(9001, None, None, None, None), (9002, "", "en", "s", 0), (None, "A few words of no document id. " * 3, "en", "s", 90)]
+    docs = docs.limit(60).unionByName(docs.limit(60)).unionByName(spark.createDataFrame(odd, docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in rows}
+    assert rows and not ids & {9001, 9002, None} and len({(r.doc_id, r.start) for r in rows}) == len(rows)
+    empty = tmp_path / "none"
+    empty.mkdir()
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{sf}/{name}.parquet", empty / f"{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

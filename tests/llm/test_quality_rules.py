@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -68,6 +69,55 @@ def test_cutoffs(spark):
     assert all(r.symbols is None or r.symbols >= 0.19 for r in Q.certified_cutoffs(labelled(spark, [0.2] * 800, [0.2] * 50)).collect())
 
 
+def plain_kept(docs, labels, limit=0.05, error=0.05):
+    """Verdicts by the definition, in plain Python: docs (doc_id, text, lang), labels {doc_id: quality}."""
+    rows = []
+    for i, text, lang in docs:
+        w, chars, symbols, dups, repeats = brute(text)
+        lines = len([x for x in (text or "").split("\n") if re.search(WORD, x)])
+        upper = len(re.findall("[A-Z]", text or ""))
+        rows.append((i, lang, w < 50 or 100 * repeats > 50 * w, [symbols / max(chars, 1), upper / max(chars, 1), dups / max(lines, 1), repeats / max(w, 1)]))
+    trials = {}
+    for i, lang, failed, x in rows:
+        if not failed and i in labels:
+            old = trials.get((i, lang), x)
+            trials[i, lang] = [max(a, b) for a, b in zip(old, x)]
+    strata = {lang for _, lang in trials}
+    a, level = limit / 4, error / max(1, 4 * len(strata))
+    cut = {}
+    for lang in strata:
+        for rule in range(4):
+            good = [x[rule] for (i, g), x in trials.items() if g == lang and labels[i] == 1]
+            bad = [x[rule] for (i, g), x in trials.items() if g == lang and labels[i] != 1]
+            for at in Q.GRID:
+                k, hit, n = sum(x > at for x in good), sum(x > at for x in bad), len(good)
+                p = sum(math.comb(n, j) * a**j * (1 - a) ** (n - j) for j in range(k + 1))
+                gain = hit - Q.GOOD_COST * k
+                if n and k <= n * a and p <= level and gain > 0 and gain >= cut.get((lang, rule), (0, 0))[0]:
+                    cut[lang, rule] = (gain, at)
+    return {(i, lang): not failed and not any(x[r] > cut[lang, r][1] for r in range(4) if (lang, r) in cut) for i, lang, failed, x in rows}
+
+
+def test_verdicts_by_the_definition(spark):
+    """Two languages and none, rows that repeat, labels for most: some rules certified, some not."""
+    rng = random.Random(4)
+    docs, labels = [], {}
+    for i in range(2600):
+        lang, good = rng.choice(["en", "en", "de", None, ""]), rng.random() < 0.8
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(45, 90))]
+        if not good and rng.random() < 0.8:
+            words = [w + rng.choice(["###", "$", ""]) for w in words]
+        docs.append((i, " ".join(words) + ("\nsame line" * rng.randrange(3)), lang))
+        if rng.random() < 0.9:
+            labels[i] = int(good)
+    docs += rng.sample(docs, 500) * 2
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    got = Q.judge(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).select("row.doc_id", "row.lang", "kept").collect()
+    want = plain_kept(docs, labels)
+    assert len(got) == len(docs) and {(r.doc_id, r.lang): r.kept for r in got} == want
+    assert any(not k for (i, lang), k in want.items() if lang == "en") and not all(want.values())
+
+
 def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "w " * 60, None, "k"), (1, "w " * 60, None, "k"), (None, None, "en", None)], "doc_id long, text string, lang string, kept string")
     labels = spark.createDataFrame([(1, 1), (None, None)], "doc_id long, quality int")

@@ -57,6 +57,6 @@ def test_similarity_of_nine_tenths_and_of_less_than_four_fifths(spark):
 def test_repeated_rows_and_empty_tables(spark):
     t = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(3, t, "a"), (3, t, "b"), (None, t, "c"), (2, "else " + t[::-1], "d"), (4, None, "e")], "doc_id long, text string, fp string")
-    out = J.one_of_each(df)
+    out = J.one_of_each(df, simhash_dedup.candidates)
     assert out.columns == df.columns and sorted((r.doc_id, r.text is None) for r in out.collect()) == [(2, False), (3, False), (4, True)]
-    assert J.one_of_each(df.limit(0)).count() == 0
+    assert J.one_of_each(df.limit(0), simhash_dedup.candidates).count() == 0

@@ -1,9 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is an aggregate (the smallest neighbour of a node, combined map-side) joined back to the edges by
-a plain sort-merge join whose hot side adaptive execution splits, so no task needs all edges of a hub.
-The edges are written to the shared folder after each round: lineage stays short, and lost executors cost
-a rerun of one step.
+Each step is an aggregate (the smallest neighbour of a node, combined map-side) joined back to the edges. The aggregate
+is written first: both sides of the join are then plain exchanges, whose hot side adaptive execution splits (it does not
+where an aggregate stands between exchange and join), so no task needs all edges of a hub. The edges are written after
+each round: lineage stays short, and lost executors cost a rerun of one step.
 """
 
 from __future__ import annotations
@@ -21,15 +21,19 @@ def _signature(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    out = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+    drop_cut(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to its smallest neighbour."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a")
-    return tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
+    tied = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = cut(tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    drop_cut(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,8 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(clean)
     mark = _signature(now)
     while mark[0]:
-        large = cut(_large_star(now).where("a <> b").distinct())
-        nxt = cut(_small_star(large).where("a <> b").distinct())
+        large = _large_star(now)
+        nxt = _small_star(large)
         drop_cut(large)
         new = _signature(nxt)
         drop_cut(now)

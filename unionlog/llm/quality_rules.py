@@ -15,8 +15,9 @@ cutoff chosen per stratum (the language):
 Only DataFrame functions are used.
 
 Nulls: a null text has no words, so it fails the base rule; a null language is a stratum of its
-own; a null doc_id has no label. Rows that repeat are judged alike. With no labels no rule is certified,
-and only the base rule rejects. Columns of the input that have names like ours are kept as they are.
+own; a null doc_id has no label. Rows that repeat are judged alike, and are one trial of the tests. With no labels no
+rule is certified, and only the base rule rejects; a table without rows gives none. Very long texts are counted whole.
+Columns of the input that have names like ours are kept as they are.
 """
 
 from __future__ import annotations
@@ -96,6 +97,11 @@ def counted(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return found.select("row", counts.alias("q"))
 
 
+def stratum(lang: str) -> Column:
+    """The language; null is one of its own, which no language is named like."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
+
+
 def base_failed(q: str = "q") -> Column:
     return (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{q}.n_words"))
 
@@ -153,11 +159,13 @@ def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float
     spark = docs.sparkSession
     rows = cut(counted(docs, keep))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    slim = rows.where(~base_failed()).select(F.col("row.doc_id").alias("doc_id"), F.coalesce("row.lang", F.lit("")).alias("stratum"), *(c.alias(r) for r, c in ratios().items()))
-    labelled = slim.join(marks, "doc_id").withColumn("good", F.col("quality") == 1)
+    slim = rows.where(~base_failed()).select(F.col("row.doc_id").alias("doc_id"), stratum("row.lang").alias("stratum"), *(c.alias(r) for r, c in ratios().items()))
+    # A document is one trial however often it is there, and fails a rule if any of its rows does.
+    once = slim.join(marks, "doc_id").groupBy("doc_id", "stratum", "quality").agg(*(F.max(r).alias(r) for r in RULES))
+    labelled = once.withColumn("good", F.col("quality") == 1)
     found = certified_cutoffs(labelled.select("stratum", "good", *RULES), limit, error)
     cutoffs = cut(found.select("stratum", *(F.col(r).alias(f"c_{r}") for r in RULES)))
-    judged = rows.withColumn("stratum", F.coalesce("row.lang", F.lit(""))).join(cutoffs, "stratum", "left")
+    judged = rows.withColumn("stratum", stratum("row.lang")).join(cutoffs, "stratum", "left")
     rejected = F.lit(False)
     for rule, ratio in ratios().items():
         rejected = rejected | F.coalesce(ratio > F.col(f"c_{rule}"), F.lit(False))

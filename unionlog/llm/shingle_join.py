@@ -9,22 +9,23 @@ Tokens (32 bits of a shingle's hash) and text numbers travel packed, dealt by ra
 input. Two shingles of one token add a candidate at most: `need` counts shingles, and those that a text loses to
 another of its own are taken off it. Candidates are verified on 64-bit hashes of all shingles.
 
-Links: all texts at a token are first compared with its least and its greatest text, then each two that are
-not yet in one component. So a large group of near copies is linear, and nothing that is similar stays unlinked.
+Links: candidates of another search (SimHash) are verified first. Then texts at a token are compared with its first and
+last text in the order of components, if these are of other components, then each two that are not yet in one component. So
+a large group of near copies is linear, and nothing that is similar stays unlinked.
 
 A text of fewer than five words is one shingle of all of them; null and wordless texts are equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, partitions, text_or_empty
+from unionlog.llm.common import byte_texts, cut, drop_cut, partitions, text_or_empty
 from unionlog.llm.components import components
 
 WORDS = 5
@@ -161,17 +162,24 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("h", "g")) >= 4 * (F.size("h") + F.size("g"))).select("a", "b")
 
 
-def similar(texts: DataFrame) -> DataFrame:
+def similar(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     """(node, root) for each id of texts (id, text) that is similar to another; root is the same for connected ones.
 
-    Rows of one id have one text.
+    Rows of one id have one text. candidates (a, b), a > b, from another search are verified first; what they connect is
+    not looked at again here.
     """
+    edges = cut(_verified(cut(candidates.distinct()), texts))
+    roots = cut(components(edges))
     met = cut(prefixes(texts))
-    ends = met.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    stars = met.join(ends, "token").select("id", F.explode(F.array("lo", "hi")).alias("b")).where("id <> b")
-    edges = cut(_verified(cut(stars.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()), texts))
+    rooted = cut(met.join(roots, met.id == roots.node, "left").select("token", "id", "n", F.coalesce("root", "id").alias("root")))
+    drop_cut(met)
+    whole = F.struct("root", "id")
+    ends = cut(rooted.groupBy("token").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo.root <> hi.root"))
+    stars = rooted.join(ends, "token").select("root", "id", F.explode(F.array("lo", "hi")).alias("o")).where("root <> o.root")
+    found = cut(stars.select(F.greatest("id", "o.id").alias("a"), F.least("id", "o.id").alias("b")).distinct())
+    edges = cut(edges.unionByName(_verified(found, texts)))
     roots = cut(components(edges))
-    rooted = met.join(roots, met.id == roots.node, "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
+    rooted = rooted.drop("root").join(roots, rooted.id == roots.node, "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("token")
     open_ = cut(rooted.join(mixed, "token"))
     a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "root"))) for side in "ab")
@@ -183,11 +191,14 @@ def similar(texts: DataFrame) -> DataFrame:
     return components(edges.unionByName(cut(_verified(pairs, texts))))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of similar texts: the one of least doc_id (nulls last, then by text hash). All columns are kept."""
+def one_of_each(docs: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with one row of each group of similar texts: the one of least doc_id (nulls last, then by text hash). All columns are kept.
+
+    search gives candidates (a, b) of texts (id, text); what it does not find is found here.
+    """
     key = F.xxhash64(text_or_empty())
     texts = docs.select(key.alias("id"), "text")
-    roots = similar(texts)
+    roots = similar(texts, search(texts))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("th").alias("th"))
     each = docs.select("doc_id", key.alias("th")).groupBy("th").agg(F.min(order).alias("first"))
     least = each.join(roots, each.th == roots.node, "left").groupBy(F.coalesce("root", "th").alias("root")).agg(F.min("first").alias("first"))

@@ -39,7 +39,7 @@ from unionlog.llm.components import components
 BITS = 64
 SEED = 42
 RADIUS = 2
-SHINGLE = 3
+SHINGLE, STAGE_SHINGLE = 3, 5
 #: Fingerprints of a bucket up to which its pairs are made one by one: at most four rows for each entry.
 BUCKET = 8
 #: Hashes turned into bit counts at a time.
@@ -236,41 +236,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(named, "fp")
 
 
-def one_of_each(docs: DataFrame, shingles: tuple[int, ...], radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group of near copies: the one of least doc_id (nulls last, then by text hash).
-
-    Texts are linked by any of the fingerprints. All columns are kept. Groups are settled on (doc_id, text hash,
-    fingerprints) alone; texts cross one exchange.
-    """
-    key = F.xxhash64(text_or_empty())
-    keyed = docs.select("text", F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("th")).alias("key"))
-    marked = cut(fingerprints(keyed, shingles, "key"))
-    # A node for each value of each fingerprint: linked values, and values that one text has, are neighbours.
-    node = lambda i, c: F.xxhash64(F.lit(i), c)
-    edges = marked.where(F.lit(False)).select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    for i in range(len(shingles)):
-        column = f"fp{i}" if i else "fp"
-        found = links(cut(marked.select(F.col(column).alias("fp")).distinct()), radius)
-        edges = edges.unionByName(found.select(node(i, F.col("a")).alias("a"), node(i, F.col("b")).alias("b")))
-        if i:
-            edges = edges.unionByName(marked.select(node(0, F.col("fp")).alias("a"), node(i, F.col(column)).alias("b")).distinct())
-    roots = components(edges)
-    fps = marked.select("fp", node(0, F.col("fp")).alias("node")).distinct()
-    rooted = cut(fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")))
-    order = F.struct(F.col("key.doc_id").isNull().alias("none"), F.col("key.doc_id").alias("doc_id"), F.col("key.th").alias("th"))
-    first = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    kept = cut(first.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("k_doc_id"), F.col("first.th").alias("k_th")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("th"))
-    out = rows.join(kept, rows.doc_id.eqNullSafe(kept.k_doc_id) & (rows.th == kept.k_th))
-    # Rows that repeat as a whole: settled on the keys alone, as they are rare.
-    if marked.count() > marked.select("key").distinct().count():
-        out = out.dropDuplicates(["doc_id", "th"])
-    return out.select("row.*")
+def candidates(texts: DataFrame) -> DataFrame:
+    """(a, b), a > b, of texts (id, text) with equal or linked fingerprints of STAGE_SHINGLE words, by one text of each fingerprint."""
+    marked = cut(fingerprints(texts, (STAGE_SHINGLE,), "id").distinct())
+    one = cut(marked.groupBy("fp").agg(F.min("id").alias("one")))
+    found = links(one.select("fp"))
+    end = lambda c: one.select(F.col("fp").alias(c), F.col("one").alias(f"one_{c}"))
+    across = found.join(end("a"), "a").join(end("b"), "b").select(F.greatest("one_a", "one_b").alias("a"), F.least("one_a", "one_b").alias("b"))
+    within = marked.join(one, "fp").where("id <> one").select(F.col("id").alias("a"), F.col("one").alias("b"))
+    return across.unionByName(within)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles at a similarity of 0.8 or more, not fingerprints."""
-    return shingle_join.one_of_each(docs)
+    """One document of each group of near copies: sets of five-word shingles at a similarity of 0.8 or more.
+
+    Fingerprints find the nearest copies; that similarity is some ten bits of 64 away, which no fingerprint tells from
+    other texts, so each link is verified on the shingles, and links that are missing are added by a prefix filter.
+    """
+    return shingle_join.one_of_each(docs, candidates)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
