@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from unionlog.llm.components import components
 WORDS = 5
 SEED = 42
 #: Tokens that a task packs at a time; ranges of tokens for each partition of a shuffle; bytes of input for each of these.
-PACKED, RANGES, PIECE = 1 << 18, 4, 1 << 23
+PACKED, RANGES, PIECE = 1 << 18, 2, 1 << 22
 #: Rows of packed numbers: (text, token, number of texts with it), or if `whole` (text, its shingles, its tokens).
 _PACK = "at int, whole boolean, ids binary, x binary, y binary"
 _KINDS = (np.int64, np.uint32, np.uint32)
@@ -62,13 +63,17 @@ def _packed(at: np.ndarray, whole: bool, *columns: np.ndarray) -> pa.RecordBatch
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[bool, list[np.ndarray]]:
-    parts: dict[bool, list[list[bytes]]] = {w: [[], [], []] for w in (False, True)}
+    parts: dict[bool, list[list[np.ndarray]]] = {w: [[], [], []] for w in (False, True)}
     for batch in batches:
-        rows = batch.to_pydict()
-        for whole, *row in zip(rows["whole"], rows["ids"], rows["x"], rows["y"], strict=True):
-            for part, data in zip(parts[whole], row, strict=True):
-                part.append(data)
-    return {w: [np.frombuffer(b"".join(p), k) for p, k in zip(part, _KINDS, strict=True)] for w, part in parts.items()}
+        for whole, mask in ((True, batch.column(1)), (False, pc.invert(batch.column(1)))):
+            rows = batch.filter(mask)
+            if rows.num_rows:
+                for part, column, kind in zip(parts[whole], rows.columns[2:], _KINDS, strict=True):
+                    # Values of a column lie one after the other.
+                    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+                    data = column.buffers()[2]
+                    part.append(np.frombuffer(bytes(memoryview(data)[ends[0] : ends[-1]]) if data else b"", kind))
+    return {w: [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(part, _KINDS, strict=True)] for w, part in parts.items()}
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
@@ -110,7 +115,7 @@ def prefixes(texts: DataFrame) -> DataFrame:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokens of several texts, with the number of these; dealt by text."""
         every = _unpacked(batches)
-        ids, tokens, _ = every[False]
+        ids, tokens, _ = every.pop(False)
         order = np.lexsort((ids, tokens))
         ids, tokens = ids[order], tokens[order]
         once = np.ones(len(ids), bool)
