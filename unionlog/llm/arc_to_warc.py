@@ -31,7 +31,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import cut, shared_dir, table
+from unionlog.llm.common import cut, shared_dir, table, trimmed
 
 #: Payloads below this are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -224,12 +224,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     # Written, so that the join below deals both of its sides itself and can split a hot digest.
     marked = rows.join(cut(shared), "digest", "left").drop("digest")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return cut(marked.select("page_id", "url", "payload", refers.alias("refers_to")).mapInArrow(_write_files(folder), "file string, records long"))
+    return cut(marked.select("page_id", "url", "payload", refers.alias("refers_to")).mapInArrow(trimmed(_write_files(folder)), "file string, records long"))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     files = manifest.select("file").repartition(max(1, 2 * manifest.sparkSession.sparkContext.defaultParallelism))
-    return files.mapInArrow(_read_files, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.mapInArrow(trimmed(_read_files), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,10 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/unionlog"
 DELETE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: What a worker remembers at most, and what an entry takes besides its bytes.
+REMEMBERED_BYTES, ENTRY_BYTES = 96 << 20, 150
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -74,8 +79,36 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, for mapInArrow: its memory goes back to the system when a task ends, as Python workers wait for further tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: no such call
+            return
+
+    return run
+
+
+class Remembered(dict):
+    """Results by key in a Python worker, of bounded bytes: emptied when over them."""
+
+    def __init__(self, limit: int = REMEMBERED_BYTES):
+        super().__init__()
+        self.limit = self.left = limit
+
+    def keep(self, key, value, size: int):
+        """size: bytes of key and value, without what every entry takes."""
+        self.left -= size + ENTRY_BYTES
+        if self.left < 0:
+            self.clear()
+            self.left = self.limit - size - ENTRY_BYTES
+        if self.left >= 0:
+            self[key] = value
+        return value
 
 
 def text_or_empty(column: str = "text") -> Column:

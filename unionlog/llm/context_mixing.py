@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, drop_cut, held, is_held, partitions, spread, table
+from unionlog.llm.common import byte_texts, cut, drop_cut, held, is_held, partitions, spread, table, trimmed
 
 MODULUS = 5
 #: Rows broadcast with their scores.
@@ -546,7 +546,7 @@ def marker_words(docs: DataFrame) -> list[bytes]:
                     total[words.t[words.begin[i] : words.begin[i] + words.length[i]].tobytes()] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    counts = docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(MARKERS).collect()]
 
 
@@ -566,7 +566,7 @@ def marked(docs: DataFrame) -> dict[bytes, tuple[int, int]]:
                 total += (seen.T @ seen).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(n * n)), "x": pa.array(total.ravel())})
 
-    rows = docs.mapInArrow(together, "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()  # MARKERS squared
+    rows = docs.mapInArrow(trimmed(together), "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).collect()  # MARKERS squared
     both = np.zeros(n * n)
     for r in rows:
         both[r.i] = r.x
@@ -606,7 +606,7 @@ def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
         if parts:
             yield out()
 
-    return docs.mapInArrow(run, "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return docs.mapInArrow(trimmed(run), "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _word(first: int):
@@ -658,7 +658,7 @@ def bounded_tables(rows: DataFrame, splits: frozenset[bytes], code: Code) -> np.
     kind = "chunk long, data binary"
     learnt = rows.where("n > 0").where(F.substring("key", 1, 2) != F.lit(PLACES[WHOLE])).select("key", "n")
     out = np.zeros(2 * ENTRIES, np.uint32)
-    for r in learnt.mapInArrow(run, kind).repartition(partitions(rows), "chunk").mapInArrow(added, kind).toLocalIterator():
+    for r in learnt.mapInArrow(trimmed(run), kind).repartition(partitions(rows), "chunk").mapInArrow(trimmed(added), kind).toLocalIterator():
         part = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.data)), "<u4")
         out[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
     return out.reshape(-1, 2)
@@ -675,7 +675,7 @@ def byte_code(rows: DataFrame) -> Code:
 
     learnt = rows.where("n > 0").where(F.substring("key", 1, 2) != F.lit(PLACES[WHOLE])).select("key", "n")
     counts = np.zeros(256, np.int64)
-    for r in learnt.mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in learnt.mapInArrow(trimmed(run), "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         counts[r.byte] = r.n
     return Code(counts)
 
@@ -725,10 +725,10 @@ def score_rows(rows: DataFrame, shards: int, model) -> DataFrame:
         if keys:
             yield out()
 
-    dealt = rows.select("key", "n", "m").mapInArrow(place, "key binary, n long, m long, shard long, turn long")
+    dealt = rows.select("key", "n", "m").mapInArrow(trimmed(place), "key binary, n long, m long, shard long, turn long")
     dealt = dealt.repartition(max(partitions(rows), shards // 64), "shard").sortWithinPartitions("shard", "turn", "key")
     kind = "key binary, m long, c long, first long, " + ", ".join(f"{n} double" for n in names[4:])
-    return dealt.mapInArrow(score, kind)
+    return dealt.mapInArrow(trimmed(score), kind)
 
 
 @dataclass
@@ -845,7 +845,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     kind = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, size long, " + ", ".join(f"{c} double" for c in sums) + ", rest array<struct<key:binary,times:bigint,again:double>>"
-    found = cut(texts.select("doc_id", "text").mapInArrow(run, kind))
+    found = cut(texts.select("doc_id", "text").mapInArrow(trimmed(run), kind))
     rare = found.select("row", "size", F.explode("rest").alias("r")).select("row", "size", "r.*", F.xxhash64("r.key").alias("h"))
     rare = rare.join(words.drop("m", "first").withColumn("h", F.xxhash64("key")), ["h", "key"])
     whole = F.substring("key", 1, 2) == F.lit(PLACES[WHOLE])

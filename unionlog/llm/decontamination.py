@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import spread, table
+from unionlog.llm.common import spread, table, trimmed
 
 Q = 8
 EDIT_SHARE = 0.1
@@ -201,7 +201,7 @@ def searched(rows: DataFrame, items: list[tuple[int | None, bytes]]) -> DataFram
             yield pa.RecordBatch.from_arrays([row, text, pa.array(found, kind)], ["row", "text", "found"])
 
     row_kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text").mapInArrow(run, f"row {row_kind}, text string, found {FOUND}")
+    return rows.select("row", "text").mapInArrow(trimmed(run), f"row {row_kind}, text string, found {FOUND}")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

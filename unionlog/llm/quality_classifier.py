@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, held, is_held, spread, table
+from unionlog.llm.common import Remembered, byte_texts, cut, held, is_held, spread, table, trimmed
 
 MODULUS = 3
 #: At most so many labelled documents are learnt from.
@@ -40,7 +40,6 @@ HIDDEN = 32
 EPOCHS, BATCH, RATE, DECAY = 60, 128, 3e-3, 1e-4
 #: One in so many training rows is kept for the temperature.
 CALIBRATE = 5
-REMEMBERED = 1_000_000
 SHARES = 6
 WIDTH = 4 * DIM + SHARES
 
@@ -55,12 +54,9 @@ def units(word: bytes) -> int:
     return (zlib.crc32(_LETTERS.sub(b"", word.lower())) % LEXICAL) * SHAPES + zlib.crc32(shape) % SHAPES
 
 
-class _Units(dict):
+class _Units(Remembered):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = u = units(word)
-        return u
+        return self.keep(word, units(word), len(word))
 
 
 @lru_cache(maxsize=1)
@@ -181,7 +177,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held(F.col("doc_id"), MODULUS))
     chosen = marks.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # `rows` ids and labels: a few hundred KB at most. Repeated documents count once.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     return cut(sample)
 
 
@@ -205,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     kind = "unit long, vector binary"
     context = np.zeros((LEXICAL + SHAPES, DIM), np.float32)
     # One vector a unit: a bounded table, whatever the input.
-    for r in sample.select("text").repartition(8).mapInArrow(sums, kind).repartition(8, "unit").mapInArrow(added, kind).collect():
+    for r in sample.select("text").repartition(8).mapInArrow(trimmed(sums), kind).repartition(8, "unit").mapInArrow(trimmed(added), kind).collect():
         context[r.unit] = np.frombuffer(bytes(r.vector), np.float32)
     context = unit_length(context)
     shared = spark.sparkContext.broadcast(context)
@@ -215,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
             vectors = [pooled(t, shared.value).tobytes() for t in byte_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(vectors, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = sorted(sample.select("doc_id", "quality", "text").repartition(8).mapInArrow(inputs, "doc_id long, quality int, x binary").collect(), key=lambda r: r.doc_id)
+    got = sorted(sample.select("doc_id", "quality", "text").repartition(8).mapInArrow(trimmed(inputs), "doc_id long, quality int, x binary").collect(), key=lambda r: r.doc_id)
     x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in got], np.float64).reshape(-1, WIDTH)
     y = np.array([r.quality for r in got], np.float64)
     # ids differ in this hash even where they agree in the one that holds rows out
@@ -237,7 +233,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
                 [ids, pa.array([is_held(i, MODULUS) for i in ids.to_pylist()], pa.bool_()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

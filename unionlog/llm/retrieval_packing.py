@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from unionlog.llm.common import spread, table
+from unionlog.llm.common import Remembered, spread, table, trimmed
 from unionlog.llm.token_counts import byte_alphabet
 
 WINDOW = 4096
@@ -38,7 +38,6 @@ QUERY_TERMS = 32
 SHARD_TOKENS, SHARD_DOCS = 1 << 21, 1 << 15
 #: Ranked neighbours at first; all are ranked where these do not fill the window.
 FIRST_RANKED = 64
-REMEMBERED = 1_200_000
 
 # Fixed pattern of the vocabulary's pre-tokenizer; white space is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -68,7 +67,7 @@ class WordTokenizer:
         return np.frombuffer(b"".join(map(self.known.__getitem__, self.words.findall(text))), np.uint32)
 
 
-class _Words(dict):
+class _Words(Remembered):
     """Ids of words that are normalised already: the vocabulary's model sees them as byte characters."""
 
     def __init__(self, library):
@@ -77,11 +76,9 @@ class _Words(dict):
         self.characters = {b: c for c, b in byte_alphabet().items()}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         pieces = self.model.tokenize("".join(map(self.characters.__getitem__, word.encode())))
-        self[word] = ids = np.array([p.id for p in pieces], np.uint32).tobytes()
-        return ids
+        ids = np.array([p.id for p in pieces], np.uint32).tobytes()
+        return self.keep(word, ids, 4 * len(word) + len(ids))
 
 
 @lru_cache(maxsize=2)
@@ -230,7 +227,7 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
         if packer.pieces:
             yield rows(packer.pieces)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), ", ".join(f"{n} long" for n in names))
 
 
 def _vocabulary() -> str:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, drop_cut, partitions, text_or_empty
+from unionlog.llm.common import byte_texts, cut, drop_cut, partitions, text_or_empty, trimmed
 from unionlog.llm.components import components
 
 WORDS = 5
@@ -147,8 +147,8 @@ def prefixes(texts: DataFrame) -> DataFrame:
         if kept.any():
             yield pa.RecordBatch.from_arrays([pa.array(tokens[kept].astype(np.int64)), pa.array(ids[kept]), pa.array(n[who][kept])], ["token", "id", "n"])
 
-    dealt = texts.select("id", "text").mapInArrow(deal, _PACK).repartition(pieces, "at")
-    return dealt.mapInArrow(shared, _PACK).repartition(pieces, "at").mapInArrow(first, "token long, id long, n long")
+    dealt = texts.select("id", "text").mapInArrow(trimmed(deal), _PACK).repartition(pieces, "at")
+    return dealt.mapInArrow(trimmed(shared), _PACK).repartition(pieces, "at").mapInArrow(trimmed(first), "token long, id long, n long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     once = texts.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    sets = cut(once.mapInArrow(run, "id long, hashes array<long>"))
+    sets = cut(once.mapInArrow(trimmed(run), "id long, hashes array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("h")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("g")), "b")
     # i / (h + g - i) >= 0.8 in whole numbers.
     return both.where(9 * F.size(F.array_intersect("h", "g")) >= 4 * (F.size("h") + F.size("g"))).select("a", "b")

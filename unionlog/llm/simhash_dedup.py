@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unionlog.llm import shingle_join
-from unionlog.llm.common import byte_texts, cut, spread, table, text_or_empty
+from unionlog.llm.common import byte_texts, cut, spread, table, text_or_empty, trimmed
 from unionlog.llm.components import components
 
 BITS = 64
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (SHINGLE,), key: s
             values = [pa.array(np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)) for n in shingles]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), *values], [key, *names])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(key, "text").mapInArrow(trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def correlations(fps: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -103,7 +103,7 @@ def correlations(fps: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         i = np.arange(BITS * BITS)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(both.ravel()), pa.array(np.full(BITS * BITS, n))], ["i", "together", "n"])
 
-    sums = fps.select("fp").mapInArrow(run, "i long, together long, n long").groupBy("i").agg(F.sum("together").alias("together"), F.sum("n").alias("n"))
+    sums = fps.select("fp").mapInArrow(trimmed(run), "i long, together long, n long").groupBy("i").agg(F.sum("together").alias("together"), F.sum("n").alias("n"))
     rows = sums.collect()  # 4096 rows whatever the input
     both, n = np.zeros(BITS * BITS), 1
     for r in rows:

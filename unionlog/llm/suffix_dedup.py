@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unionlog.llm.common import byte_texts, cut, drop_cut, partitions, spread, table, text_or_empty
+from unionlog.llm.common import byte_texts, cut, drop_cut, partitions, spread, table, text_or_empty, trimmed
 from unionlog.llm.suffix_sort import permuted_lcp, suffix_array
 
 WINDOW = 100
@@ -166,7 +166,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def runs_of(texts: DataFrame) -> DataFrame:
     """(doc_id, th, key, seg, runs) of all texts; runs is the first window above a free bit and seven bits of their number."""
-    return texts.mapInArrow(_run_rows, "doc_id long, th long, key long, seg long, runs long")
+    return texts.mapInArrow(trimmed(_run_rows), "doc_id long, th long, key long, seg long, runs long")
 
 
 def _joined(rows: list[tuple]) -> list[tuple]:
@@ -337,7 +337,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 def lost_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, th, runs) of the windows whose bytes go, from docs (doc_id, text); written to the shared folder."""
     texts = _documents(docs)
-    shared = cut(texts.mapInArrow(_key_rows, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    shared = cut(texts.mapInArrow(trimmed(_key_rows), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     repeated = cut(runs_of(texts).join(shared, "key"))
     drop_cut(shared)
     segments = cut(_firsts(repeated, "key", "seg"))
@@ -345,13 +345,13 @@ def lost_runs(docs: DataFrame) -> DataFrame:
     run = F.when(F.col("n") > HOT, F.col("f_runs").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("f_runs"))
     hits = segments.join(several, "key").groupBy(F.col("f_doc_id").alias("d_doc_id"), F.col("f_th").alias("d_th")).agg(F.collect_list(F.struct("key", run.alias("runs"))).alias("hits"))
     with_text = texts.join(hits, _same_document(texts, hits)).select("doc_id", "th", "text", "hits")
-    rows = cut(with_text.mapInArrow(_segment_rows, "doc_id long, th long, runs long, key long, w2 long, segment binary"))
+    rows = cut(with_text.mapInArrow(trimmed(_segment_rows), "doc_id long, th long, runs long, key long, w2 long, segment binary"))
     drop_cut(several)
     dealt = rows.where("segment is not null").select("doc_id", "th", "runs", "key", "segment").repartition(partitions(docs), "key").sortWithinPartitions("key")
-    lost = dealt.mapInArrow(_block_rows, "doc_id long, th long, runs long")
+    lost = dealt.mapInArrow(trimmed(_block_rows), "doc_id long, th long, runs long")
     windows = rows.where("segment is null and key is not null").select("doc_id", "th", "runs", "key", "w2")
     windows = windows.repartition(partitions(docs), "key").sortWithinPartitions("key", "w2", "doc_id", "th", "runs")
-    hot = windows.mapInArrow(_window_rows, "doc_id long, th long, runs long").unionByName(rows.where("key is null").select("doc_id", "th", "runs"))
+    hot = windows.mapInArrow(trimmed(_window_rows), "doc_id long, th long, runs long").unionByName(rows.where("key is null").select("doc_id", "th", "runs"))
     copies = _not_first(repeated, segments, "key", "seg")
     out = cut(copies.unionByName(lost).unionByName(hot))
     for done in (repeated, segments, rows):
@@ -400,7 +400,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_lost(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
-    return found.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "row.text", "spans").mapInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "row.text", "spans").mapInArrow(trimmed(_digest_rows), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -433,7 +433,7 @@ def shortened(docs: DataFrame) -> DataFrame:
     """
     found = with_lost(docs)
     kind = found.schema["row"].dataType.simpleString()
-    changed = found.where("spans is not null").select("row.text", "row", "spans").mapInArrow(_shortened, f"new_text string, row {kind}")
+    changed = found.where("spans is not null").select("row.text", "row", "spans").mapInArrow(trimmed(_shortened), f"new_text string, row {kind}")
     changed = changed.where(F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     columns = [(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]

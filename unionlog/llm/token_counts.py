@@ -22,11 +22,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from unionlog.llm.common import spread, table
+from unionlog.llm.common import Remembered, spread, table, trimmed
 
 LIMIT = 512
 #: Pre-tokens whose count is remembered in a Python worker.
-REMEMBERED = 1_000_000
 #: Longer texts are split by an iterator instead of into one list.
 LIST_CHARS = 1 << 20
 
@@ -105,16 +104,13 @@ class Merger:
         return len(found) + sum(self._plain(part) for part in self.special.split(text))
 
 
-class _Remembered(dict):
+class _Remembered(Remembered):
     def __init__(self, f):
         super().__init__()
         self.f = f
 
     def __missing__(self, key: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = n = self.f(key)
-        return n
+        return self.keep(key, self.f(key), 4 * len(key))
 
 
 @lru_cache(maxsize=2)
@@ -137,7 +133,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
