@@ -10,8 +10,9 @@ input. Two shingles of one token add a candidate at most: `need` counts shingles
 another of its own are taken off it. Candidates are verified on 64-bit hashes of all shingles.
 
 Links: candidates of another search (SimHash) are verified first. Then texts at a token are compared with its first and
-last text in the order of components, if these are of other components, then each two that are not yet in one component. So
-a large group of near copies is linear, and nothing that is similar stays unlinked.
+last text in the order of components, if these are of other components, for a few rounds; then each two that are not yet
+in one component and whose places in the order leave enough shingles to share (similar texts do at the first shingle they
+share). So a large group of near copies is linear, and nothing that is similar stays unlinked.
 
 A text of fewer than five words is one shingle of all of them; null and wordless texts are equal.
 """
@@ -33,6 +34,8 @@ WORDS = 5
 SEED = 42
 #: Tokens that a task packs at a time; ranges of tokens for each partition of a shuffle; bytes of input for each of these.
 PACKED, RANGES, PIECE = 1 << 18, 2, 1 << 22
+#: Rounds in which texts are compared with the ends of a token only.
+STARS = 3
 #: Rows of packed numbers: (text, token, number of texts with it), or if `whole` (text, its shingles, its tokens).
 _PACK = "at int, whole boolean, ids binary, x binary, y binary"
 _KINDS = (np.int64, np.uint32, np.uint32)
@@ -77,7 +80,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> dict[bool, list[np.ndarray]]
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(token, id, n) of texts (id, text): the tokens at which a text meets all that are similar; n counts its shingles."""
+    """(token, id, n, pos) of texts (id, text): the tokens at which a text meets all that are similar; n counts its shingles, pos those before."""
     plan = texts._jdf.queryExecution()
     leaves = plan.optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
@@ -145,10 +148,11 @@ def prefixes(texts: DataFrame) -> DataFrame:
         place = np.arange(len(ids)) - (np.cumsum(met) - met)[who]
         kept = place < most[who]
         if kept.any():
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[kept].astype(np.int64)), pa.array(ids[kept]), pa.array(n[who][kept])], ["token", "id", "n"])
+            pos = (place + (own - met)[who])[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[kept].astype(np.int64)), pa.array(ids[kept]), pa.array(n[who][kept]), pa.array(pos)], ["token", "id", "n", "pos"])
 
     dealt = texts.select("id", "text").mapInArrow(trimmed(deal), _PACK).repartition(pieces, "at")
-    return dealt.mapInArrow(trimmed(shared), _PACK).repartition(pieces, "at").mapInArrow(trimmed(first), "token long, id long, n long")
+    return dealt.mapInArrow(trimmed(shared), _PACK).repartition(pieces, "at").mapInArrow(trimmed(first), "token long, id long, n long, pos long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,25 +178,34 @@ def similar(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     not looked at again here.
     """
     edges = cut(_verified(cut(candidates.distinct()), texts))
-    roots = cut(components(edges))
     met = cut(prefixes(texts))
-    rooted = cut(met.join(roots, met.id == roots.node, "left").select("token", "id", "n", F.coalesce("root", "id").alias("root")))
-    drop_cut(met)
-    whole = F.struct("root", "id")
-    ends = cut(rooted.groupBy("token").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo.root <> hi.root"))
-    stars = rooted.join(ends, "token").select("root", "id", F.explode(F.array("lo", "hi")).alias("o")).where("root <> o.root")
-    found = cut(stars.select(F.greatest("id", "o.id").alias("a"), F.least("id", "o.id").alias("b")).distinct())
-    edges = cut(edges.unionByName(_verified(found, texts)))
-    roots = cut(components(edges))
-    rooted = rooted.drop("root").join(roots, rooted.id == roots.node, "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("token")
-    open_ = cut(rooted.join(mixed, "token"))
-    a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "root"))) for side in "ab")
-    close = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+
+    def rooted() -> DataFrame:
+        roots = components(edges)
+        return cut(met.join(roots, met.id == roots.node, "left").select("token", "id", "n", "pos", F.coalesce("root", "id").alias("root")))
+
+    now, whole = rooted(), F.struct("root", "id")
+    for _ in range(STARS):
+        ends = cut(now.groupBy("token").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo.root <> hi.root"))
+        stars = now.join(ends, "token").select("root", "id", F.explode(F.array("lo", "hi")).alias("o")).where("root <> o.root")
+        # One text of another component is enough for now, however many tokens they meet at.
+        one = stars.groupBy("id", F.col("o.root").alias("to")).agg(F.min("o.id").alias("other"))
+        found = cut(one.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+        more = cut(_verified(found, texts))
+        drop_cut(found)
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        drop_cut(now)
+        now = rooted()
+    mixed = cut(now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"))
+    open_ = cut(now.join(mixed, "token"))
+    drop_cut(now)
+    a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "root"))) for side in "ab")
+    # At the first shingle that two texts share, what follows in both must suffice for what similar texts have in common.
+    close = 9 * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
     pairs = a.join(b, (a.token == b.token) & (F.col("id_a") > F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & close)
     pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return roots
     return components(edges.unionByName(cut(_verified(pairs, texts))))
 
 
