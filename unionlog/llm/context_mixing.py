@@ -70,7 +70,7 @@ CHUNK, BLOCK = 1 << 14, 1 << 14
 GATES = 6 * 4
 #: Where every shard's weights start: a tuned value for each context.
 START = (0.05, 0.15, 0.25, 0.25, 0.2, 0.3, 0.2)
-RATE, BATCH_WORDS = 1.0, 100
+RATE, BATCH_WORDS = 1.0, 256
 BINS, BIN_WIDTH = 33, 0.5
 #: Factors of the logits; and a text's experts: a factor's number, and the share of what comes again.
 SHARPNESS = (0.8, 1.0, 1.2)
