@@ -5,13 +5,13 @@ after it, the end token as one newline; a word of `PIECE` bytes or more goes in
 texts' probabilities together do not exceed 1. A byte is a path of binary decisions in a tree that is drawn up from
 how often bytes occur (frequent ones have short paths; any byte has one).
 
-For each decision seven hashed contexts are looked up in tables of zeros and ones counted over the training texts: the
-last one to four bytes of the word with the language; all the word so far; that with the language; that with the
+For each decision six hashed contexts are looked up in tables of zeros and ones counted over the training texts: the
+last two, three and four bytes of the word with the language; all the word so far; that with the language; that with the
 whole place. A place is the language, a sign at the end of the word before, and that word itself if it is one of the
 most frequent: what stands before a word counts, not its spelling alone. Languages are groups of the most frequent
 words that occur in the same texts, and a place is of the group that the last two such words agreed on.
 
-The seven logits, weighed by how much was counted, are added up with weights from the set that a gate selects (how often
+The six logits, weighed by how much was counted, are added up with weights from the set that a gate selects (how often
 the word so far, and its last four bytes, were seen). The weights are learnt online: a batch of words is predicted, each with
 one occurrence of its own taken out, then moves the weights. A last table corrects predictions by gate and logit. The
 result is refined on each text by a few experts: the mixer with flatter, equal or sharper logits, and a share for the rows
@@ -62,21 +62,21 @@ PIECE = 48
 #: Rows of a shard on average, and of a group of words that is not split at most; first bytes that make a group.
 SHARD, GROUP, FIRST = 1 << 11, 1 << 14, 3
 #: log2 of the sizes of the tables of bounded contexts: last bytes, then first bytes.
-TABLE_BITS = (16, 19, 21, 21, 17, 19, 21)
-CONTEXTS, LASTS = len(TABLE_BITS), 4
+TABLE_BITS = (19, 21, 21, 17, 19, 21)
+CONTEXTS, LASTS = len(TABLE_BITS), 3
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
 ENTRIES = int(OFFSETS[-1])
 CHUNK, BLOCK = 1 << 14, 1 << 14
 GATES = 6 * 4
 #: Where every shard's weights start: a tuned value for each context.
-START = (0.05, 0.15, 0.25, 0.25, 0.2, 0.3, 0.2)
-RATE, BATCH_WORDS = 1.0, 256
+START = (0.15, 0.25, 0.25, 0.2, 0.3, 0.2)
+RATE, BATCH_WORDS = 1.0, 100
 BINS, BIN_WIDTH = 33, 0.5
 #: Factors of the logits; and a text's experts: a factor's number, and the share of what comes again.
 SHARPNESS = (0.8, 1.0, 1.2)
 EXPERTS = ((1, 0.0), (1, 0.02), (1, 0.1), (0, 0.1), (2, 0.02), (0, 0.4))
 #: Tokens that a task holds before it emits their counts, and bytes of text that are split at a time.
-HELD, CHARS = 2_000_000, 1 << 20
+HELD, CHARS = 4_500_000, 1 << 20
 LN10 = math.log(10)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -343,10 +343,11 @@ class Bits:
         prefix = (sums[:n] - sums[first]) * inverse[first] + within.astype(np.uint64) * _MIX2
         language = ((places // np.uint64(2 * NAMED))[row] + np.uint64(1)) * _SALTS[0]
         recent, contexts = np.zeros(n, np.uint64), []
-        for k in range(1, LASTS + 1):
+        for k in range(1, LASTS + 2):
             recent = recent << np.uint64(8)
             recent[k:] += np.where(within[k:] >= k, t[: n - k], 0) if n > k else 0
-            contexts.append(recent + language + np.uint64(k << 40))
+            if k > 1:
+                contexts.append(recent + language + np.uint64(k << 40))
         contexts += [prefix, prefix + language, prefix + (places[row] + np.uint64(1)) * _SALTS[1]]
         times = code.decisions[raw]
         at = np.repeat(np.arange(n), times)
@@ -502,10 +503,10 @@ class Shard:
             x[k] = _logit(self.zeros[k], self.ones[k])
         gate = _gate(self.zeros[LASTS + 1] + self.ones[LASTS + 1], self.zeros[LASTS - 1] + self.ones[LASTS - 1])
         z = self._mixed(x, gate)
-        moved = 0.5 * self.correction[gate * BINS + _bin(z)]
+        moved = (0.5 * self.correction).astype(np.float32)[gate * BINS + _bin(z)]
         out = []
         for sharp in SHARPNESS:
-            p = np.clip(1 / (1 + np.exp(-sharp * z.astype(np.float64))) + moved, 1e-6, 1 - 1e-6)
+            p = np.clip(1 / (1 + np.exp(np.float32(-sharp) * z)) + moved, np.float32(1e-6), np.float32(1 - 1e-6))
             out.append(np.bincount(bits.row, np.log(np.where(bits.outcome, p, 1 - p)), self.rows) / LN10)
         return np.array(out)
 
@@ -587,14 +588,14 @@ def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
             parts.clear()
             one, number = _group(hashes)
             n = np.bincount(number, learnt, len(one)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([bytes_of(t, places[one], begins[one], lengths[one]), pa.array(n), pa.array(np.bincount(number, minlength=len(one)))], names)
+            return pa.RecordBatch.from_arrays([bytes_of(t, places[one].astype(np.int64), begins[one], lengths[one].astype(np.int64)), pa.array(n), pa.array(np.bincount(number, minlength=len(one)))], names)
 
         for batch in batches:
             texts = byte_texts(batch)
             learnt = ~batch.column(batch.schema.get_field_index("out")).to_numpy(zero_copy_only=False)
             for first, chunk in chunks_of(texts):
                 words, places, extra = tokens.split(chunk)
-                parts.append((words.t, key_hashes(words.hash, places), places, words.begin + size, words.length, learnt[first + words.doc].astype(np.float64)))
+                parts.append((words.t, key_hashes(words.hash, places), places.astype(np.uint8), words.begin + size, words.length.astype(np.uint8), learnt[first + words.doc]))
                 size += len(words.t)
                 held_tokens += len(places)
                 if extra:
