@@ -140,7 +140,8 @@ class Words:
     hash: np.ndarray
 
 
-def words_of(texts: list[bytes]) -> Words:
+def words_of(texts: list[bytes], hashed: bool = True) -> Words:
+    """Words of texts; markers are found without hashes."""
     joined = b" ".join([*texts, b""]).lower()
     t = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(x) + 1 for x in texts], np.int64)
@@ -155,10 +156,21 @@ def words_of(texts: list[bytes]) -> Words:
     out.doc[at], out.doc[last] = doc, np.arange(len(texts))
     out.begin[at], out.begin[last] = begins, stops - 1
     out.length[at] = ends - begins
-    out.hash[at] = string_hashes(t, begins, ends)
+    if hashed:
+        out.hash[at] = string_hashes(t, begins, ends)
     return out
 
 
+def short_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have one to MARKER_BYTES bytes, and these bytes with their number as one number."""
+    at = np.flatnonzero((words.length > 0) & (words.length <= MARKER_BYTES))
+    begin, length = words.begin[at], words.length[at]
+    out = length << 8 * MARKER_BYTES
+    for i in range(MARKER_BYTES):
+        out |= np.where(length > i, words.t[np.minimum(begin + i, len(words.t) - 1)].astype(np.int64) << 8 * i, 0)
+    return at, out
+
+
 def chunks_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about CHARS bytes (a longer text is one of its own), with their place."""
     first, size = 0, 0
@@ -197,20 +209,20 @@ class Tokens:
 
     def __init__(self, markers: dict[bytes, tuple[int, int]]):
         words = list(markers)
-        found = words_of([b" ".join(words)])
-        order = np.argsort(found.hash[:-1])
-        self.hashes = found.hash[:-1][order]
+        numbers = np.array([len(w) << 8 * MARKER_BYTES | int.from_bytes(w, "little") for w in words], np.int64)
+        order = np.argsort(numbers)
+        self.sorted = numbers[order]
         self.codes = np.array([markers[words[i]][0] * NAMED + markers[words[i]][1] for i in order], np.int64)
         self.numbers = order
 
     def marks(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Which words are markers, and which they are in the order of `codes`."""
-        maybe = np.flatnonzero((words.length > 0) & (words.length <= MARKER_BYTES))
-        if not len(self.hashes):
-            return maybe[:0], maybe[:0]
-        i = np.minimum(np.searchsorted(self.hashes, words.hash[maybe]), len(self.hashes) - 1)
-        real = self.hashes[i] == words.hash[maybe]
-        return maybe[real], i[real]
+        at, number = short_words(words)
+        if not len(self.sorted):
+            return at[:0], at[:0]
+        i = np.minimum(np.searchsorted(self.sorted, number), len(self.sorted) - 1)
+        real = self.sorted[i] == number
+        return at[real], i[real]
 
     def places(self, words: Words) -> np.ndarray:
         n = len(words.doc)
@@ -539,12 +551,9 @@ def marker_words(docs: DataFrame) -> list[bytes]:
         for batch in batches:
             total: Counter = Counter()
             for _, texts in chunks_of(byte_texts(batch)):
-                words = words_of(texts)
-                short = np.flatnonzero((words.length > 0) & (words.length <= MARKER_BYTES))
-                one, number = _group(words.hash[short])
-                counts = np.bincount(number, minlength=len(one)).tolist()
-                for i, n in zip(short[one].tolist(), counts, strict=True):
-                    total[words.t[words.begin[i] : words.begin[i] + words.length[i]].tobytes()] += n
+                found, counts = np.unique(short_words(words_of(texts, hashed=False))[1], return_counts=True)
+                for word, n in zip(found.tolist(), counts.tolist(), strict=True):
+                    total[word.to_bytes(MARKER_BYTES + 1, "little")[: word >> 8 * MARKER_BYTES]] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     counts = docs.mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -560,7 +569,7 @@ def marked(docs: DataFrame) -> dict[bytes, tuple[int, int]]:
         total = np.zeros((n, n), np.int64)
         for batch in batches:
             for _, texts in chunks_of(byte_texts(batch)):
-                words = words_of(texts)
+                words = words_of(texts, hashed=False)
                 seen = np.zeros((len(texts), n), np.float32)
                 at, which = find.marks(words)
                 seen[words.doc[at], find.numbers[which]] = 1
