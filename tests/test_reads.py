@@ -107,3 +107,19 @@ def test_snapshot_plan_prunes(spark):
     plan = QUERIES["snapshot_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     schema = plan.split("ReadSchema:")[1].splitlines()[0]
     assert "user_id" in schema and "event_type" in schema and "props" not in schema
+
+
+def test_hot_element_is_split_among_tasks(spark):
+    """Three quarters of the rows are one element: the join that marks its rows does not leave them to one task."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in small}
+    rows = spark.range(0, 400_000, 1, 8).select(F.col("id").alias("seq"), F.when(F.col("id") % 4 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("element"))
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        marked = sets.insert_status(rows, ["seq"]).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("status") == "inserted", 1).otherwise(0)).alias("new")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in marked) == 400_000 and sum(r.new for r in marked) == 100_001
+    assert max(r.n for r in marked) < 150_000

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unionlog.functions.elements import oversize
+from unionlog.sources.shared import written
 
 INSERTED, EXISTS, SATURATED, UNAVAILABLE = "inserted", "exists", "saturated", "unavailable"
 CONSUMER_GONE, OVERSIZE = "consumer_gone", "oversize"
@@ -51,7 +52,8 @@ def insert_status(observations: DataFrame, order: list[str], existing: DataFrame
     by default an element counts once globally.
 
     One element may hold a large part of all rows, so no window runs over them: the first
-    observation is a map-side-combined min, joined back; AQE splits the hot side of that join.
+    observation is a map-side-combined min, written and joined back. Written, because adaptive
+    execution splits a hot key only where both sides of the join are plain exchanges.
     """
     key = [*(scope or []), "element"]
     clean = observations.where(F.col("element").isNotNull())
@@ -63,7 +65,7 @@ def insert_status(observations: DataFrame, order: list[str], existing: DataFrame
     else:
         first = first.withColumn("_seen", F.lit(None).cast("boolean"))
     is_new = F.col("_seen").isNull() & (rank == F.col("_first"))
-    return clean.join(first, key).withColumn("status", F.when(is_new, INSERTED).otherwise(EXISTS)).drop("_first", "_seen")
+    return clean.join(written(first), key).withColumn("status", F.when(is_new, INSERTED).otherwise(EXISTS)).drop("_first", "_seen")
 
 
 def emit_status(

@@ -5,7 +5,6 @@ Elements are text here, not bytes, so that results compare plainly. `seq` order
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +14,7 @@ from unionlog.functions import elements as E
 from unionlog.functions import names as N
 from unionlog.operators import layout, metrics, sets, verify, workload
 from unionlog.operators.ranges import dealt_in_ranges, totals_before
+from unionlog.sources.shared import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +23,6 @@ EV = "ev AS (SELECT event_id, ts, concat_ws('/', user_id, event_type) AS element
 ORDER = ["ts", "event_id"]
 OVERSIZE_BYTES = 8
 SPLIT = "2024-01-03 00:00:00"
-PROBE_USERS = 200
 GEOMETRIES = {"generation_layout": (64, 8192), "generation_layout_wide": (1024, 262144), "generation_layout_arena_bound": (64, 512)}
 LEVELS = 10
 
@@ -77,12 +76,15 @@ def emit_status_counts(spark, d):
     return sets.emit_status(events(spark, d), ORDER, max_element_bytes=OVERSIZE_BYTES).groupBy("status").agg(F.count("*").alias("n"))
 
 
-CANDIDATES = f"cand AS (SELECT u.range || '/' || t.event_type AS element FROM range(0, {PROBE_USERS}) u, (SELECT DISTINCT event_type FROM events) t)"
+#: Every user up to beyond the last one, with every type of event.
+CANDIDATES = "cand AS (SELECT u.range || '/' || t.event_type AS element FROM range(0, (SELECT max(user_id) + 51 FROM events)) u, (SELECT DISTINCT event_type FROM events) t)"
 
 
 def candidates(spark, d):
-    types = table(spark, d, "events").select("event_type").distinct()
-    numbered = types.select("event_type", F.explode(F.sequence(F.lit(0), F.lit(PROBE_USERS - 1))).alias("u"))
+    every = table(spark, d, "events")
+    last = every.agg(F.coalesce(F.max("user_id"), F.lit(-51))).first()[0]
+    types = [r.event_type for r in every.select("event_type").distinct().collect()]  # the kinds of events: a handful
+    numbered = spark.range(0, last + 51).select(F.col("id").alias("u"), F.explode(F.array(*map(F.lit, types)) if types else F.array().cast("array<string>")).alias("event_type"))
     return numbered.select(F.concat_ws("/", F.col("u").cast("string"), "event_type").alias("element"))
 
 
@@ -357,17 +359,11 @@ def p99_nearest(spark, d):
     return metrics.nearest_rank(table(spark, d, "events"), "value")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share; only where none is configured, one in /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/unionlog-checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark, d, build, schema: str) -> DataFrame:
     from unionlog.streaming.ingest import drain
 
     raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    out = _shared_folder(spark)
+    out = fresh_folder(spark)
     drain(build(raw.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("element"))), f"{out}/rows", f"{out}/state")
     return spark.read.schema(schema).parquet(f"{out}/rows")
 

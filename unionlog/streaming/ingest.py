@@ -17,7 +17,14 @@ from unionlog.operators.sets import CONSUMER_GONE, EXISTS, INSERTED
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _rocksdb(spark: SparkSession) -> None:
+    """State of the queries started from now on is kept in RocksDB, unless the session names another store than Spark's default."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def distinct_stream(observations: DataFrame) -> DataFrame:
+    _rocksdb(observations.sparkSession)
     return observations.where(F.col("element").isNotNull()).dropDuplicates(["element"])
 
 
@@ -42,7 +49,7 @@ class _FirstSeen(StatefulProcessor):
 
 def status_stream(observations: DataFrame) -> DataFrame:
     """(element, status) for every observation; the first one that arrives is inserted."""
-    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    _rocksdb(observations.sparkSession)
     kind = observations.schema["element"].dataType.simpleString()
     keyed = observations.where(F.col("element").isNotNull()).select("element")
     return keyed.groupBy("element").transformWithStateInPandas(
