@@ -80,6 +80,27 @@ def test_neighbours_by_hand():
     assert np.isclose(index.scores(0)[2], (idf(3) + idf(2)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / avg)))
 
 
+def test_scores_against_brute_force():
+    """BM25 of each document for all the distinct terms of another, by the formula; a document has up to 300 terms."""
+    rng = np.random.default_rng(3)
+    docs = [(rng.zipf(1.3, int(n)) % 2000).astype(np.uint32) for n in rng.integers(1, 900, 60)]
+    index = P.InvertedIndex(docs)
+    avg = np.mean([len(d) for d in docs])
+    df = {t: sum(t in set(d.tolist()) for d in docs) for t in set(np.concatenate(docs).tolist())}
+    assert max(len(set(d.tolist())) for d in docs) > 100
+    for seed in range(0, 60, 7):
+        want = []
+        for d in docs:
+            tf = dict(zip(*(x.tolist() for x in np.unique(d, return_counts=True)), strict=True))
+            norm = P.K1 * (1 - P.B + P.B * len(d) / avg)
+            want.append(sum(np.log1p((60 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (P.K1 + 1) / (tf[t] + norm) for t in set(docs[seed].tolist()) if t in tf))
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+        free = np.ones(60, bool)
+        free[seed] = False
+        scores = index.scores(seed)
+        assert list(index.neighbours(seed, free)) == sorted((i for i in range(60) if i != seed), key=lambda i: (-scores[i], i))
+
+
 def test_related_documents_meet():
     packer = P.Packer(0)
     rng = np.random.default_rng(2)

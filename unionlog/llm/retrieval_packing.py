@@ -2,7 +2,7 @@
 
 A task works through its documents in shards of bounded size. A shard has a BM25 inverted index over its
 documents' tokens. A sequence starts with a seed document; the documents not yet used that BM25 ranks highest for
-the seed's heaviest terms fill its window in that order (those that match nothing come last), and the one
+the seed's terms, each once, fill its window in that order (those that match nothing come last), and the one
 that does not fit is cut: what is left of it seeds the next sequence. Documents of a window or more give
 whole windows first. What is left when a shard's tokens do not fill a window goes on to the task's next
 shard; at the task's end it is dealt to sequences of descending powers of two, which need no padding.
@@ -32,10 +32,10 @@ from unionlog.llm.token_counts import byte_alphabet
 WINDOW = 4096
 END_ID = 2
 K1, B = 1.2, 0.75
-#: A seed is looked up by so many of its terms, those of most weight.
-QUERY_TERMS = 32
 #: A shard is closed at so many tokens or documents.
 SHARD_TOKENS, SHARD_DOCS = 1 << 21, 1 << 15
+#: Terms of more than one in so many documents of a shard are held as rows rather than postings.
+DENSE = 8
 #: Ranked neighbours at first; all are ranked where these do not fill the window.
 FIRST_RANKED = 64
 
@@ -107,17 +107,24 @@ class InvertedIndex:
         self.posted_doc, self.posted_weight = doc[order], self.weight[order]
         self.posted_at = np.concatenate([[0], np.cumsum(df)])
         self.size = n
+        # Terms of many documents have a whole row of weights, no longer than DENSE times their postings.
+        often = np.flatnonzero(df * DENSE > n)
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        at = np.flatnonzero(self.row[term] >= 0)
+        self.rows = np.zeros((len(often), n), np.float32)
+        self.rows[self.row[term[at]], doc[at]] = self.weight[at]
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for the heaviest terms of one."""
-        terms, weights = (x[self.by_doc[doc] : self.by_doc[doc + 1]] for x in (self.term, self.weight))
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
-        out = np.zeros(self.size, np.float32)
-        for t in terms:
-            at = slice(self.posted_at[t], self.posted_at[t + 1])
-            out[self.posted_doc[at]] += self.posted_weight[at]
-        return out
+        """BM25 of every document for all the distinct terms of one."""
+        terms = self.term[self.by_doc[doc] : self.by_doc[doc + 1]]
+        row = self.row[terms]
+        terms = terms[row < 0]
+        first = self.posted_at[terms]
+        times = self.posted_at[terms + 1] - first
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        out = np.bincount(self.posted_doc[at], self.posted_weight[at], self.size).astype(np.float32)
+        return out + self.rows[row[row >= 0]].sum(axis=0)
 
     def neighbours(self, doc: int, free: np.ndarray) -> Iterator[int]:
         """Free documents, best first, ties in order of place."""
