@@ -22,14 +22,14 @@ def test_against_full_alignment():
     make = lambda n: "".join(rng.choice(letters) for _ in range(n))
     hits = 0
     for _ in range(60):
-        item = C.normalised(make(rng.randrange(30, 90)))
+        item = C.normalised(make(rng.randrange(16, 90)))
         passage = list(item.decode())
         for _ in range(rng.randrange(0, 12)):
             at = rng.randrange(len(passage))
             passage[at : at + rng.randrange(2)] = rng.choice(["", "x", "yy"])
         text = make(rng.randrange(120)) + "".join(passage) + make(rng.randrange(120))
         k = C.budget(len(item))[0]
-        want = edit_in(item, C.normalised(text)) if len(item) >= C.MIN_BYTES else 99
+        want = edit_in(item, C.normalised(text))
         got = C.Searcher([(1, item)]).find(text)
         assert [g["edits"] for g in got] == ([want] if want <= k else []), (item, text)
         if got:
@@ -39,7 +39,7 @@ def test_against_full_alignment():
 
 
 def test_lemma():
-    for m in range(C.MIN_BYTES, 500):
+    for m in range(C.Q, 500):
         k, need = C.budget(m)
         assert need >= 1 and need == m - C.Q + 1 - k * C.Q
 
@@ -56,9 +56,23 @@ def test_cases(text, edits):
     assert [g["edits"] for g in got] == ([] if edits is None else [edits])
 
 
+def test_short_items():
+    """Items without a q-gram match as whole words, all of them, repeated ones too."""
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("aab \u00e9,") for _ in range(n))
+    for _ in range(300):
+        items = [(i, C.normalised(make(rng.randrange(6)))) for i in range(6)]
+        text = make(rng.randrange(40))
+        data = b" " + C.normalised(text) + b" "
+        want = [(i, data.find(b" " + t + b" "), len(t)) for i, t in items if 0 < len(t) < C.Q and b" " + t + b" " in data]
+        got = C.Searcher(items).find(text)
+        assert sorted((g["item_id"], g["begin"], g["end"] - g["begin"]) for g in got if len(items[g["item_id"]][1]) < C.Q) == want
+        assert all(data[1 + g["begin"] : 1 + g["end"]] == items[g["item_id"]][1] for g in got if g["edits"] == 0)
+
+
 def test_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, f"a {ITEM} b", "x", "r"), (1, f"a {ITEM} b", "x", "r"), (None, ITEM, None, None), (2, None, "x", "r"), (3, "clean words of no benchmark at all", "x", "r")], "doc_id long, text string, found string, item_id string")
-    bench = spark.createDataFrame([(7, ITEM), (8, None), (9, "short"), (None, ITEM), (10, "Entirely different question, never asked anywhere else")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM), (8, None), (9, "short"), (11, "--"), (None, ITEM), (10, "Entirely different question, never asked anywhere else")], "item_id long, text string")
     for size in (2 << 20, 10):
         monkeypatch.setattr(C, "BLOCK_BYTES", size)
         got = sorted(((r.doc_id, r.item_id) for r in C.matches(docs, bench).collect()), key=str)

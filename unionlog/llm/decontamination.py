@@ -1,19 +1,22 @@
 """Finds benchmark items in documents by q-gram lemma filtering and banded alignment.
 
 Texts are compared in lower case, with everything but letters and digits as single spaces, as bytes. An item of m
-bytes matches a passage within k = 10 % of m edits. By the q-gram lemma such a passage shares at least
+bytes matches a passage within k edits: 10 % of m, or the most that the lemma can filter if that is less ((m - q) / q; it
+is one edit less at 10 to 15, 20 to 23, 30 and 31 bytes). By the q-gram lemma such a passage shares at least
 m - q + 1 - k q of the item's q-grams, on diagonals (place in text less place in item) that lie within 2k + 1 of
 each other. So shared q-grams are counted in strips of 2k + 1 diagonals; each two neighbouring strips are a
 band, bands overlap, and any such passage lies in one whole. Bands that reach the bound are verified by an
-alignment of the item with the band's stretch of text that stays within the band's diagonals.
+alignment of the item with the band's stretch of text that stays within the band's diagonals. Items of fewer than q bytes have
+no q-gram: they match where they stand exactly and as whole words, found for all such items in one pass by an automaton.
 
 The text's q-grams are looked up in a bit table first, as most are in no item. Items are broadcast in blocks of at
 most `BLOCK_BYTES`; a larger benchmark takes more passes over the documents, not more memory. There is no
 exchange, and every document is searched whole.
 
-Nulls: a null text has no match, a null item or one under `MIN_BYTES` bytes (once normalised) matches nothing, a null
+Nulls: a null text has no match, a null item or one without a letter or digit matches nothing, a null
 doc_id or item_id is carried along. Repeated items match each; repeated rows are reported each. Of an item's
-matches in a document the one of fewest edits, then the first, is reported. Empty tables give no rows.
+matches in a document the one of fewest edits, then the first, is reported. Very long texts are looked up a stretch at a
+time, whole. Empty tables give no rows. Further columns are kept by `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ from unionlog.llm.common import spread, table, trimmed
 
 Q = 8
 EDIT_SHARE = 0.1
-MIN_BYTES = 24
 BLOCK_BYTES = 2 << 20
 TABLE_BITS = 22
 #: Bytes of text whose q-grams are looked up at a time.
@@ -96,11 +98,28 @@ def aligned(item: bytes, text: bytes, low: int, high: int, k: int) -> tuple[int,
     return edits, start, int(place[int(np.argmin(row))] + len(item))
 
 
+def _automaton(items: list[tuple[int | None, bytes]]):
+    """Finds items as whole words; None without items. A value is (text between spaces, ids of the items that read so)."""
+    if not items:
+        return None
+    import ahocorasick
+
+    ids: dict[bytes, list[int | None]] = {}
+    for i, t in items:
+        ids.setdefault(t, []).append(i)
+    out = ahocorasick.Automaton()
+    for t, own in ids.items():
+        out.add_word(f" {t.decode('latin-1')} ", (len(t), own))
+    out.make_automaton()
+    return out
+
+
 class Searcher:
     """Finds a block of items in texts."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
-        self.items = [(i, t) for i, t in items if len(t) >= MIN_BYTES]
+        self.items = [(i, t) for i, t in items if len(t) >= Q]
+        self.short = _automaton([(i, t) for i, t in items if 0 < len(t) < Q])
         self.budgets = [budget(len(t)) for _, t in self.items]
         parts = [grams(t) for _, t in self.items]
         keys = np.concatenate([*parts, np.zeros(0, np.uint64)])
@@ -139,6 +158,18 @@ class Searcher:
     def find(self, text: str) -> list[dict]:
         """Matches (item_id, begin, end, edits); places are in the normalised text."""
         data = normalised(text)
+        return self._short(data) + self._long(data)
+
+    def _short(self, data: bytes) -> list[dict]:
+        if self.short is None:
+            return []
+        first: dict[int, tuple[int, int, list[int | None]]] = {}
+        # A character a byte; places are one on by the space in front, and `end` is that of the space behind.
+        for end, (size, own) in self.short.iter(f" {data.decode('latin-1')} "):
+            first.setdefault(id(own), (end - 1 - size, size, own))
+        return [{"item_id": i, "begin": at, "end": at + size, "edits": 0} for at, size, own in first.values() for i in own]
+
+    def _long(self, data: bytes) -> list[dict]:
         if not len(self.keys) or len(data) < Q:
             return []
         item, diagonal, place = self._hits(data)
