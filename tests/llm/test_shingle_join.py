@@ -60,3 +60,16 @@ def test_repeated_rows_and_empty_tables(spark):
     out = J.one_of_each(df, simhash_dedup.candidates)
     assert out.columns == df.columns and sorted((r.doc_id, r.text is None) for r in out.collect()) == [(2, False), (3, False), (4, True)]
     assert J.one_of_each(df.limit(0), simhash_dedup.candidates).count() == 0
+
+
+def test_asked(spark, monkeypatch):
+    """Exactly the wanted texts, also where the map has few bits and lets others through."""
+    ids = [0, 1, -1, 2**63 - 1, -(2**63), *range(100, 3000)]
+    texts = spark.createDataFrame([(i, f"text {i}") for i in ids for _ in range(2)], "id long, text string")
+    wanted = {i for i in ids if i % 7 == 0 or abs(i) < 2}
+    for bits in (1 << 26, 1 << 16, 64):
+        monkeypatch.setattr(J, "MAP_BITS", bits)
+        got = J._asked(texts, spark.createDataFrame([(i,) for i in wanted], "id long")).collect()
+        assert sorted((r.id, r.text) for r in got) == sorted((i, f"text {i}") for i in wanted for _ in range(2))
+    assert J._asked(texts, spark.createDataFrame([], "id long")).count() == 0
+    assert J._asked(texts.limit(0), spark.createDataFrame([(1,)], "id long")).count() == 0

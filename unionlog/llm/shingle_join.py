@@ -36,6 +36,8 @@ SEED = 42
 PACKED, RANGES, PIECE = 1 << 18, 2, 1 << 22
 #: Rounds in which texts are compared with the ends of a token only.
 STARS = 3
+#: Bits of the map that tells most texts which nobody asked for: 8 MB, however many texts there are.
+MAP_BITS = 1 << 26
 #: Rows of packed numbers: (text, token, number of texts with it), or if `whole` (text, its shingles, its tokens).
 _PACK = "at int, whole boolean, ids binary, x binary, y binary"
 _KINDS = (np.int64, np.uint32, np.uint32)
@@ -155,6 +157,23 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(trimmed(shared), _PACK).repartition(pieces, "at").mapInArrow(trimmed(first), "token long, id long, n long, pos long")
 
 
+def _asked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """texts whose id is in wanted (id).
+
+    The ids' hashes are marked in a map of bits, of which each bucket of 32,768 bits is a row, and the map is broadcast. What
+    it lets through is joined exactly, so that only texts that are likely wanted are exchanged, not the whole corpus.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    bit = F.bitmap_bit_position(place)
+    # Dealt by bucket first: numbers are exchanged, not partly filled buckets.
+    marks = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), bit.alias("bit")).repartition("bucket")
+    bits = marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    placed = texts.withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", bit)
+    marked = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    likely = placed.join(F.broadcast(bits.withColumnRenamed("bucket", "of")), (F.col("bucket") == F.col("of")) & marked, "left_semi")
+    return likely.select(*texts.columns).join(wanted, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of (a, b) whose texts are similar."""
 
@@ -163,9 +182,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             sets = [shingles(t).view(np.int64) for t in byte_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    once = texts.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    once = _asked(texts.select("id", "text"), wanted).groupBy("id").agg(F.first("text").alias("text"))
     sets = cut(once.mapInArrow(trimmed(run), "id long, hashes array<long>"))
+    drop_cut(wanted)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("h")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("g")), "b")
     # i / (h + g - i) >= 0.8 in whole numbers.
     return both.where(9 * F.size(F.array_intersect("h", "g")) >= 4 * (F.size("h") + F.size("g"))).select("a", "b")
