@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from unionlog.functions import elements as E
 from unionlog.functions.names import parse_segment_name, valid_app_id_value
 from unionlog.operators import layout, metrics, sets, verify, workload
-from unionlog.plans.catalog import ORACLES, QUERIES
+from unionlog.operators.ranges import dealt_in_ranges, totals_before
+from unionlog.plans.catalog import ORACLES, QUERIES, sequenced
 from unionlog.sources.store import hash_bytes
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +81,20 @@ def test_layout_big_element(spark):
     assert [r.claimed for r in got] == [0, 3]
 
 
+def test_sequence_is_dense_on_a_sampled_table(spark):
+    """sf0.1 has more rows than a range exchange samples, so two exchanges have different bounds."""
+    seq = sequenced(spark, "/root/testdata/sf0.1").groupBy("seq").agg(F.max("element").alias("element"), F.count("*").alias("n"))
+    assert seq.agg(F.count("*"), F.max("n"), F.min("seq"), F.max("seq"), F.count_distinct("element")).first() == (100_000, 1, 1, 100_000, 7_500)
+
+
+def test_ranges_are_the_same_for_readers_of_different_columns(spark):
+    rows = spark.range(0, 50_000, 1, 4).select(F.xxhash64("id").alias("v"), F.col("id").alias("w"))
+    ranged = dealt_in_ranges(rows, "v")
+    counted = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert {r.part: r.n for r in ranged.groupBy("part").agg(F.count_distinct("v", "w").alias("n")).collect()} == counted
+    assert sorted(r.before for r in totals_before(ranged, before=F.count("*")).collect())[0] == 0
+
+
 def test_storm_and_oracle(spark):
     storm = workload.probe_storm(spark, producers=4, distinct=90, rounds=8)
     assert metrics.dedup_ratio(storm).first()[:2] == (4 * 90 * 8, 90)

@@ -47,7 +47,7 @@ def generation_layout(observations: DataFrame, cap0: int = 1024, arena0: int = 2
     start = clean.agg(F.min("seq")).first()[0]
     while start is not None:
         firsts = clean.where(F.col("seq") >= start).groupBy("element").agg(F.min("seq").alias("seq")).select("seq", record_bytes(F.col("element")).alias("rec"))
-        firsts = written(dealt_in_ranges(firsts, "seq"))
+        firsts = dealt_in_ranges(firsts, "seq")
         slot_at, arena_at = _first_crossing(firsts, (cap + 1) // 2, arena)
         if arena_at is not None and (slot_at is None or arena_at <= slot_at):
             end, nxt = arena_at, arena_at

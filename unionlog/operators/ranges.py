@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from unionlog.sources.shared import written
+
 
 def dealt_in_ranges(df: DataFrame, *order: str) -> DataFrame:
-    """Deals rows into ordered ranges and numbers these as `part`.
+    """Deals rows into ordered ranges, numbers these as `part` and writes them.
 
-    The number of partitions is stated, so adaptive execution does not merge them differently for
-    the two readers of the result.
+    Each exchange draws its own sample for the ranges' bounds, and readers that need different columns do not share an
+    exchange. So the numbers are written: else a row is counted in one range and ordered in another.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    return written(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
 
 
 def totals_before(ranged: DataFrame, **sums: Column) -> DataFrame:
