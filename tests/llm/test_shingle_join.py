@@ -54,6 +54,23 @@ def test_similarity_of_nine_tenths_and_of_less_than_four_fifths(spark):
         assert {r.doc_id for r in out.collect()} == brute_kept(two)
 
 
+def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """400 copies of a text with up to four words changed: some 30,000 pairs when each outside the group met all of it."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(104)]
+    docs = {0: " ".join(words)}
+    for d in range(1, 401):
+        changed = {rng.randrange(104) for _ in range(rng.randrange(1, 5))}
+        docs[d] = " ".join(rng.choice("abcdefgh") if i in changed else w for i, w in enumerate(words))
+    monkeypatch.setattr(J, "ROUND_PAIRS", 1, raising=False)
+    seen = []
+    verified = J._verified
+    monkeypatch.setattr(J, "_verified", lambda pairs, texts: seen.append(pairs.count()) or verified(pairs, texts))
+    out = simhash_dedup.stage(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "")
+    assert {r.doc_id for r in out.collect()} == brute_kept(docs)
+    assert sum(seen) < 12_000, seen
+
+
 def test_repeated_rows_and_empty_tables(spark):
     t = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([(3, t, "a"), (3, t, "b"), (None, t, "c"), (2, "else " + t[::-1], "d"), (4, None, "e")], "doc_id long, text string, fp string")

@@ -10,9 +10,12 @@ input. Two shingles of one token add a candidate at most: `need` counts shingles
 another of its own are taken off it. Candidates are verified on 64-bit hashes of all shingles.
 
 Links: candidates of another search (SimHash) are verified first. Then texts at a token are compared with its first and
-last text in the order of components, if these are of other components, for a few rounds; then each two that are not yet
+last text in the order of components, if these are of other components; then each two that are not yet
 in one component and whose places in the order leave enough shingles to share (similar texts do at the first shingle they
-share). So a large group of near copies is linear, and nothing that is similar stays unlinked.
+share). That goes in rounds: texts have a place by hash, and a round compares those of the next places with all that are
+not before them, so each two meet once. A round takes as many places as give a pair for each text at a token, or four times those of the
+round before: most texts of a large group are in one component after the first rounds, whose pairs need not be made,
+and nothing that is similar stays unlinked.
 
 A text of fewer than five words is one shingle of all of them; null and wordless texts are equal.
 """
@@ -34,8 +37,8 @@ WORDS = 5
 SEED = 42
 #: Tokens that a task packs at a time; ranges of tokens for each partition of a shuffle; bytes of input for each of these.
 PACKED, RANGES, PIECE = 1 << 18, 2, 1 << 22
-#: Rounds in which texts are compared with the ends of a token only.
-STARS = 3
+#: Places that texts have in the order in which they are compared with all others; pairs that a round may always make.
+PLACES, ROUND_PAIRS = 1 << 20, 1 << 14
 #: Bits of the map that tells most texts which nobody asked for: 8 MB, however many texts there are.
 MAP_BITS = 1 << 26
 #: Rows of packed numbers: (text, token, number of texts with it), or if `whole` (text, its shingles, its tokens).
@@ -188,7 +191,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     drop_cut(wanted)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("h")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("g")), "b")
     # i / (h + g - i) >= 0.8 in whole numbers.
-    return both.where(9 * F.size(F.array_intersect("h", "g")) >= 4 * (F.size("h") + F.size("g"))).select("a", "b")
+    out = cut(both.where(9 * F.size(F.array_intersect("h", "g")) >= 4 * (F.size("h") + F.size("g"))).select("a", "b"))
+    drop_cut(sets)
+    return out
 
 
 def similar(texts: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -197,36 +202,53 @@ def similar(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     Rows of one id have one text. candidates (a, b), a > b, from another search are verified first; what they connect is
     not looked at again here.
     """
-    edges = cut(_verified(cut(candidates.distinct()), texts))
-    met = cut(prefixes(texts))
+    roots = cut(components(_verified(cut(candidates.distinct()), texts)))
+    met = cut(prefixes(texts).withColumn("place", F.pmod(F.xxhash64("id"), F.lit(PLACES))))
 
     def rooted() -> DataFrame:
-        roots = components(edges)
-        return cut(met.join(roots, met.id == roots.node, "left").select("token", "id", "n", "pos", F.coalesce("root", "id").alias("root")))
+        return cut(met.join(roots, met.id == roots.node, "left").select(*met.columns, F.coalesce("root", "id").alias("root")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The components with those of pairs that are similar; earlier ones are a link a text."""
+        pairs = cut(pairs.distinct())
+        more = _verified(pairs, texts)
+        out = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        for df in (pairs, more, roots):
+            drop_cut(df)
+        return out
 
     now, whole = rooted(), F.struct("root", "id")
-    for _ in range(STARS):
-        ends = cut(now.groupBy("token").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo.root <> hi.root"))
-        stars = now.join(ends, "token").select("root", "id", F.explode(F.array("lo", "hi")).alias("o")).where("root <> o.root")
-        # One text of another component is enough for now, however many tokens they meet at.
-        one = stars.groupBy("id", F.col("o.root").alias("to")).agg(F.min("o.id").alias("other"))
-        found = cut(one.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-        more = cut(_verified(found, texts))
-        drop_cut(found)
-        if more.isEmpty():
-            break
-        edges = edges.unionByName(more)
+    ends = cut(now.groupBy("token").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo.root <> hi.root"))
+    stars = now.join(ends, "token").select("root", "id", F.explode(F.array("lo", "hi")).alias("o")).where("root <> o.root")
+    # One text of another component is enough for now, however many tokens they meet at.
+    one = stars.groupBy("id", F.col("o.root").alias("to")).agg(F.min("o.id").alias("other"))
+    roots = linked(one.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")))
+    drop_cut(ends)
+    low = width = 0
+    while low < PLACES:
         drop_cut(now)
         now = rooted()
-    mixed = cut(now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"))
-    open_ = cut(now.join(mixed, "token"))
-    drop_cut(now)
-    a, b = (open_.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "root"))) for side in "ab")
-    # At the first shingle that two texts share, what follows in both must suffice for what similar texts have in common.
-    close = 9 * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
-    pairs = a.join(b, (a.token == b.token) & (F.col("id_a") > F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & close)
-    pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    return components(edges.unionByName(cut(_verified(pairs, texts))))
+        later = now.where(F.col("place") >= low)
+        # Tokens at which components meet, with their texts and with the pairs that are not in one component.
+        met_by = later.groupBy("token", "root").agg(F.count("*").cast("double").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots"))
+        mixed = cut(met_by.where("roots > 1").select("token", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")))
+        texts_met, pairs_met = mixed.agg(F.sum("n"), F.sum("pairs")).first()
+        if not pairs_met:
+            break
+        # As many pairs as there are texts at tokens, or four times the places of the round before.
+        width = max(4 * width, int((PLACES - low) * min(1.0, max(ROUND_PAIRS, texts_met) / pairs_met)), 1)
+        high = PLACES if 2 * width >= PLACES - low else low + width
+        side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "root", "place")))
+        a = side(later.where(F.col("place") < high).join(mixed.select("token"), "token", "left_semi"), "a")
+        b = side(later, "b")
+        # At the first shingle that two texts share, what follows in both must suffice for what similar texts have in common.
+        close = 9 * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
+        once = (F.col("place_b") >= high) | (F.col("id_a") > F.col("id_b"))
+        pairs = a.join(b, (a.token == b.token) & once & (F.col("root_a") != F.col("root_b")) & close)
+        roots = linked(pairs.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")))
+        drop_cut(mixed)
+        low = high
+    return roots
 
 
 def one_of_each(docs: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
