@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -162,3 +163,39 @@ def test_nulls_and_empty_tables(spark):
     twice = df.unionByName(df)
     got = M.scored(twice).collect()
     assert len(got) == 2 * len(rows)
+
+
+def test_memory_of_a_shard(monkeypatch):
+    """A decision takes what was counted for it (48 bytes) and about as much again, not all contexts' hashes and logits side by side."""
+    rng = random.Random(5)
+    keys = list(dict.fromkeys(M.PLACES[rng.randrange(4)] + bytes(rng.choices(b"etaoinshr", k=rng.randrange(3, 14))) for _ in range(12_000)))
+    times = np.arange(len(keys)) % 3
+    model = M.Model(np.zeros((M.ENTRIES, 2), np.uint32), frozenset(), CODE)
+    decisions = len(M.Bits(keys, frozenset(), CODE).outcome)
+    tracemalloc.start()
+    got = M.scored_rows(keys, times, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 * decisions
+    for steps in (1, 7, 1000):
+        monkeypatch.setattr(M, "STEPS", steps)
+        assert all((a == b).all() for a, b in zip(got, M.scored_rows(keys, times, model)))
+
+
+def test_counts_are_sent_in_parts(spark, monkeypatch):
+    """A task's counts leave in batches of bounded rows, and add up to the same."""
+    monkeypatch.setattr(M, "SENT", 64)
+    sizes, tokens = [], M.Tokens({b"the": (1, 1)})
+    texts = [f"the w{i % 300} x{i}" for i in range(500)]
+
+    class Docs:
+        def mapInArrow(self, run, kind):
+            batch = M.pa.RecordBatch.from_pydict({"text": texts, "out": [i % 5 == 1 for i in range(500)]})
+            out = list(run(iter([batch])))
+            sizes.extend(b.num_rows for b in out)
+            return spark.createDataFrame(M.pa.Table.from_batches(out))
+
+    got = {bytes(r.key): (r.n, r.m) for r in M.counted(Docs(), tokens).collect()}
+    want = Counter(k for t in texts for k in tokens.keys(t.encode()))
+    learnt = Counter(k for i, t in enumerate(texts) if i % 5 != 1 for k in tokens.keys(t.encode()))
+    assert got == {k: (learnt[k], m) for k, m in want.items()} and max(sizes) <= 64

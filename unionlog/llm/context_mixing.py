@@ -71,6 +71,8 @@ GATES = 6 * 4
 #: Where every shard's weights start: a tuned value for each context.
 START = (0.15, 0.25, 0.25, 0.2, 0.3, 0.2)
 RATE, BATCH_WORDS = 1.0, 100
+#: Batches of a shard whose decisions are worked out at a time; and rows of counts that are sent at a time.
+STEPS, SENT = 20, 1 << 15
 BINS, BIN_WIDTH = 33, 0.5
 #: Factors of the logits; and a text's experts: a factor's number, and the share of what comes again.
 SHARPNESS = (0.8, 1.0, 1.2)
@@ -198,9 +200,11 @@ def _group(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of one of each of the different hashes, and each hash's number among these."""
     order = np.argsort(hashes)
     ordered = hashes[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(hashes)]
-    number = np.empty(len(hashes), np.int64)
-    number[order] = np.cumsum(new) - 1
+    new = np.ones(len(hashes), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    del ordered
+    number = np.empty(len(hashes), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return order[new], number
 
 
@@ -331,7 +335,10 @@ def coded_bytes(keys: list[bytes]) -> list[bytes]:
 
 
 class Bits:
-    """The binary decisions of many rows: hashes of each context, outcome, row, and whether the context is above the row's group."""
+    """The binary decisions of many rows: hashes of each context, outcome, row, and whether the context is above the row's group.
+
+    There are some five decisions to a byte, so contexts are kept by byte, and hashes are made for one context at a time.
+    """
 
     def __init__(self, keys: list[bytes], splits: frozenset[bytes], code: Code, wanted: range | None = None):
         coded = coded_bytes(keys)
@@ -361,29 +368,44 @@ class Bits:
             if k > 1:
                 contexts.append(recent + language + np.uint64(k << 40))
         contexts += [prefix, prefix + language, prefix + (places[row] + np.uint64(1)) * _SALTS[1]]
-        times = code.decisions[raw]
-        at = np.repeat(np.arange(n), times)
-        step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        own = raw[at]
-        node = NODE_BITS[code.nodes[own, step]]
-        self.outcome = code.outcomes[own, step]
-        self.row = row[at]
-        depth = np.array([depth_of(w, splits) for w in coded], np.int64)
-        self.above = (within < depth[row])[at]
-        self.hashes: list[np.ndarray | None] = []
+        del powers, inverse, sums, first, prefix, language, recent
+        self.contexts: list[np.ndarray | None] = []
         for k, c in enumerate(contexts):
             if wanted is not None and k not in wanted:
-                self.hashes.append(None)
+                self.contexts.append(None)
                 continue
             base = (c + _SALTS[k]) * _MIX
             base ^= base >> np.uint64(31)
-            h = base[at]
-            h ^= node
-            h *= _MIX2
-            self.hashes.append(h)
+            self.contexts.append(base)
+        contexts.clear()
+        depth = np.array([depth_of(w, splits) for w in coded], np.int64)
+        self.times = times = code.decisions[raw]
+        self.above = np.repeat(within < depth[row], times)
+        self.row = np.repeat(row.astype(np.int32), times)
+        # A byte's decisions lie side by side in the code.
+        step = np.repeat(raw * np.int64(code.nodes.shape[1]) - np.cumsum(times) + times, times)
+        step += np.arange(len(step))
+        self.outcome = code.outcomes.ravel()[step]
+        self.node = code.nodes.ravel()[step].astype(np.uint8)
+
+    def hash(self, k: int) -> np.ndarray:
+        h = np.repeat(self.contexts[k], self.times)
+        h ^= NODE_BITS[self.node]
+        h *= _MIX2
+        return h
+
+    @property
+    def hashes(self) -> list[np.ndarray | None]:
+        return [None if c is None else self.hash(k) for k, c in enumerate(self.contexts)]
 
     def slot(self, k: int, bits: int) -> np.ndarray:
-        return (self.hashes[k] >> np.uint64(64 - bits)).view(np.int64)
+        return slots(self.hash(k), bits)
+
+
+def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Entries of a table, in the place of the hashes."""
+    hashes >>= np.uint64(64 - bits)
+    return hashes.view(np.int64)
 
 
 def add_bounded(total: np.ndarray, keys: list[bytes], times: np.ndarray, splits: frozenset[bytes], code: Code) -> None:
@@ -431,37 +453,39 @@ class Model:
     code: Code
 
 
-def _numbered(hashes: np.ndarray) -> np.ndarray:
-    """A number for each, equal for equal hashes."""
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    out = np.empty(len(hashes), np.int64)
-    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])[: len(hashes)])
-    return out
-
-
 class Shard:
-    """Tables, weights and corrections of a shard's rows (keys and how often each is in the training texts)."""
+    """Tables, weights and corrections of a shard's rows (keys and how often each is in the training texts).
+
+    Of a decision only what was counted, its outcome and its row are kept; all else is made for `STEPS` batches at a time.
+    """
 
     def __init__(self, keys: list[bytes], times: np.ndarray, model: Model):
         self.bits = bits = Bits(keys, model.splits, model.code)
         self.times, self.rows = times, len(keys)
         n = len(bits.outcome)
-        weight = times[bits.row].astype(np.float64)
-        below = np.flatnonzero(~bits.above)
-        above = np.flatnonzero(bits.above)
-        own = weight[below]
+        above = bits.above
+        below = ~above
         out = bits.outcome[below]
         self.zeros, self.ones = np.empty((CONTEXTS, n), np.float32), np.empty((CONTEXTS, n), np.float32)
-        for k in range(CONTEXTS):
+        for k in reversed(range(CONTEXTS)):
+            hashes = bits.hash(k)
+            bits.contexts[k] = None
+            if k >= LASTS:
+                at = _group(hashes[below])[1]
+                hashes = hashes[above]
+                entry = 2 * at
+                entry += out
+                pair = np.bincount(entry, times[bits.row[below]], 2 * (int(at.max(initial=-1)) + 1)).astype(np.float32).reshape(-1, 2)
+                del entry
+                self.zeros[k, below], self.ones[k, below] = pair[at, 0], pair[at, 1]
+                del at
             common = slice(None) if k < LASTS else above
-            at = bits.slot(k, TABLE_BITS[k])[common] + OFFSETS[k]
+            at = slots(hashes, TABLE_BITS[k])
+            at += OFFSETS[k]
             pair = model.bounded[at]
             self.zeros[k, common], self.ones[k, common] = pair[:, 0], pair[:, 1]
-            if k >= LASTS:
-                at = _numbered(bits.hashes[k][below])
-                pair = np.bincount(2 * at + out, own, 2 * len(at)).reshape(-1, 2)[at]
-                self.zeros[k, below], self.ones[k, below] = pair[:, 0], pair[:, 1]
+            del hashes, at, pair
+        bits.node = bits.above = None
         self.weights = np.tile(np.array(START, np.float32), (GATES, 1))
         self.correction = np.zeros(GATES * BINS)
 
@@ -471,56 +495,67 @@ class Shard:
             z += self.weights[:, k][gate] * x[k]
         return np.clip(z, -11, 11)
 
+    def _blocks(self) -> Iterator[tuple[int, int, slice]]:
+        """STEPS batches of rows at a time: first row, the one after the last, and their decisions."""
+        for first in range(0, self.rows, STEPS * BATCH_WORDS):
+            to = min(first + STEPS * BATCH_WORDS, self.rows)
+            yield first, to, slice(*np.searchsorted(self.bits.row, np.array([first, to], np.int32)).tolist())
+
     def learn(self) -> None:
         """Online over the training rows, each predicted with one occurrence of its own taken out."""
-        bits = self.bits
-        use = np.flatnonzero((self.times > 0)[bits.row])
-        if not len(use):
+        if not (self.times > 0).any():
             return
-        outcome, row = bits.outcome[use], bits.row[use]
-        one = outcome.astype(np.float32)
-        x = np.empty((CONTEXTS, len(use)), np.float32)
-        for k in range(CONTEXTS):
-            a, b = np.maximum(self.zeros[k, use] - (1 - one), 0), np.maximum(self.ones[k, use] - one, 0)
-            x[k] = _logit(a, b)
-            if k == LASTS - 1:
-                short = a + b
-            elif k == LASTS + 1:
-                whole = a + b
-        gate = _gate(whole, short)
-        weight = np.sqrt(self.times.astype(np.float64))[row]
-        edges = np.searchsorted(row, np.arange(0, self.rows + BATCH_WORDS, BATCH_WORDS))
+        weights = np.sqrt(self.times.astype(np.float64))
         seen = np.zeros((2, GATES * BINS))
-        for step, (at, to) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if at == to:
-                continue
-            g, own = gate[at:to], x[:, at:to]
-            z = self._mixed(own, g)
-            error = one[at:to] - 1 / (1 + np.exp(-z))
-            w = weight[at:to]
-            moved, total = w * error, np.bincount(g, w, GATES) + 50
+        for first_row, to_row, part in self._blocks():
+            row = self.bits.row[part]
+            used = (self.times > 0)[row]
+            outcome, row = self.bits.outcome[part][used], row[used]
+            one = outcome.astype(np.float32)
+            x = np.empty((CONTEXTS, len(row)), np.float32)
             for k in range(CONTEXTS):
-                self.weights[:, k] += (RATE / (1 + step / 50) * np.bincount(g, moved * own[k], GATES) / total).astype(np.float32)
-            place = g * BINS + _bin(z)
-            seen += np.stack([np.bincount(place, w * one[at:to], GATES * BINS), np.bincount(place, w, GATES * BINS)])
+                a, b = np.maximum(self.zeros[k, part][used] - (1 - one), 0), np.maximum(self.ones[k, part][used] - one, 0)
+                x[k] = _logit(a, b)
+                if k == LASTS - 1:
+                    short = a + b
+                elif k == LASTS + 1:
+                    whole = a + b
+            gate = _gate(whole, short)
+            weight = weights[row]
+            edges = np.searchsorted(row, np.arange(first_row, to_row + BATCH_WORDS, BATCH_WORDS, np.int32))
+            for step, (at, to) in enumerate(zip(edges[:-1], edges[1:], strict=True), first_row // BATCH_WORDS):
+                if at == to:
+                    continue
+                g, own = gate[at:to], x[:, at:to]
+                z = self._mixed(own, g)
+                error = one[at:to] - 1 / (1 + np.exp(-z))
+                w = weight[at:to]
+                moved, total = w * error, np.bincount(g, w, GATES) + 50
+                for k in range(CONTEXTS):
+                    self.weights[:, k] += (RATE / (1 + step / 50) * np.bincount(g, moved * own[k], GATES) / total).astype(np.float32)
+                place = g * BINS + _bin(z)
+                seen += np.stack([np.bincount(place, w * one[at:to], GATES * BINS), np.bincount(place, w, GATES * BINS)])
         centre = 1 / (1 + np.exp(-(np.arange(BINS) - BINS // 2) * BIN_WIDTH))
         prior = np.tile(centre, GATES)
         self.correction = (seen[0] + 50 * prior) / (seen[1] + 50) - prior
 
     def log10(self) -> np.ndarray:
         """log10 probability of each row by each factor."""
-        bits = self.bits
-        x = np.empty_like(self.zeros)
-        for k in range(CONTEXTS):
-            x[k] = _logit(self.zeros[k], self.ones[k])
-        gate = _gate(self.zeros[LASTS + 1] + self.ones[LASTS + 1], self.zeros[LASTS - 1] + self.ones[LASTS - 1])
-        z = self._mixed(x, gate)
-        moved = (0.5 * self.correction).astype(np.float32)[gate * BINS + _bin(z)]
-        out = []
-        for sharp in SHARPNESS:
-            p = np.clip(1 / (1 + np.exp(np.float32(-sharp) * z)) + moved, np.float32(1e-6), np.float32(1 - 1e-6))
-            out.append(np.bincount(bits.row, np.log(np.where(bits.outcome, p, 1 - p)), self.rows) / LN10)
-        return np.array(out)
+        out = np.zeros((len(SHARPNESS), self.rows))
+        correction = (0.5 * self.correction).astype(np.float32)
+        for first, to, part in self._blocks():
+            zeros, ones = self.zeros[:, part], self.ones[:, part]
+            x = np.empty_like(zeros)
+            for k in range(CONTEXTS):
+                x[k] = _logit(zeros[k], ones[k])
+            gate = _gate(zeros[LASTS + 1] + ones[LASTS + 1], zeros[LASTS - 1] + ones[LASTS - 1])
+            z = self._mixed(x, gate)
+            moved = correction[gate * BINS + _bin(z)]
+            outcome, row = self.bits.outcome[part], self.bits.row[part] - first
+            for i, sharp in enumerate(SHARPNESS):
+                p = np.clip(1 / (1 + np.exp(np.float32(-sharp) * z)) + moved, np.float32(1e-6), np.float32(1 - 1e-6))
+                out[i, first:to] = np.bincount(row, np.log(np.where(outcome, p, 1 - p)), to - first) / LN10
+        return out
 
 
 def scored_rows(keys: list[bytes], times: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -589,32 +624,40 @@ def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
     names = ("key", "n", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         size, held_tokens = 0, 0
 
-        def out() -> pa.RecordBatch:
-            t, hashes, places, begins, lengths, learnt = (np.concatenate(c) for c in zip(*parts, strict=True))
-            parts.clear()
-            one, number = _group(hashes)
-            n = np.bincount(number, learnt, len(one)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([bytes_of(t, places[one].astype(np.int64), begins[one], lengths[one].astype(np.int64)), pa.array(n), pa.array(np.bincount(number, minlength=len(one)))], names)
+        def out() -> Iterator[pa.RecordBatch]:
+            def whole(i: int) -> np.ndarray:
+                joined = np.concatenate(parts[i])
+                parts[i].clear()
+                return joined
+
+            one, number = _group(whole(1))
+            n, m = np.bincount(number[whole(5)], minlength=len(one)), np.bincount(number, minlength=len(one))
+            del number
+            t, places, begins, lengths = whole(0), whole(2)[one], whole(3)[one], whole(4)[one]
+            for at in range(0, len(one), SENT):
+                s = slice(at, at + SENT)
+                yield pa.RecordBatch.from_arrays([bytes_of(t, places[s].astype(np.int64), begins[s], lengths[s].astype(np.int64)), pa.array(n[s]), pa.array(m[s])], names)
 
         for batch in batches:
             texts = byte_texts(batch)
             learnt = ~batch.column(batch.schema.get_field_index("out")).to_numpy(zero_copy_only=False)
             for first, chunk in chunks_of(texts):
                 words, places, extra = tokens.split(chunk)
-                parts.append((words.t, key_hashes(words.hash, places), places.astype(np.uint8), words.begin + size, words.length.astype(np.uint8), learnt[first + words.doc]))
+                for kept, new in zip(parts, (words.t, key_hashes(words.hash, places), places.astype(np.uint8), words.begin + size, words.length.astype(np.uint8), learnt[first + words.doc]), strict=True):
+                    kept.append(new)
                 size += len(words.t)
                 held_tokens += len(places)
                 if extra:
                     keys = [k for _, k in extra]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([int(learnt[first + d]) for d, _ in extra]), pa.array([1] * len(keys))], names)
                 if held_tokens >= HELD:
-                    yield out()
+                    yield from out()
                     size = held_tokens = 0
-        if parts:
-            yield out()
+        if held_tokens:
+            yield from out()
 
     return docs.mapInArrow(trimmed(run), "key binary, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -698,14 +741,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.
             yield keys[at : at + BLOCK], times[at : at + BLOCK]
 
 
-def score_rows(rows: DataFrame, shards: int, model) -> DataFrame:
-    """(key, m, c, first, l0, l1, ...) of rows (key, n, m), each shard on its own; model is a broadcast Model."""
+def score_rows(rows: DataFrame, shards: int, splits: frozenset[bytes], model) -> DataFrame:
+    """(key, m, c, first, l0, l1, ...) of rows (key, n, m), each shard on its own; model is a broadcast Model, splits is its own.
+
+    Rows are dealt by the splits alone, without the tables.
+    """
     names = ("key", "m", "c", "first", *(f"l{i}" for i in range(len(SHARPNESS))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        splits = model.value.splits
         for batch in batches:
             keys = batch.column(0).to_pylist()
             words = [k[2:] for k in keys]
@@ -801,7 +846,7 @@ def scored(docs: DataFrame) -> DataFrame:
     splits = split_groups(rows)
     code = byte_code(rows)
     model = spark.sparkContext.broadcast(Model(bounded_tables(rows, splits, code), splits, code))
-    words = cut(score_rows(rows, shards, model))
+    words = cut(score_rows(rows, shards, splits, model))
     drop_cut(rows)
     model.unpersist()
     totals = words.agg(F.coalesce(F.sum(F.when(F.col("first") > 0, F.col("c"))), F.lit(0)).alias("n"), F.coalesce(F.sum("first"), F.lit(0)).alias("v")).first()
