@@ -199,3 +199,23 @@ def test_counts_are_sent_in_parts(spark, monkeypatch):
     want = Counter(k for t in texts for k in tokens.keys(t.encode()))
     learnt = Counter(k for i, t in enumerate(texts) if i % 5 != 1 for k in tokens.keys(t.encode()))
     assert got == {k: (learnt[k], m) for k, m in want.items()} and max(sizes) <= 64
+
+
+def test_texts_go_to_python_by_bytes(spark, monkeypatch):
+    """No batch of texts has much over BATCH_BYTES, and the setting is as it was afterwards."""
+    sizes, before, whole = [], spark.conf.get(M.BATCHES), M.marked
+
+    def nbytes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    def measured(docs):
+        sizes.extend(r.n for r in docs.mapInArrow(nbytes, "n long").collect())
+        return whole(docs)
+
+    monkeypatch.setattr(M, "marked", measured)
+    docs = spark.createDataFrame([(i, "word " * 20_000) for i in range(100)], "doc_id long, text string").coalesce(1)
+    assert M.scored(docs).count() == 100 and spark.conf.get(M.BATCHES) == before
+    assert sum(sizes) > 7_000_000 and max(sizes) < (2 << 20) + 200_000

@@ -78,7 +78,9 @@ BINS, BIN_WIDTH = 33, 0.5
 SHARPNESS = (0.8, 1.0, 1.2)
 EXPERTS = ((1, 0.0), (1, 0.02), (1, 0.1), (0, 0.1), (2, 0.02), (0, 0.4))
 #: Tokens that a task holds before it emits their counts, and bytes of text that are split at a time.
-HELD, CHARS = 2_000_000, 1 << 20
+HELD, CHARS = 2_000_000, 1 << 19
+#: Bytes of rows that go to Python at a time (Spark's own default is 64 MB): JVM and worker each hold them more than once.
+BATCH_BYTES, BATCHES = "2m", "spark.sql.execution.arrow.maxBytesPerBatch"
 LN10 = math.log(10)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +120,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def string_hashes(t: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each t[begin:end]; that of no bytes is zero."""
-    powers, inverse = _powers(max(CHARS, 1 << len(t).bit_length()))
+    # A run of texts ends with a space, so that it has up to a byte more.
+    powers, inverse = _powers(CHARS + 1 if len(t) <= CHARS + 1 else 1 << len(t).bit_length())
     sums = np.concatenate([[np.uint64(0)], np.cumsum((t + np.uint64(1)) * _MIX2 * powers[: len(t)])])
     h = (sums[ends] - sums[begins]) * inverse[begins]
     h ^= h >> np.uint64(29)
@@ -838,6 +841,17 @@ def most_frequent(words: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame) -> DataFrame:
     """The contract's columns with n_bytes, total_bits and bits_per_byte, for each row of docs (doc_id, text)."""
+    # All that goes through Python is written in here.
+    conf = docs.sparkSession.conf
+    before = conf.get(BATCHES)
+    conf.set(BATCHES, BATCH_BYTES)
+    try:
+        return _scored(docs)
+    finally:
+        conf.set(BATCHES, before)
+
+
+def _scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held(F.col("doc_id"), MODULUS).alias("out"))
     tokens = Tokens(marked(texts.where("not out").select("text")))
